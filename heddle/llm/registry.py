@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from heddle.llm import line_dedup, quality
+from heddle.llm import fingerprint, line_dedup, mixing, quality, sentencepiece_codec, token_counts, token_files
 
 QUERIES = {
+    "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
+    "op3_fingerprints": fingerprint.op3_fingerprints,
+    "op5_token_files": token_files.op5_token_files,
+    "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op8_quality_rules": quality.op8_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 SQL = {
+    "op3_fingerprints": fingerprint.OP3_SQL,
+    "op6_mix_sources": mixing.OP6_SQL,
     "op8_quality_rules": quality.OP8_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
