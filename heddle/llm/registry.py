@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heddle.llm import fingerprint, line_dedup, mixing, quality, sentencepiece_codec, token_counts, token_files
+from heddle.llm import fingerprint, line_dedup, mixing, near_dedup, quality, sentencepiece_codec, token_counts, token_files
 
 QUERIES = {
     "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
