@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from heddle.llm import fingerprint, line_dedup, mixing, near_dedup, quality, sentencepiece_codec, token_counts, token_files
+from heddle.llm import fingerprint, line_dedup, mixing, near_dedup, quality, sentencepiece_codec, token_counts, token_files, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
     "op3_fingerprints": fingerprint.op3_fingerprints,
     "op5_token_files": token_files.op5_token_files,
