@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from heddle.llm import fingerprint, line_dedup, mixing, near_dedup, quality, sentencepiece_codec, token_counts, token_files, toxicity
+from heddle.llm import fingerprint, line_dedup, mixing, near_dedup, quality, sentencepiece_codec, token_counts, token_files, tool_chat, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
     "op3_fingerprints": fingerprint.op3_fingerprints,
+    "op4_tool_chat": tool_chat.op4_tool_chat,
     "op5_token_files": token_files.op5_token_files,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_token_counts": token_counts.op7_token_counts,
@@ -18,6 +19,7 @@ QUERIES = {
 
 SQL = {
     "op3_fingerprints": fingerprint.OP3_SQL,
+    "op4_tool_chat": tool_chat.OP4_SQL,
     "op6_mix_sources": mixing.OP6_SQL,
     "op8_quality_rules": quality.OP8_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
