@@ -1,10 +1,15 @@
-"""The corpus pipeline: five stages, each one operator applied to what the one before it kept."""
+"""The corpus pipeline: five stages, each one operator applied to what the one before it kept.
+
+Stages take (spark, docs, sf_dir) and return a DataFrame with the columns of ``documents``, the
+last one token ids. ``run`` writes each stage's result to the shared folder and reads it back.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from heddle.llm import line_dedup, quality
+from heddle.llm import line_dedup, mixing, near_dedup, quality, sentencepiece_codec
 from heddle.workspace import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -12,18 +17,39 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.quality_rules(docs).where("kept").select(*COLUMNS)
+    return quality.quality_rules(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that others hold; ``n_chars`` follows the text."""
-    from pyspark.sql import functions as F
-
+    """Documents without lines that others hold; ``n_chars`` follows the text."""
     cut = line_dedup.line_dedup(docs.select(*COLUMNS))
     return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
-STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return near_dedup.near_dedup(docs.select(*COLUMNS))
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents, or parts of them, as often as their source's target takes them."""
+    return mixing.mixed_documents(docs.select(*COLUMNS))
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, tokens of each row of the mix."""
+    import public_tokenizers
+
+    return sentencepiece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_dedup", near_stage),
+    ("mix_sources", mix_stage),
+    ("sentencepiece", encode_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,4 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
+#: Shingle signatures and token ids are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
