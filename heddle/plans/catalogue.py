@@ -1,5 +1,6 @@
 """All of the library's own queries; importing this module registers them."""
 
+from heddle.plans import matrix_queries  # noqa: F401
 from heddle.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
