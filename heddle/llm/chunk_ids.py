@@ -49,6 +49,24 @@ def packed(ids: Iterable[int]) -> bytes:
     return np.fromiter(ids, "<u4").tobytes()
 
 
+def byte_alphabet() -> dict[str, int]:
+    """Character -> byte of the byte-level alphabet: printable bytes stand for themselves, the
+    others get the code points from 256 on, in order."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+_CHARACTER = [c for c, _ in sorted(byte_alphabet().items(), key=lambda x: x[1])]
+
+
+def byte_level(text: str) -> str:
+    """A text in the byte-level alphabet."""
+    if text.isascii() and text.isprintable():
+        return text.replace(" ", _CHARACTER[32])
+    return "".join([_CHARACTER[b] for b in text.encode("utf-8")])
+
+
 def list_array(parts: list[bytes]) -> pa.Array:
     """A list<int32> array from one bytes object of little-endian ids per row."""
     sizes = np.fromiter((len(p) // 4 for p in parts), "int64", len(parts))

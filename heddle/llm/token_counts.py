@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.chunk_ids import Memo, groups, text_list
+from heddle.llm.chunk_ids import Memo, byte_alphabet, byte_level, groups, text_list
 from heddle.workspace import ship_package
 
 #: The published pattern of byte-level pre-tokens (fixed values).
@@ -29,14 +29,6 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _COUNTERS: dict[str, Counter] = {}
 
 
-def byte_alphabet() -> dict[str, int]:
-    """Character -> byte of the byte-level alphabet: printable bytes stand for themselves, the
-    others get the code points from 256 on, in order."""
-    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    rest = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 def load(path: str):
     from tokenizers import Tokenizer
 
@@ -83,7 +75,9 @@ class Counter:
         self.memo = Memo(self._merge, dict.fromkeys(whole, 1))
 
     def _merge(self, chunks: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+        """Pre-tokens go to the model as they are."""
+        merge = self.tokenizer.model.tokenize
+        return [len(merge(byte_level(c))) for c in chunks]
 
     def __call__(self, texts: list[str]) -> list[int]:
         out: list[int] = []
