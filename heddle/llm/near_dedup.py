@@ -178,7 +178,8 @@ def classes(
     # Of several rows with the node's text only those with the node's own doc_id bring it along.
     wanted = members.select("node").distinct().join(nodes.select("node", "h1", "h2", F.col("doc_id").alias("_id")), "node")
     wanted = materialise(wanted, "wanted")
-    texts = hashed.join(wanted, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
+    # Shuffled at every size: the wanted grow with the input.
+    texts = hashed.join(wanted.hint("merge"), ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
     texts = materialise(texts, "texts")
 
     links = materialise(_verified(pairs, texts, words, similarity), "links")
