@@ -123,7 +123,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     wanted = pairs.select(key("doc_id").alias("of"), key("next_id").alias("key"), "half")
 
     keyed = base.withColumn("key", key("doc_id")).withColumn("vec", vector(F.col("text"))).repartition("key")
-    leading = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.col("text").desc()))).where("_n = 1")
+    # Both branches ask the same columns of ``keyed``, so its one exchange serves both.
+    leading = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.col("text").desc(), "doc_id"))).where("_n = 1")
     heads = wanted.join(leading, "key").select(F.col("of").alias("key"), F.expr("substring(text, 1, half)").alias("head"), F.col("vec").alias("next_vec"))
 
     edited = keyed.join(heads, "key").withColumn("half", half)
