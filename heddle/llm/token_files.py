@@ -20,12 +20,13 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.chunk_ids import Memo, groups, id_bytes, list_array, packed, text_list
+from heddle.llm.chunk_ids import Memo, byte_level, groups, id_bytes, list_array, packed, text_list
 from heddle.workspace import scratch_path, ship_package
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
@@ -53,18 +54,44 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.chunked = drops_space(json.load(f))
-        self.memo = Memo(self._ids)
+            spec = json.load(f)
+        self.chunked = drops_space(spec) and all(a["content"].startswith("<|") for a in spec.get("added_tokens", []))
+        self.memo, self.words = Memo(self._chunk_ids), Memo(self._word_ids)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [packed(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of normalised words of letters: each is one pre-token, so the model alone is asked."""
+        merge = self.tokenizer.model.tokenize
+        return [packed([t.id for t in merge(byte_level(w))]) for w in words]
+
+    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """Most chunks are a word of letters with a full stop or comma, or none, behind it. Letters and
+        the rest never share a pre-token, and letters below U+0250 in composed form normalise to their
+        lower case; such words are looked up by that. Other chunks go through the whole tokenizer."""
+        cores, out = [c.rstrip(".,").lower() for c in chunks], [b""] * len(chunks)
+        plain = [w.isalpha() and (w.isascii() or (max(w) < "\u0250" and is_normalized("NFC", w))) and len(w) + len(c) - len(c.rstrip(".,")) == len(c) for w, c in zip(cores, chunks, strict=True)]
+        tails = [c[len(w) :] if p else "" for w, c, p in zip(cores, chunks, plain, strict=True)]
+        self.words.learn([[w for w, p in zip(cores, plain, strict=True) if p]])
+        odd = [i for i, p in enumerate(plain) if not p]
+        marks = sorted(set(tails) - {""})
+        ends = dict(zip(marks, self._ids(marks), strict=True)) | {"": b""}
+        for i, (w, t, p) in enumerate(zip(cores, tails, plain, strict=True)):
+            if p:
+                out[i] = self.words[w] + ends[t]
+        for i, ids in zip(odd, self._ids([chunks[i] for i in odd]), strict=True):
+            out[i] = ids
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.chunked:
             return self._ids(texts)
         out: list[bytes] = []
         for run in groups(texts):
-            split = [t.replace("\n", " ").split(" ") for t in run]
+            # ASCII texts may be lower-cased at once, unless that could make a special string.
+            low = [t.lower() if t.isascii() and "<|" not in t else t for t in run]
+            split = [t.replace("\n", " ").split(" ") for t in low]
             self.memo.learn(split)
             get = self.memo.__getitem__
             out += [b"".join(map(get, chunks)) for chunks in split]
@@ -126,14 +153,21 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
     ordered.sortWithinPartitions("doc_id", "text").mapInArrow(encode, SCHEMA).write.options(**FILE_OPTIONS).parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids in all documents before), n_tokens, tokens."""
-    files = spark.read.schema(SCHEMA).parquet(path)
+def with_start(rows: DataFrame, path: str) -> DataFrame:
+    """``part`` and ``part_start`` replaced by ``start``, the ids in all documents before."""
+    files = rows.sparkSession.read.schema(SCHEMA).parquet(path)
     sums = files.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     # One row per file, so a single task may order them.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return files.join(offsets, "part").select("doc_id", (F.col("part_start") + F.col("_offset")).alias("start"), "n_tokens", "tokens")
+    others = [c for c in rows.columns if c not in ("doc_id", "part", "part_start")]
+    # One row per file: rows meet their offset where they are, whatever else they carry.
+    return rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("part_start") + F.col("_offset")).alias("start"), *others)
+
+
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, tokens."""
+    return with_start(spark.read.schema(SCHEMA).parquet(path), path)
 
 
 def with_crc32(tokens: DataFrame, column: str = "ids_crc32") -> DataFrame:
@@ -156,4 +190,4 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = scratch_path(spark, "tokens")
     write_token_files(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    return with_crc32(read_token_files(spark, path))
+    return with_start(with_crc32(spark.read.schema(SCHEMA).parquet(path)), path)
