@@ -32,7 +32,7 @@ from heddle.llm.words import words
 from heddle.workspace import bind, materialise
 
 WEIGHTS = (5, 2, 1)
-BLOCK, SHARD, LANES, MOST, ROUNDS = 64, 65_536, 1024, 3, 12
+BLOCK, SHARD, LANES, MOST, ROUNDS = 64, 16_384, 1024, 3, 12
 
 
 def _digest(*parts: Column | str) -> Column:
@@ -114,8 +114,12 @@ def draws(plan: DataFrame, block: int = BLOCK, shard: int = SHARD, most: int = M
     before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     numbered = counted.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0")
     blocks = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
-    slot = numbered.select("sid", blocks.alias("blocks"), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
-    slot = slot.where(F.col("k") < most * F.col("blocks")).repartition("sid", "k")
+    # Shards are spread before their slots are made; a number of partitions keeps them spread,
+    # where rows alone, few as yet, would be put together again.
+    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = numbered.withColumn("blocks", blocks).repartition(parts, "sid", "shard")
+    slot = numbered.select("sid", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
+    slot = slot.where(F.col("k") < most * F.col("blocks"))
     key = F.concat_ws(":", F.col("sid").cast("string"), F.floor(F.col("k") / F.col("blocks")).cast("string"))
     taken = slot.select("sid", _permuted(F.col("k") % F.col("blocks"), F.col("blocks"), key).alias("block"))
     return taken.groupBy("sid", "block").agg(F.count("*").alias("times"))
@@ -143,7 +147,9 @@ def drawn_blocks(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, lanes:
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     spans = rows.where("size > 0").select("sid", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     inside = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    return rows, spans.withColumn("inside", inside).join(draws(plan, block, shard, most), ["sid", "block"])
+    # Drawn from a table of a few rows, the draws are taken for small, which they aren't.
+    drawn = draws(plan, block, shard, most).hint("merge")
+    return rows, spans.withColumn("inside", inside).join(drawn, ["sid", "block"])
 
 
 def mix(docs: DataFrame, **sizes: int) -> DataFrame:
