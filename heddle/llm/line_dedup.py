@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.workspace import materialise
+
 BLANKS = " \t\n\u000b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -73,6 +75,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
         .where(F.col("_docs") >= min_docs)
         .select("_h1", "_h2", "_keeper")
     )
+    # A table of its own, so that the join below may split the rows of a line that very many share.
+    shared = materialise(shared, "shared_lines")
     drops = (
         _lines(base, min_chars)
         .join(shared, ["_h1", "_h2"])
