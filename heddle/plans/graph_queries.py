@@ -295,3 +295,10 @@ def community_silhouette(spark, sf):
 def ica_top_components(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("component", "v"))
     return e.withColumn("rk", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.abs("v").desc(), "component"))).where("rk <= 2").select("vec_id", "component")
+
+
+@query("graph_communities")
+def graph_communities(spark, sf):
+    """Rows only: communities of the neighbour graph; tests hold their modularity against singletons."""
+    e = G.undirected(knn(spark, sf).where("score > 0.1")).withColumnRenamed("score", "weight")
+    return G.communities(e, rounds=4)

@@ -213,3 +213,34 @@ def smoothed_curve(spark, sf):
     e = table(spark, sf, "events").groupBy("user_id").agg(F.avg("value").alias("v")).orderBy("user_id")
     rows = ml.bounded(e, ["user_id", "v"])
     return spark.createDataFrame(pd.DataFrame({"user_id": rows["user_id"], "smooth": ml.smooth(rows["v"].to_numpy())}), "user_id long, smooth double")
+
+
+@query("shuffled_chunks")
+def shuffled_chunks(spark, sf):
+    from heddle.operators.sequences import shuffled_chunks as shuffle
+
+    return shuffle(table(spark, sf, "documents"), "doc_id", "text", 8, 4)
+
+
+@query("random_training_windows")
+def random_training_windows(spark, sf):
+    from heddle.operators.sequences import random_windows
+
+    return random_windows(table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("tokens")), "doc_id", "tokens")
+
+
+@query("model_answers", "SELECT c_custkey, 'Outcome: ' || length(c_mktsegment) % 2 AS answer FROM customer")
+def model_answers(spark, sf):
+    """The inference loop with a stand-in model."""
+    from heddle.operators.sequences import predict
+
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    return predict(c, "c_custkey", "c_mktsegment", lambda texts: [f"Outcome: {len(t) % 2}" for t in texts]).select("c_custkey", "answer")
+
+
+@query("text_embeddings")
+def text_embeddings(spark, sf):
+    from heddle.operators.sequences import embed
+
+    c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return embed(c, "id", "text")

@@ -89,3 +89,32 @@ def pivot_samples(rows: DataFrame, probe: str, sample: str, value: str, samples:
     return rows.groupBy(probe).pivot(sample, samples).agg(F.first(value))
 
 
+
+
+def numpy_matrix(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """sample_id, gene_id, value of the non-zero entries of a dense array file (npy, or one array of
+    an npz). The driver opens the file."""
+    import numpy as np
+
+    loaded = np.load(path)
+    x = loaded[name] if name else loaded
+    i, j = np.nonzero(x)
+    return spark.createDataFrame([(int(a), int(b), float(x[a, b])) for a, b in zip(i, j, strict=True)], "sample_id long, gene_id long, value double")
+
+
+def hdf5_structure(path: str) -> list[tuple[int, str, str]]:
+    """(depth, name, kind) of all groups and data sets, in file order. Needs h5py."""
+    import h5py
+
+    found = []
+
+    def walk(node, depth: int) -> None:
+        for name, child in node.items():
+            group = isinstance(child, h5py.Group)
+            found.append((depth, name, "group" if group else f"{child.dtype}{list(child.shape)}"))
+            if group:
+                walk(child, depth + 1)
+
+    with h5py.File(path, "r") as f:
+        walk(f, 0)
+    return found

@@ -123,3 +123,23 @@ def test_entry(spark):
 
 def test_all_sql_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_communities_raise_modularity(spark):
+    """Two cliques and one link between them."""
+    edges = [(i, j, 1.0) for c in (0, 10) for i in range(c, c + 6) for j in range(i + 1, c + 6)] + [(0, 10, 1.0)]
+    df = spark.createDataFrame(edges, "src long, dst long, weight double")
+    found = graph.communities(df, rounds=5)
+    assert graph.modularity(df, found).first()["modularity"] > 0.3
+
+
+def test_chunks_and_windows_keep_all_tokens(spark):
+    from heddle.operators import sequences
+
+    df = spark.createDataFrame([(1, "abcdefghijklm"), (2, "x")], "id long, s string")
+    got = {r.id: r.s for r in sequences.shuffled_chunks(df, "id", "s", 4, 3).collect()}
+    assert sorted(got[1]) == list("abcdefghijklm") and got[2] == "x"
+    words = spark.createDataFrame([(1, [str(i) for i in range(1500)])], "id long, t array<string>")
+    rows = sorted(sequences.random_windows(words, "id", "t").collect(), key=lambda r: r.start)
+    assert [w for r in rows for w in r.window] == [str(i) for i in range(1500)]
+    assert sequences.dispatch("6-mer", "ACGTACG") == ["ACGTAC", "CGTACG"] and sequences.dispatch("other", "a b") == ["a", "b"]
