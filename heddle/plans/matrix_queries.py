@@ -368,13 +368,13 @@ def scale_not_center(spark, sf):
 
 
 @query("centroid_inverse", A.sql(f"""WITH {STATS}, z AS (SELECT sample_id % 5 AS cluster, gene_id, (value - mean) / sqrt(var_pop) AS z FROM expr JOIN stats USING (gene_id) WHERE var_pop > 0),
-  c AS (SELECT cluster, gene_id, avg(z) AS z FROM z GROUP BY 1, 2) SELECT cluster, gene_id, round(c.z * sqrt(var_pop) + mean, 5) AS value FROM c JOIN stats USING (gene_id)""", "expr"))
+  c AS (SELECT cluster, gene_id, avg(z) AS z FROM z GROUP BY 1, 2) SELECT cluster, gene_id, round(c.z * sqrt(var_pop) + mean, 8) AS value FROM c JOIN stats USING (gene_id)""", "expr"))
 def centroid_inverse(spark, sf):
     """Centroids of standardised values, back in original units."""
     e = A.expr(spark, sf)
     stats = M.gene_stats(e, "gene_id", n_samples(spark, sf)).where("var_pop > 0").select("gene_id", "mean", F.sqrt("var_pop").alias("sd"))
     z = e.join(stats, "gene_id").groupBy((F.col("sample_id") % 5).alias("cluster"), "gene_id").agg(F.avg((F.col("value") - F.col("mean")) / F.col("sd")).alias("z"))
-    return z.join(stats, "gene_id").select("cluster", "gene_id", F.round(F.col("z") * F.col("sd") + F.col("mean"), 5).alias("value"))
+    return z.join(stats, "gene_id").select("cluster", "gene_id", F.round(F.col("z") * F.col("sd") + F.col("mean"), 8).alias("value"))
 
 
 @query("quantile_normalise", A.sql("""SELECT sample_id, gene_id, value, round(percent_rank() OVER (PARTITION BY gene_id ORDER BY value), 6) AS rank,

@@ -225,11 +225,11 @@ def edge_coverage(spark, sf):
 
 
 @query("global_scores", f"""WITH {RUNS}, e AS (SELECT run, iter, score, n, greatest(0, 100 - score / 300 * 50) AS t, greatest(0, 100 - n * 10 / 1000.0 * 30) AS m FROM runs)
-  SELECT run, iter, round((t + m) / 2, 6) AS efficiency, round(least(100, greatest(0, 0.4 * (score % 100) + 0.2 * (n % 100) + 0.2 * 70 + 0.2 * (70 + ((t + m) / 2 - 50) * 0.1))), 6) AS score FROM e""")
+  SELECT run, iter, round((t + m) / 2, 9) AS efficiency, round(least(100, greatest(0, 0.4 * (score % 100) + 0.2 * (n % 100) + 0.2 * 70 + 0.2 * (70 + ((t + m) / 2 - 50) * 0.1))), 9) AS score FROM e""")
 def global_scores(spark, sf):
     eff = E.efficiency(F.col("score"), F.col("n") * 10)
     g = E.global_score(F.col("score") % 100, F.col("n") % 100, eff)
-    return runs(spark, sf).select("run", "iter", R(eff).alias("efficiency"), R(g).alias("score"))
+    return runs(spark, sf).select("run", "iter", F.round(eff, 9).alias("efficiency"), F.round(g, 9).alias("score"))
 
 
 @query("best_per_algorithm", f"WITH {RUNS} SELECT run, arg_max(iter, (round(score, 9), iter)) AS iter, round(max(score), 6) AS score FROM runs GROUP BY run")
