@@ -257,4 +257,4 @@ FROM m d {joins}
 """
 
 
-OP8_SQL = _op8_sql().replace("\\\\", "\\")
+OP8_SQL = _op8_sql()

@@ -110,8 +110,12 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> Data
         F.min(F.struct(F.col("turn").alias("answer_turn"), F.col("content"))).alias("answer"), F.count("*").alias("n_results")
     )
     linked = distinct.join(levels(distinct), "call_id").join(answers, "call_id", "full")
-    # Copies of a call, beyond the first, carry its identifier but are not linked.
-    extra = distinct.where("copies > 1").select("call_id", "turn", "conv_id", "name", "arguments", F.explode(F.sequence(F.lit(2), F.col("copies").cast("int"))).alias("_"))
+    # Calls beyond the first of their identifier keep their own fields but are not linked.
+    own = F.struct("turn", "conv_id", "name", "arguments")
+    shared = distinct.where("copies > 1").select("call_id", own.alias("first"))
+    same = calls.join(shared, "call_id").groupBy("call_id", "turn", "conv_id", "name", "arguments", "first").agg(F.count("*").alias("n"))
+    later = same.withColumn("n", F.col("n") - own.eqNullSafe(F.col("first")).cast("int")).where("n > 0")
+    extra = later.select("call_id", "turn", "conv_id", "name", "arguments", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("_"))
     bare = calls.where("call_id IS NULL").select("call_id", "turn", "conv_id", "name", "arguments")
     kind = F.when(F.col("copies").isNull(), "orphan").when(F.col("n_results").isNull(), "open").otherwise("linked")
     main = linked.select("conv_id", "turn", "call_id", "name", "arguments", kind.alias("kind"), "level", "lost", F.coalesce("n_results", F.lit(0)).alias("n_results"), "answer")

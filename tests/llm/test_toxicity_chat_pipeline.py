@@ -91,7 +91,7 @@ def test_links_levels_and_faults(linked):
     assert {k: r.kind for k, r in main.items()} == {"a": "linked", "b": "linked", "c": "open", "d": "open", "e": "open", "f": "linked", "zz": "orphan"}
     assert {k: main[k].level for k in "abcdef"} == {"a": 0, "b": 1, "c": 2, "d": None, "e": None, "f": 0}
     assert main["f"].lost == 1 and main["a"].n_results == 2
-    assert [r.call_id for r in linked if r.kind == "duplicate"] == ["a"]
+    assert [(r.call_id, r.conv_id, r.error) for r in linked if r.kind == "duplicate"] == [("a", 2, "text is missing")]
     faults = {k: main[k].error for k in "abcdef"}
     assert faults == {"a": None, "b": None, "c": "arguments are no object", "d": "text is below 1", "e": "words is no integer", "f": "unknown name"}
     assert [r.error for r in linked if r.call_id is None] == ["unknown name"]
