@@ -93,9 +93,9 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: in
     bits name the point: equal values mean the same point of the same process."""
     registers = np.full(n * m, np.inf)
     latest = np.full(n, np.inf)
-    # Level 0 is [0,1), level j is [2^(j-1), 2^j). A weight reaches into the levels below its bits.
-    levels = np.floor(np.log2(np.maximum(weight, 1))).astype("int64") + 1
-    levels[weight == 1] = 1
+    # Level 0 is [0,1), level j is [2^(j-1), 2^j). A weight w reaches into 1 + ceil(log2(w)) levels,
+    # as many as w - 1 has bits and one; the last is partly filled unless w is a power of two.
+    levels = np.frexp(weight - 1.0)[1].astype("int64") + 1
     who = np.repeat(np.arange(len(owner)), levels)
     level = np.arange(len(who)) - np.repeat(np.cumsum(levels) - levels, levels)
     low = np.where(level == 0, 0, 1 << np.maximum(level - 1, 0)).astype("int64")

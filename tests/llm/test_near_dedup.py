@@ -54,6 +54,26 @@ def test_signatures_are_unbiased():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
 
 
+@pytest.mark.parametrize(("a", "b"), [(3, 4), (5, 6), (7, 8), (15, 16), (1023, 1024)])
+def test_registers_agree_by_fixed_weights(a, b):
+    shingle = np.random.default_rng(a).integers(0, 2**63, 40).astype("uint64")
+    owner = np.repeat([0, 1], 40)
+    s = B.signatures(owner, np.concatenate([shingle, shingle]), np.repeat([a, b], 40), 2, 4000)
+    assert (s[0] == s[1]).mean() == pytest.approx(a / b, abs=0.04)
+
+
+def test_classes_by_weight(spark):
+    """Pairs of texts of the same shingles, of which one has each once less."""
+    rows = []
+    for k in range(40):
+        cycle = " ".join(f"p{k}w{i}" for i in range(12)) + " "
+        rows += [(4 * k + j, cycle * n) for j, n in enumerate([16, 15] if k % 2 else [8, 7])]
+    want = dict(zip([d for d, _ in rows], brute_classes(rows), strict=True))
+    assert len(set(want.values())) == 40
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
 def test_shingles_are_those_of_plain_splitting():
     texts = ["a b c d e f", "x", "", " \t a  b\nc\rd\x0be f ", "é ü ß ñ ö ä", "a b"]
     hashes, offsets = B.shingles(texts, 5)
