@@ -5,8 +5,9 @@ Calls and results are two tables. Steps, all with built-in functions:
 - Link: calls and results meet in a hash join on their identifier. Of several calls or results
   with one identifier the first (by turn, then content) counts; the others are marked or counted.
 - Order: a call may depend on results of other calls. Its level is the length of the longest
-  chain of dependencies below it; levels are found one after the other, each by a join with the
-  calls already placed. Calls on or above a cycle stay without level. Dependencies on identifiers
+  chain of dependencies below it. Chains of single dependencies are followed by pointer doubling;
+  calls with several are placed level by level, each by a join with the calls just placed. Calls on
+  or above a cycle, and only they, stay without level. Dependencies on identifiers
   that no call has don't hold a call back and are counted. Within a conversation calls go by
   (level, turn, call_id).
 - Validate: arguments must be a JSON object whose fields have the types, bounds and presence that
@@ -32,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.workspace import materialise
+from heddle.workspace import materialise, scratch_path
 
 TYPES = {
     "string": r"^STRING$",
@@ -68,8 +69,37 @@ def fault(name: Column, arguments: Column, schemas: dict) -> Column:
     return F.coalesce(unknown, *tests)
 
 
-def levels(calls: DataFrame, most: int = 10_000) -> DataFrame:
-    """call_id, level, lost (dependencies without a call), of calls with distinct identifiers."""
+def _chased(steps: DataFrame) -> DataFrame:
+    """call_id, root, steps: where each chain of single dependencies ends, and how far that is.
+
+    ``steps``: call_id, on, of calls with one dependency. Every round a call takes over the pointer
+    of the call it points to, so rounds grow with the logarithm of the longest chain. A round in
+    which no chain ends leaves none but those on or above a cycle; they are not in the result.
+    """
+    single = steps.select(F.col("call_id").alias("on"), F.lit(True).alias("_more"))
+    state = steps.join(single, "on", "left").select("call_id", F.col("on").alias("root"), F.lit(1).alias("steps"), F.col("_more").isNull().alias("ended"))
+    state = materialise(state, "pointers")
+    ended, going = [state.where("ended").drop("ended")], state.where("NOT ended").drop("ended")
+    while not going.isEmpty():
+        known = reduce(DataFrame.unionByName, [part.withColumn("ended", F.lit(True)) for part in ended], going.withColumn("ended", F.lit(False)))
+        by = known.select(F.col("call_id").alias("root"), F.col("root").alias("_root"), F.col("steps").alias("_steps"), "ended")
+        moved = going.join(by, "root").select("call_id", F.col("_root").alias("root"), (F.col("steps") + F.col("_steps")).alias("steps"), "ended")
+        moved = materialise(moved, "pointers")
+        if moved.where("ended").isEmpty():
+            break
+        ended.append(moved.where("ended").drop("ended"))
+        going = moved.where("NOT ended").drop("ended")
+    return reduce(DataFrame.unionByName, ended)
+
+
+def levels(calls: DataFrame) -> DataFrame:
+    """call_id, level, lost (dependencies without a call), of calls with distinct identifiers.
+
+    Chains of single dependencies are cut short first; what is left are the calls with several, and
+    those go level by level until no call is freed, however many levels that takes. So a level is
+    null on or above a cycle and nowhere else.
+    """
+    spark = calls.sparkSession
     ids = calls.select("call_id")
     wants = calls.select("call_id", F.explode(F.array_distinct("depends_on")).alias("on")).where("`on` IS NOT NULL")
     edges = wants.join(ids.withColumnRenamed("call_id", "on").withColumn("_there", F.lit(True)), "on", "left")
@@ -77,19 +107,32 @@ def levels(calls: DataFrame, most: int = 10_000) -> DataFrame:
     degree = edges.groupBy("call_id").agg(F.sum((~F.col("lost")).cast("long")).alias("degree"), F.sum(F.col("lost").cast("long")).alias("lost"))
     nodes = ids.join(degree, "call_id", "left").select("call_id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("lost", F.lit(0)).alias("lost"))
     nodes = materialise(nodes, "nodes")
-    # Of each level only the calls it may release are looked at: those it has edges to.
-    placed = [materialise(nodes.where("degree = 0").select("call_id"), "level_0")]
-    live = edges.where("NOT lost").select("call_id", "on")
-    waiting = nodes.where("degree > 0").select("call_id", "degree")
-    for k in range(1, most + 1):
-        if placed[-1].isEmpty():
-            break
-        freed = live.join(placed[-1].withColumnRenamed("call_id", "on"), "on").groupBy("call_id").agg(F.count("*").alias("freed"))
-        left = waiting.join(freed, "call_id", "left").select("call_id", (F.col("degree") - F.coalesce("freed", F.lit(0))).alias("degree"))
-        left = materialise(left, f"left_{k}")
-        placed.append(left.where("degree = 0").select("call_id"))
-        waiting = left.where("degree > 0")
-    ranked = reduce(DataFrame.unionByName, [p.withColumn("level", F.lit(k)) for k, p in enumerate(placed)])
+    live = edges.where("NOT lost").join(nodes.select("call_id", "degree"), "call_id")
+    chased = materialise(_chased(live.where("degree = 1").select("call_id", "on")), "chased")
+
+    # Placed calls are gathered in one folder, so that the plan doesn't grow with the levels.
+    path = scratch_path(spark, "placed")
+    fresh = nodes.where("degree = 0").select("call_id", F.lit(0).alias("level"))
+    fresh.write.parquet(path)
+    waiting = nodes.where("degree > 1").select("call_id", "degree", F.lit(0).alias("best"))
+    if not waiting.isEmpty():
+        ends = chased.select(F.col("call_id").alias("on"), "root", "steps")
+        hops = live.where("degree > 1").join(ends, "on", "left")
+        hops = materialise(hops.select("call_id", F.coalesce("root", "on").alias("root"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")), "hops")
+        while not fresh.isEmpty():
+            # Of each level only the calls it may release are looked at: those it has edges to.
+            reached = hops.join(fresh.withColumnRenamed("call_id", "root"), "root").groupBy("call_id")
+            freed = reached.agg(F.count("*").alias("freed"), F.max(F.col("level") + F.col("steps")).alias("reach"))
+            left = waiting.join(freed, "call_id", "left").select(
+                "call_id", (F.col("degree") - F.coalesce("freed", F.lit(0))).alias("degree"), F.greatest("best", "reach").alias("best")
+            )
+            left = materialise(left, "left")
+            fresh = left.where("degree = 0").select("call_id", F.col("best").alias("level"))
+            fresh.write.mode("append").parquet(path)
+            waiting = left.where("degree > 0")
+    placed = spark.read.schema("call_id string, level int").parquet(path)
+    below = placed.select(F.col("call_id").alias("root"), F.col("level").alias("_level"))
+    ranked = placed.unionByName(chased.join(below, "root").select("call_id", (F.col("_level") + F.col("steps")).alias("level")))
     return nodes.select("call_id", "lost").join(ranked, "call_id", "left").select("call_id", "level", "lost")
 
 

@@ -105,6 +105,34 @@ def test_canonical_json(linked):
         assert json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False) == t
 
 
+def brute_levels(calls):
+    depends, level = {c: {d for d in on if d in dict(calls)} for c, on in calls}, {}
+    while free := [c for c, on in depends.items() if c not in level and on <= set(level)]:
+        level |= {c: max([level[d] + 1 for d in depends[c]], default=0) for c in free}
+    return {c: level.get(c) for c, _ in calls}
+
+
+def test_levels_of_chains_joins_and_cycles(spark):
+    """Chains of every length, calls with several dependencies, cycles and what hangs on them."""
+    rng = np.random.default_rng(11)
+    calls = [(f"c{k}", [f"c{k - 1}"] if k else []) for k in range(37)]
+    calls += [("m0", ["c36", "c5", "gone"]), ("t0", ["m0"]), ("t1", ["t0"]), ("m1", ["t1", "m0", "c2"]), ("t2", ["m1"]), ("hub", [])]
+    calls += [("x", ["x"]), ("y0", ["y2"]), ("y1", ["y0"]), ("y2", ["y1"]), ("z0", ["y1"]), ("z1", ["z0"]), ("m2", ["z1", "c3"]), ("t3", ["m2"])]
+    calls += [(f"h{k}", ["hub"]) for k in range(20)]
+    calls += [(f"r{k}", [f"r{d}" for d in sorted(set(rng.integers(0, max(k, 1), rng.integers(0, 4)).tolist())) if d < k]) for k in range(40)]
+    got = tool_chat.levels(spark.createDataFrame(calls, "call_id string, depends_on array<string>")).collect()
+    assert {r.call_id: r.level for r in got} == brute_levels(calls)
+    assert len(got) == len(calls)
+    assert {r.call_id: r.lost for r in got if r.lost} == {"m0": 1}
+
+
+def test_long_chains_take_few_jobs(spark):
+    """Twenty thousand calls, each on the one before: beyond any bound of one job per level."""
+    calls = spark.range(20_001).selectExpr("CAST(id AS STRING) AS call_id", "CASE WHEN id > 0 THEN array(CAST(id - 1 AS STRING)) ELSE array() END AS depends_on")
+    got = tool_chat.levels(calls)
+    assert got.count() == 20_001 and got.where("level IS NULL OR level <> CAST(call_id AS INT)").isEmpty()
+
+
 def test_no_calls(spark):
     calls = spark.createDataFrame([], "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>")
     results = spark.createDataFrame([], "turn long, call_id string, content string")
