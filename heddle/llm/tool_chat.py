@@ -14,8 +14,9 @@ Calls and results are two tables. Steps, all with built-in functions:
   the schema of the call's name asks for; the first fault is named.
 - Serialise: canonical JSON, UTF-8 with sorted keys and no white space.
 
-One row per call, and one per identifier of results that no call has; no conversation is gathered
-in one place, however long it is.
+One row per call, and one per identifier of results that no call has; ``further_results`` gives the
+results that these rows don't hold, so that no content is lost. No conversation is gathered in one
+place, however long it is.
 
 Schemas: ``{name: {field: {"type": "string" | "integer" | "number" | "boolean" | "array" | "object",
 "required": bool, "min": n, "max": n}}}``; bounds are for numbers, or the length of strings.
@@ -166,17 +167,40 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> Data
     more = extra.drop("_").withColumns({"kind": F.lit("duplicate"), **blank}).unionByName(bare.withColumns({"kind": F.lit("open"), **blank}))
     rows = main.unionByName(more.select(*main.columns))
     error = F.when(F.col("kind") != "orphan", fault(F.col("name"), F.col("arguments"), schemas))
+    return rows.withColumns({"error": error, "canonical": _canonical(F.col("answer.content"))}).drop("answer", "arguments")
+
+
+def further_results(results: DataFrame) -> DataFrame:
+    """The results that no row of ``link_tool_calls`` holds, a row each, in its columns.
+
+    ``kind`` is duplicate_result for those beyond the first of their identifier, and orphan for
+    those with a null identifier; ``turn`` is the result's own.
+    """
+    results = results.select("turn", "call_id", "content")
+    whole = F.struct("turn", "content")
+    shared = results.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min(whole).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    same = results.join(shared, "call_id").groupBy("call_id", "turn", "content", "first").agg(F.count("*").alias("n"))
+    later = same.withColumn("n", F.col("n") - whole.eqNullSafe(F.col("first")).cast("int")).where("n > 0")
+    extra = later.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("turn", "call_id", "content", F.lit("duplicate_result").alias("kind"), F.lit(0).cast("long").alias("n_results"))
+    bare = results.where("call_id IS NULL").select("turn", "call_id", "content", F.lit("orphan").alias("kind"), F.lit(1).cast("long").alias("n_results"))
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = extra.unionByName(bare).withColumns({"conv_id": null("long"), "name": null("string"), "level": null("int"), "lost": null("long"), "error": null("string"), "arguments": null("string")})
+    rows = rows.withColumn("canonical", _canonical(F.col("content")))
+    return rows.select("conv_id", "turn", "call_id", "name", "kind", "level", "lost", "n_results", "error", "canonical")
+
+
+def _canonical(content: Column) -> Column:
+    """Canonical JSON of a row: its call and the content of its result."""
     text = lambda c: F.when(c.isNull(), F.lit("null")).otherwise(_json_text(c))
-    canonical = F.concat(
+    return F.concat(
         F.lit('{"arguments":'),
         F.coalesce(F.to_json(F.try_parse_json("arguments")), text(F.col("arguments"))),
         F.lit(',"call_id":'), text(F.col("call_id")),
         F.lit(',"level":'), F.coalesce(F.col("level").cast("string"), F.lit("null")),
         F.lit(',"name":'), text(F.col("name")),
-        F.lit(',"result":'), text(F.col("answer.content")),
+        F.lit(',"result":'), text(content),
         F.lit("}"),
     )
-    return rows.withColumns({"error": error, "canonical": canonical}).drop("answer", "arguments")
 
 
 def _json_text(c: Column) -> Column:
@@ -209,7 +233,7 @@ SCHEMAS = {
 
 def op4_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = exchanges(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
-    return link_tool_calls(calls, results, SCHEMAS)
+    return link_tool_calls(calls, results, SCHEMAS).unionByName(further_results(results))
 
 
 OP4_SQL = r"""

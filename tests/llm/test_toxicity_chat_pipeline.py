@@ -105,6 +105,21 @@ def test_canonical_json(linked):
         assert json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False) == t
 
 
+def test_no_result_is_lost(spark, tmp_path):
+    """Every assistant text of a conversation is in a row of its own, whatever its keys."""
+    turns = [(1, 0, "user", "ask this"), (1, 1, "assistant", "A"), (1, 1, "assistant", "B"), (1, 1, "assistant", "B"), (1, 1, "assistant", None)]
+    turns += [(None, 3, "assistant", "C"), (2, None, "assistant", "D"), (None, None, "assistant", "D"), (3, 5, "assistant", "E"), (3, 5, "assistant", "F"), (4, 0, "user", "and that")]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    frame.write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = tool_chat.op4_tool_chat(spark, str(tmp_path)).collect()
+    held = sorted((r.kind, r.call_id or "", str(json.loads(r.canonical)["result"])) for r in rows)
+    assert held == sorted(
+        [("linked", "1:0", "None"), *[("duplicate_result", "1:0", t) for t in "ABB"], *[("orphan", "", t) for t in "CDD"]]
+        + [("orphan", "3:4", "E"), ("duplicate_result", "3:4", "F"), ("open", "4:0", "None")]
+    )
+    assert {(r.kind, r.turn) for r in rows if r.kind == "duplicate_result"} == {("duplicate_result", 1), ("duplicate_result", 5)}
+
+
 def brute_levels(calls):
     depends, level = {c: {d for d in on if d in dict(calls)} for c, on in calls}, {}
     while free := [c for c, on in depends.items() if c not in level and on <= set(level)]:
