@@ -10,9 +10,14 @@ file is the sum over the files before it, a table with one row per file.
 The encoder works on chunks between spaces or newlines. That is exact where the tokenizer drops
 white space before merging, which is checked when it is loaded; other tokenizers get whole texts.
 
+Rows are dealt by ranges of (doc_id, hash of the text), so that many texts of one ``doc_id``, or
+without any, go to several tasks.
+
 Defined cases. A null or empty text has the end id alone. A null ``doc_id`` comes first. Repeated
-ids are ordered by text; wholly equal rows have equal ids whichever comes first. An empty table
-gives an empty table. Columns other than ``doc_id`` and ``text`` aren't written.
+ids are ordered by the hash of their text, then by text; wholly equal rows have equal ids whichever
+comes first. A very long text is encoded alone, whole, even if it has no space at all; one of 2^31
+tokens raises. An empty table gives an empty table. Columns other than ``doc_id`` and ``text``
+aren't written, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -22,11 +27,13 @@ import zlib
 from collections.abc import Iterator
 from unicodedata import is_normalized
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.chunk_ids import Memo, byte_level, groups, id_bytes, list_array, packed, text_list
+from heddle.llm.chunk_ids import IdTable, byte_level, chunk_ids, id_bytes, runs
 from heddle.workspace import scratch_path, ship_package
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
@@ -41,11 +48,13 @@ FILE_OPTIONS = {
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "2000",
 }
+#: A letter of the blocks Latin to Latin Extended-B but U+0130, and a punctuation mark of ASCII.
+LETTER_MARK = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])([!-/:-@\[-`{-~])"
 _ENCODERS: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Texts -> ids as packed bytes, with a memo by chunk."""
+    """Texts -> ids, each chunk encoded once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -56,46 +65,48 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.chunked = drops_space(spec) and all(a["content"].startswith("<|") for a in spec.get("added_tokens", []))
-        self.memo, self.words = Memo(self._chunk_ids), Memo(self._word_ids)
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _word_ids(self, words: list[str]) -> list[bytes]:
-        """Ids of normalised words of letters: each is one pre-token, so the model alone is asked."""
-        merge = self.tokenizer.model.tokenize
-        return [packed([t.id for t in merge(byte_level(w))]) for w in words]
-
-    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        """Most chunks are a word of letters with a full stop or comma, or none, behind it. Letters and
-        the rest never share a pre-token, and letters below U+0250 in composed form normalise to their
-        lower case; such words are looked up by that. Other chunks go through the whole tokenizer."""
-        cores, out = [c.rstrip(".,").lower() for c in chunks], [b""] * len(chunks)
-        plain = [w.isalpha() and (w.isascii() or (max(w) < "\u0250" and is_normalized("NFC", w))) and len(w) + len(c) - len(c.rstrip(".,")) == len(c) for w, c in zip(cores, chunks, strict=True)]
-        tails = [c[len(w) :] if p else "" for w, c, p in zip(cores, chunks, plain, strict=True)]
-        self.words.learn([[w for w, p in zip(cores, plain, strict=True) if p]])
-        odd = [i for i, p in enumerate(plain) if not p]
-        marks = sorted(set(tails) - {""})
-        ends = dict(zip(marks, self._ids(marks), strict=True)) | {"": b""}
-        for i, (w, t, p) in enumerate(zip(cores, tails, plain, strict=True)):
-            if p:
-                out[i] = self.words[w] + ends[t]
-        for i, ids in zip(odd, self._ids([chunks[i] for i in odd]), strict=True):
-            out[i] = ids
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.chunked:
-            return self._ids(texts)
-        out: list[bytes] = []
-        for run in groups(texts):
-            # ASCII texts may be lower-cased at once, unless that could make a special string.
-            low = [t.lower() if t.isascii() and "<|" not in t else t for t in run]
-            split = [t.replace("\n", " ").split(" ") for t in low]
-            self.memo.learn(split)
-            get = self.memo.__getitem__
-            out += [b"".join(map(get, chunks)) for chunks in split]
-        return out
+        self.table = IdTable(self._chunk_ids)
+
+    def _ids(self, texts: list[str]) -> tuple[list[int], list[int]]:
+        """Ids of texts end to end, and how many each has, by the whole tokenizer."""
+        ids, sizes = [], []
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids += e.ids
+            sizes.append(len(e.ids))
+        return ids, sizes
+
+    def _chunk_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Most chunks are letters. Such a chunk is one pre-token, and below U+0250, in composed form,
+        it normalises to its lower case, letters too but for U+0130; so the model alone is asked.
+        Others go through all steps."""
+        own = np.array([c.isalpha() and "\u0130" not in c and (c.isascii() or (max(c) < "\u0250" and is_normalized("NFC", c))) for c in chunks], bool)
+        words, odd = [c for c, o in zip(chunks, own, strict=True) if o], [c for c, o in zip(chunks, own, strict=True) if not o]
+        merge, ids, lengths = self.tokenizer.model.tokenize, [], []
+        for w in words:
+            pieces = merge(byte_level(w.lower()))
+            ids += [t.id for t in pieces]
+            lengths.append(len(pieces))
+        other_ids, other_lengths = self._ids(odd)
+        sizes = np.zeros(len(chunks), "int64")
+        sizes[own], sizes[~own] = lengths, other_lengths
+        out, mine = np.empty(int(sizes.sum()), "<i4"), np.repeat(own, sizes)
+        out[mine], out[~mine] = ids, other_ids
+        return out, sizes
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of texts."""
+        if self.chunked:
+            return chunk_ids(pc.split_pattern(pc.replace_substring(self._eased(texts), "\n", " "), " "), self.table)
+        ids, sizes = self._ids(texts.to_pylist())
+        return np.array(ids, "<i4"), np.concatenate([[0], np.cumsum(sizes)]).astype("int64")
+
+    @staticmethod
+    def _eased(texts: pa.Array) -> pa.Array:
+        """Texts of the same ids with fewer different chunks: A-Z lower-cased, and a space between a
+        Latin letter and punctuation of ASCII, which never share a pre-token. Letters are those that
+        normalise to letters. Texts that may hold special strings stay as they are."""
+        special = pc.match_substring(texts, "<|")
+        return pc.if_else(special, texts, pc.replace_substring_regex(pc.ascii_lower(texts), LETTER_MARK, r"\1 \2"))
 
 
 def drops_space(spec: dict) -> bool:
@@ -127,30 +138,40 @@ def encoder(path: str) -> Encoder:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Encode ``docs`` and write the files under ``path``."""
     ship_package(docs.sparkSession)
-    end = packed([end_id])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, start, encode_texts = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         for batch in batches:
-            ids, texts = batch.column("doc_id"), text_list(batch.column("text"))
             at = 0
-            for run in groups(texts):
-                rows = [b + end for b in encode_texts(run)]
-                sizes = [len(r) // 4 for r in rows]
-                starts = []
-                for n in sizes:
-                    starts.append(start)
-                    start += n
+            for run in runs(batch.column("text")):
+                ids, offsets = encode_texts(run)
+                # An end id goes behind the ids of each text.
+                offsets = offsets + np.arange(len(offsets))
+                if offsets[-1] >= 2**31:
+                    raise ValueError("a text may have 2^31 - 2 tokens at most")
+                closed = np.full(offsets[-1], end_id, "<i4")
+                inner = np.ones(offsets[-1], bool)
+                inner[offsets[1:] - 1] = False
+                closed[inner] = ids
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(run)), pa.array([part] * len(run), "int32"), pa.array(starts, "int64"), pa.array(sizes, "int64"), list_array(rows)],
+                    [
+                        batch.column("doc_id").slice(at, len(run)),
+                        pa.array(np.full(len(run), part, "int32")),
+                        pa.array(start + offsets[:-1]),
+                        pa.array(np.diff(offsets)),
+                        pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(closed)),
+                    ],
                     names=["doc_id", "part", "part_start", "n_tokens", "tokens"],
                 )
+                start += int(offsets[-1])
                 at += len(run)
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", "text")
-    ordered.sortWithinPartitions("doc_id", "text").mapInArrow(encode, SCHEMA).write.options(**FILE_OPTIONS).parquet(path)
+    # Bounds of ranges are sampled to the driver: ids and hashes are, texts aren't.
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_hash"), "text")
+    ordered = keyed.repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text").select("doc_id", "text")
+    ordered.mapInArrow(encode, SCHEMA).write.options(**FILE_OPTIONS).parquet(path)
 
 
 def with_start(rows: DataFrame, path: str) -> DataFrame:

@@ -5,16 +5,18 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from heddle.llm import piece_model, sentencepiece_codec, token_counts, token_files
+from heddle.llm import chunk_ids, piece_model, sentencepiece_codec, token_counts, token_files
 from heddle.workspace import scratch_path
 
 WORD, BYTE, PIECE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
-ODD = ["", " ", "a  b\n\n c", "İΣΣ É é", "x\u0085y\x1cz ", "<|endoftext|>a<|startoftext|>", "don't I'LL", "你好 12 😀😀", "a\tb\r\nc\x0b", "<s> </s> <0x0A>", "trail  ", "  lead"]
+ODD = ["", " ", "a  b\n\n c", "İΣΣ É é", "x\u0085y\x1cz ", "<|endoftext|>a<|startoftext|>", "don't I'LL", "你好 12 😀😀", "a\tb\r\nc\x0b", "<s> </s> <0x0A>", "trail  ", "  lead", "a.b,%% c's d'tx e'", "x.'s y-'ll", "e\u0301. E\u0301! İ.", "a.<|endoftext|>.b", "A<|B", "İ", "aİ.", "\u0958.", "×. ÷.", "ß.ǅ,ə."]
 
 
 @pytest.fixture(scope="module")
@@ -36,9 +38,18 @@ def sp():
     return sentencepiece.SentencePieceProcessor(model_file=PIECE)
 
 
+def encoded(encoder, texts):
+    """Ids of each text, by way of the runs that a task takes together."""
+    out = []
+    for run in chunk_ids.runs(pa.array(texts, "string")):
+        ids, offsets = encoder(run)
+        out += [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return out
+
+
 def check(texts, own, library, sp):
     ids = lambda rows: [np.frombuffer(r, "<u4").tolist() for r in rows]
-    assert ids(own["encoder"](texts)) == [e.ids for e in library[WORD].encode_batch(texts, add_special_tokens=False)]
+    assert encoded(own["encoder"], texts) == [e.ids for e in library[WORD].encode_batch(texts, add_special_tokens=False)]
     assert own["counter"](texts) == [len(e.ids) for e in library[BYTE].encode_batch(texts, add_special_tokens=False)]
     got = ids(own["codec"].encode(texts))
     assert got == sp.encode(texts)
@@ -61,12 +72,25 @@ def test_chunks_are_exact_on_documents(docs, own, library, sp):
 
 
 def test_memo_starts_anew(own, monkeypatch):
-    from heddle.llm import chunk_ids
-
     monkeypatch.setattr(chunk_ids, "MEMO_ENTRIES", 50)
     words = [" ".join(random.Random(i).choices("abcdefgh", k=30)) + str(i) for i in range(40)]
     small = token_files.Encoder(WORD)
-    assert [b for w in words for b in small([w])] == own["encoder"](words)
+    assert [ids for w in words for ids in encoded(small, [w])] == encoded(own["encoder"], words)
+
+
+def test_memo_lets_long_chunks_go(library):
+    small = token_files.Encoder(WORD)
+    long = "ab" * 3_000_000
+    assert encoded(small, [long, "a b"]) == [e.ids for e in library[WORD].encode_batch([long, "a b"], add_special_tokens=False)]
+    assert max(map(len, small.table.at)) <= chunk_ids.MEMO_CHARS
+
+
+def test_runs_cover_all_texts(monkeypatch):
+    monkeypatch.setattr(chunk_ids, "GROUP_CHARS", 10)
+    texts = ["abc", None, "x" * 30, "", "abcdefgh", "ijk", None]
+    got = [r.to_pylist() for r in chunk_ids.runs(pa.array(texts, "string"))]
+    assert sum(got, []) == [t or "" for t in texts] and all(len(r) == 1 or sum(map(len, r)) <= 10 for r in got)
+    assert list(chunk_ids.runs(pa.array([], "string"))) == []
 
 
 def test_token_files(spark, awkward, clashing, empty, library):
@@ -74,15 +98,32 @@ def test_token_files(spark, awkward, clashing, empty, library):
         path = scratch_path(spark, "tokens")
         token_files.write_token_files(frame, path, WORD, 1)
         rows = token_files.with_crc32(token_files.read_token_files(spark, path)).collect()
-        raw = sorted(((r.doc_id, r.text or "") for r in frame.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        hashed = frame.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+        raw = sorted(((r.doc_id, r.text or "", r.h) for r in hashed), key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[1]))
         want, start = [], 0
-        for d, t in raw:
+        for d, t, _ in raw:
             ids = [*library[WORD].encode(t, add_special_tokens=False).ids, 1]
             want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
             start += len(ids)
         assert sorted(rows, key=lambda r: r.start) == want
 
 
+def test_one_id_goes_to_several_files(spark):
+    """Many texts of one id, and of none, are dealt by their hashes."""
+    rows = [(None if i % 2 else 7, f"text {i} of many") for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = scratch_path(spark, "tokens")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_files.write_token_files(frame, path, WORD, 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = token_files.read_token_files(spark, path).orderBy("start").collect()
+    assert len(got) == 400 and [r.doc_id for r in got] == [None] * 200 + [7] * 200
+    parts = spark.read.parquet(path).groupBy("doc_id").agg(F.count_distinct("part").alias("n")).collect()
+    assert all(r.n > 1 for r in parts)
+
+
 def test_token_file_format(spark, docs):
     import glob
 
