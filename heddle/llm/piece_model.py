@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import struct
+import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,7 +18,8 @@ import numpy as np
 from heddle.llm.chunk_ids import Memo, groups, packed
 
 MARK = "▁"
-#: Stands between chunks that are encoded as one text; private-use characters.
+#: Stands between chunks that are encoded as one text; private-use characters. Chunks that hold one of
+#: them go alone, so that no chunk can make up a part of it.
 BREAK, RUN = "\ue000|\ue001|\ue000", 4096
 #: Piece types and model types of the format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -144,12 +146,17 @@ class Codec:
     """Encodes and decodes texts with the rebuilt model.
 
     Normalised text is cut before each run of markers and around newlines. No token crosses such a
-    cut unless some piece does, which is looked up once; then whole texts are encoded. With
-    ``verify`` each chunk not met before is also encoded by the sentencepiece library and a
-    difference raises.
+    cut unless some piece does, which is looked up once; then whole texts are encoded.
+
+    With ``verify`` each chunk not met before is also encoded by the sentencepiece library, behind a
+    marker or a newline as it stood, and so is a share of ``whole`` of all texts, chosen by their
+    checksum, to prove the cuts. Where chunks can't be given to the library (a model with a character
+    map, or without the marker in front) all texts are compared whole. A difference raises.
+
+    Models with pieces defined by the user, and of types other than BPE and unigram, raise.
     """
 
-    def __init__(self, path: str, verify: bool = True):
+    def __init__(self, path: str, verify: bool = True, whole: float = 0.01):
         from tokenizers import AddedToken
 
         self.model = PieceModel.load(path)
@@ -165,16 +172,19 @@ class Codec:
         self.memo = Memo(self._ids)
         self.tokenizer.add_special_tokens([AddedToken(BREAK, special=True, normalized=False)])
         self.break_id = self.tokenizer.token_to_id(BREAK)
-        self.reference = None
+        self.reference, self.whole = None, whole
         if verify:
             import sentencepiece
 
             self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.by_chunk = self.cut is not None and not self.normalise_chars and self.model.dummy_prefix
+            self.before = self.reference.encode("a\n")
+            self.newline = self.before[len(self.reference.encode("a")) :]
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk. Many chunks go as one text, a special token between them: the library
         cuts there before all else, and an object per chunk is spared."""
-        plain = [i for i, c in enumerate(chunks) if BREAK not in c]
+        plain = [i for i, c in enumerate(chunks) if "\ue000" not in c and "\ue001" not in c]
         runs = [plain[a : a + RUN] for a in range(0, len(plain), RUN)]
         encoded = self.tokenizer.encode_batch_fast([BREAK.join([chunks[i] for i in run]) for run in runs], add_special_tokens=False)
         out: list[bytes] = [b""] * len(chunks)
@@ -185,15 +195,30 @@ class Codec:
                 out[i] = raw[a + 4 : b]
         for i in set(range(len(chunks))) - set(plain):
             out[i] = packed([t.id for t in self.tokenizer.model.tokenize(chunks[i])])
-        if self.reference is not None and not self.normalise_chars and self.model.dummy_prefix:
-            # The library puts a marker in front; chunks that begin with one get it that way.
-            own = [i for i, c in enumerate(chunks) if c.startswith(MARK) and c != MARK]
-            theirs = self.reference.encode([chunks[i][1:].replace(MARK, " ") for i in own], num_threads=1)
-            for i, other in zip(own, theirs, strict=True):
-                if out[i] != array("I", other).tobytes():
-                    raise ValueError(f"no parity on {chunks[i]!r}: {np.frombuffer(out[i], '<u4').tolist()} and {other}")
+        if self.reference is not None and self.by_chunk:
+            self._compare(chunks, out)
         return out
 
+    def _compare(self, chunks: list[str], own: list[bytes]) -> None:
+        """Raise where the library has other ids. It puts a marker in front of what it is given, so a
+        chunk that begins with one goes without; markers alone stand before a newline, and other
+        chunks behind one."""
+        asked = [c[1:] + ("" if c.strip(MARK) else "\n") if c.startswith(MARK) else "a\n" + c for c in chunks]
+        for c, ids, theirs in zip(chunks, own, self.reference.encode(asked, num_threads=1), strict=True):
+            if not c.startswith(MARK):
+                theirs = theirs[len(self.before) :]
+            elif not c.strip(MARK):
+                theirs = theirs[: len(theirs) - len(self.newline)]
+            if ids != array("I", theirs).tobytes():
+                raise ValueError(f"no parity on {c!r}: {np.frombuffer(ids, '<u4').tolist()} and {theirs}")
+
+    def _compare_whole(self, texts: list[str], own: list[bytes]) -> None:
+        share = self.whole if self.by_chunk else 1.0
+        picked = [i for i, t in enumerate(texts) if zlib.crc32(t.encode("utf-8", "surrogatepass")) < share * 2**32]
+        for i, theirs in zip(picked, self.reference.encode([texts[i] for i in picked], num_threads=1), strict=True):
+            if own[i] != array("I", theirs).tobytes():
+                raise ValueError(f"no parity on the text {texts[i][:200]!r}")
+
     def normalise(self, text: str) -> str:
         """The text that decoding gives back, before markers are put in."""
         if self.normalise_chars:
@@ -214,12 +239,15 @@ class Codec:
         for run in groups(texts):
             marked = [self._marked(self.normalise(t)) for t in run]
             if self.cut is None:
-                out += self._ids(marked)
-                continue
-            split = [self.cut(t) for t in marked]
-            self.memo.learn(split)
-            get = self.memo.__getitem__
-            out += [b"".join(map(get, s)) for s in split]
+                rows = self._ids(marked)
+            else:
+                split = [self.cut(t) for t in marked]
+                self.memo.learn(split)
+                get = self.memo.__getitem__
+                rows = [b"".join(map(get, s)) for s in split]
+            if self.reference is not None:
+                self._compare_whole(run, rows)
+            out += rows
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:

@@ -1,15 +1,17 @@
 """SentencePiece encoding and decoding on the tokenizers library.
 
 The model file is parsed and rebuilt (``piece_model``): normaliser, marker for spaces, scores as
-merges or unigram scores, byte fallback. Texts are encoded in multithreaded batches; parity with
-the sentencepiece library is verified on every chunk a worker meets for the first time.
+merges or unigram scores, byte fallback. Texts are encoded in multithreaded batches. Parity with
+the sentencepiece library is verified on every chunk a worker meets for the first time, and on one
+in a hundred whole texts; for models whose chunks can't be compared, on all whole texts.
 
 The supplied model is of the BPE kind, so its scores order merges; models of the unigram kind
 are rebuilt with their scores as they are.
 
 Defined cases. Null and empty texts have no ids and decode to the empty text. Null ids and
-repeated rows pass through, row by row; an empty table gives an empty table. Columns other than
-``doc_id`` and ``text`` aren't read.
+repeated rows pass through, row by row; an empty table gives an empty table. A very long text is
+encoded alone, whole, even if it has no space at all. Models with pieces defined by the user, and of
+types other than BPE and unigram, raise. Columns other than ``doc_id`` and ``text`` aren't read.
 """
 
 from __future__ import annotations
@@ -70,12 +72,15 @@ def decode(tokens: DataFrame, model: str) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, model: str, verify: bool = True) -> DataFrame:
-    """Encode and decode in one pass: doc_id, n_tokens, ids_crc32, decoded_sha256, same_text.
+def round_trip(docs: DataFrame, model: str, verify: bool = True, keep_tokens: bool = False) -> DataFrame:
+    """Encode and decode in one pass: doc_id, n_tokens, ids_crc32, decoded_sha256, same_text, and
+    with ``keep_tokens`` tokens array<int>.
 
     ``same_text`` compares the decoded text with the normalised one.
     """
     ship_package(docs.sparkSession)
+    schema = "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, same_text boolean" + (", tokens array<int>" if keep_tokens else "")
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model, verify)
@@ -84,20 +89,18 @@ def round_trip(docs: DataFrame, model: str, verify: bool = True) -> DataFrame:
             for run in groups(text_list(batch.column("text"))):
                 rows = own.encode(run)
                 back = own.decode([np.frombuffer(r, "<u4").tolist() for r in rows])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(at, len(run)),
-                        pa.array([len(r) // 4 for r in rows], "int64"),
-                        pa.array([zlib.crc32(r) for r in rows], "int64"),
-                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], "string"),
-                        pa.array([own.normalise(t) == b for t, b in zip(run, back, strict=True)]),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "same_text"],
-                )
+                columns = [
+                    batch.column("doc_id").slice(at, len(run)),
+                    pa.array([len(r) // 4 for r in rows], "int64"),
+                    pa.array([zlib.crc32(r) for r in rows], "int64"),
+                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], "string"),
+                    pa.array([own.normalise(t) == b for t, b in zip(run, back, strict=True)]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns + ([list_array(rows)] if keep_tokens else []), names=names)
                 at += len(run)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(work, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, same_text boolean")
+    return rows.mapInArrow(work, schema)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

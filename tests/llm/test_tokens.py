@@ -169,6 +169,27 @@ def test_sentencepiece_awkward(awkward, clashing, empty, sp):
     assert sentencepiece_codec.round_trip(empty, PIECE).count() == 0
 
 
+@pytest.mark.parametrize("odd", [piece_model.BREAK, "\ue000", "\ue001", "\ue000|", "\ue000|\ue001|", "|\ue000", "|\ue001|\ue000", "▁▁x ▁", "▁"])
+def test_separators_in_texts(sp, odd):
+    """Parts of the separator, and markers, at every place of a text and of its chunks."""
+    codec = piece_model.Codec(PIECE, whole=1.0)
+    texts = [odd, f"x\n{odd}\ny", f"{odd} x", f"x {odd}", f"x{odd}y", f"{odd}\n", f"\n{odd}", f"{odd}{odd}", f"a {odd}b\n{odd} c", "plain"]
+    assert [np.frombuffer(r, "<u4").tolist() for r in codec.encode(texts)] == sp.encode(texts)
+
+
+def test_parity_is_verified_on_every_kind_of_chunk():
+    for text in ("one two", "one\ntwo", "\n", "  \n", "one\n two"):
+        codec = piece_model.Codec(PIECE, whole=0.0)
+        codec.encode([text])
+        chunks = list(codec.memo)
+        for chunk in chunks:
+            with pytest.raises(ValueError, match="no parity"):
+                codec._compare([chunk], [codec.memo[chunk] + b"\1\0\0\0"])
+        with pytest.raises(ValueError, match="no parity"):
+            codec.whole = 1.0
+            codec._compare_whole([text], [b""])
+
+
 def test_unigram_models_are_rebuilt():
     """A small unigram model, written by hand in the wire format."""
     import struct
