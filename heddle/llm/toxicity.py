@@ -9,10 +9,14 @@ none of the rows held out (crc32 of doc_id as text, mod 3, is 1). It is cross-fi
 folds: a row's features come from a lexicon, and its calibration score from trees, that haven't
 seen its label. Scoring covers all documents. doc_id, lang, source and labels aren't features.
 
+The lexicon has all terms that pass the test of evidence; the bounded sample bounds it.
+
 Defined cases. Null and empty texts are scored like any text without words. A null ``doc_id`` isn't
 held out and is never learned from. Several labels of a document count as toxic if any is. Null
-labels are ignored. Where the training rows lack one of both labels, or are fewer than 40, scores
-come from the fixed list alone: 1 - 0.45^(hits), at most 0.98. An empty table gives an empty table.
+labels are ignored. Repeated rows of a document are each learned from, and each scored. Training
+rows of one label only, or none, have nothing to tell labels apart by: all documents score the share
+of toxic ones, (toxic + 1) / (rows + 2). A very long text is measured alone, whole. An empty table
+gives an empty table. Columns beyond those named aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from heddle.llm.chunk_ids import groups, text_list
 from heddle.llm.toxic_features import NAMES, Features, document_terms
 from heddle.workspace import materialise, ship_package
 
-TRAIN_ROWS, FOLDS, LEXICON, THRESHOLD = 20_000, 3, 3_000, 0.7
+TRAIN_ROWS, FOLDS, THRESHOLD = 20_000, 3, 0.7
 
 
 def held_out() -> F.Column:
@@ -85,28 +89,26 @@ def lexicons(rows: DataFrame, least_evidence: float = 4.0) -> list[frozenset[str
         # Of two kinds of documents as common as each other, so that the shares compare.
         ratio = pos * F.log(pos / both / share) + F.when(neg > 0, neg * F.log(neg / both / (1 - share))).otherwise(0.0)
         kept = counted.where((pos >= 3) & (pos / both >= 0.6)).select("term", (ratio - math.log(tried)).alias("evidence"))
-        top = kept.where(F.col("evidence") >= least_evidence).orderBy(F.desc("evidence"), "term").limit(LEXICON)
-        found.append(frozenset(r["term"] for r in top.collect()))
+        # Terms of at most ``train_rows`` documents, each in three or more of them.
+        found.append(frozenset(r["term"] for r in kept.where(F.col("evidence") >= least_evidence).collect()))
     return found
 
 
 class Scorer:
-    """Trees, calibration and lexicon; texts -> scores."""
+    """Trees, calibration and lexicon; texts -> scores. Without trees every text scores ``share``."""
 
-    def __init__(self, lexicon: frozenset[str], trees: Boosted | None, steps: Isotonic | None):
-        self.lexicon, self.trees, self.steps, self.features = lexicon, trees, steps, None
+    def __init__(self, lexicon: frozenset[str], trees: Boosted | None, steps: Isotonic | None, share: float = 0.0):
+        self.lexicon, self.trees, self.steps, self.share, self.features = lexicon, trees, steps, share, None
 
     def __getstate__(self):
         return self.__dict__ | {"features": None}
 
     def __call__(self, texts: list[str]) -> np.ndarray:
+        if self.trees is None:
+            return np.full(len(texts), self.share)
         if self.features is None:
             self.features = Features(self.lexicon)
-        x = self.features(texts)
-        if self.trees is None:
-            hits = np.expm1(x[:, NAMES.index("log_hits")])
-            return np.minimum(0.98, 1 - 0.45**hits)
-        raw = self.trees.raw(x)
+        raw = self.trees.raw(self.features(texts))
         # The raw score keeps order within a step of the calibration.
         return np.clip(0.999 * self.steps(raw) + 0.001 / (1 + np.exp(-raw)), 0.0, 1.0)
 
@@ -115,8 +117,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Sco
     ship_package(docs.sparkSession)
     rows = training_rows(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), train_rows)
     counts = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).first()
-    if counts["n"] < 40 or not 0 < counts["pos"] < counts["n"]:
-        return Scorer(frozenset(), None, None)
+    toxic = counts["pos"] or 0
+    if not 0 < toxic < counts["n"]:
+        return Scorer(frozenset(), None, None, (toxic + 1) / (counts["n"] + 2))
     words = lexicons(rows)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Sco
 def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     ship_package(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # LEXICON terms and the trees
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # the terms and the trees
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

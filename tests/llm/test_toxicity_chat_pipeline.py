@@ -1,6 +1,8 @@
 """Toxicity by held-out accuracy, tool calls by small cases, and the pipeline end to end."""
 
+import hashlib
 import json
+from collections import Counter
 import zlib
 
 import numpy as np
@@ -63,48 +65,93 @@ def test_held_out_labels_are_not_learned(planted):
     assert score(labels) == score(flipped)
 
 
-def test_toxicity_awkward(spark, awkward, clashing, empty):
-    labels = spark.createDataFrame([(1, None), (None, 1), (2, 1), (2, 0)], "doc_id long, toxic int")
+def test_toxicity_of_one_label(spark, awkward, clashing, empty):
+    """Without both labels there is nothing to learn: the share of toxic rows, of those not held out."""
+    a, b = [i for i in (1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 13, 14, 15) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    cases = [([(a, None), (None, 1)], 1 / 2), ([(a, 1), (a, 0), (b, 1)], 3 / 4), ([(a, 0), (b, None)], 1 / 3)]
+    for rows, share in cases:
+        labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+        for frame in (awkward, clashing):
+            out = toxicity.score(frame, toxicity.fit(frame, labels)).collect()
+            assert len(out) == frame.count() and all(r.score == share and r.predicted == (r.score >= 0.7) for r in out)
+        assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
+
+
+def test_trained_on_awkward_rows(spark, awkward, clashing, empty):
+    """Null, empty, repeated and very long texts among the learned and the scored, by the trees."""
+    insults = [f"you are such a stupid worthless idiot number {i}" for i in range(60)]
+    plain = [f"the river runs by the old mill and the road number {i}" for i in range(60)]
+    texts = insults + plain + [None, "", "x" * 3_000_000, "you idiot " * 200_000, " \n\t "]
+    made = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)] + [(100, texts[0])] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(100 + i, int(i < 60 or i == 123)) for i in range(len(texts))] + [(None, 1), (100, None)], "doc_id long, toxic int")
+    scorer = toxicity.fit(made, labels)
+    assert scorer.trees is not None
+    got = {r.doc_id: r.score for r in toxicity.score(made, scorer).collect()}
+    assert min(got[100 + i] for i in range(60)) > max(got[160 + i] for i in range(60))
     for frame in (awkward, clashing, empty):
-        out = toxicity.score(frame, toxicity.fit(frame, labels)).collect()
-        assert len(out) == frame.count()
-        assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in out)
+        out = toxicity.score(frame, scorer).collect()
+        assert len(out) == frame.count() and all(0 <= r.score <= 1 for r in out)
 
 
 CALLS = [
     (1, 0, "a", "user", '{"words":3,"text":"one two three"}', []), (1, 1, "b", "user", '{"text":"x y","words":2}', ["a"]), (1, 2, "c", "user", "not json", ["b", "a"]),
-    (1, 3, "d", "user", '{"text":"", "words":2}', ["e"]), (1, 4, "e", "user", '{"text":"x", "words":"2"}', ["d"]), (2, 0, "a", "user", "{}", []), (None, None, None, None, None, None),
+    (1, 3, "d", "user", '{"text":"", "words":2}', ["e"]), (1, 4, "e", "user", '{"text":"x", "words":"2"}', ["d"]), (2, 0, "a", "user", "{}", []), (1, 9, "a", "user", "{}", []), (None, None, None, None, None, None),
     (2, 1, "f", "nobody", '{"b":{"z":1,"a":[1,2]},"a":"é\\n"}', ["gone"]),
 ]
-RESULTS = [(5, "a", "first"), (6, "a", "second"), (7, "zz", "orphan"), (8, None, "lost"), (9, "b", None), (9, "f", 'say "hi"')]
+RESULTS = [
+    (1, 5, "a", "first"), (1, 6, "a", "second"), (1, 7, "zz", "orphan"), (1, 8, None, "lost"), (1, 9, "b", None), (2, 9, "f", 'say "hi"'), (None, 9, "f", "nowhere"),
+    (2, 3, "a", "another conversation's"),
+]
 
 
 @pytest.fixture(scope="module")
 def linked(spark):
     calls = spark.createDataFrame(CALLS, "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>").withColumn("kind", F.lit("extra"))
-    results = spark.createDataFrame(RESULTS, "turn long, call_id string, content string").withColumn("level", F.lit("extra"))
+    results = spark.createDataFrame(RESULTS, "conv_id long, turn long, call_id string, content string").withColumn("level", F.lit("extra"))
     return tool_chat.link_tool_calls(calls, results, tool_chat.SCHEMAS).collect()
 
 
 def test_links_levels_and_faults(linked):
-    main = {r.call_id: r for r in linked if r.kind in ("linked", "open", "orphan") and r.call_id}
-    assert {k: r.kind for k, r in main.items()} == {"a": "linked", "b": "linked", "c": "open", "d": "open", "e": "open", "f": "linked", "zz": "orphan"}
-    assert {k: main[k].level for k in "abcdef"} == {"a": 0, "b": 1, "c": 2, "d": None, "e": None, "f": 0}
-    assert main["f"].lost == 1 and main["a"].n_results == 2
-    assert [(r.call_id, r.conv_id, r.error) for r in linked if r.kind == "duplicate"] == [("a", 2, "text is missing")]
-    faults = {k: main[k].error for k in "abcdef"}
-    assert faults == {"a": None, "b": None, "c": "arguments are no object", "d": "text is below 1", "e": "words is no integer", "f": "unknown name"}
+    main = {(r.conv_id, r.call_id): r for r in linked if r.kind in ("linked", "open", "orphan") and r.call_id}
+    kinds = {(1, "a"): "linked", (1, "b"): "linked", (1, "c"): "open", (1, "d"): "open", (1, "e"): "open", (2, "a"): "linked", (2, "f"): "linked", (1, "zz"): "orphan"}
+    assert {k: r.kind for k, r in main.items()} == kinds
+    levels = {(1, "a"): 0, (1, "b"): 1, (1, "c"): 2, (1, "d"): None, (1, "e"): None, (2, "a"): 0, (2, "f"): 0, (1, "zz"): None}
+    assert {k: r.level for k, r in main.items()} == levels
+    places = {(1, "a"): 1, (1, "b"): 2, (1, "c"): 3, (1, "d"): None, (1, "e"): None, (2, "a"): 1, (2, "f"): 2, (1, "zz"): None}
+    assert {k: r.position for k, r in main.items()} == places
+    assert main[2, "f"].lost == 1 and main[1, "a"].n_results == 2 and main[2, "a"].n_results == 1
+    assert [(r.call_id, r.conv_id, r.error) for r in linked if r.kind == "duplicate"] == [("a", 1, "text is missing")]
+    faults = {k: main[1, k].error for k in "abcde"}
+    assert faults == {"a": None, "b": None, "c": "arguments are no object", "d": "text is below 1", "e": "words is no integer"}
+    assert main[2, "f"].error == "unknown name"
     assert [r.error for r in linked if r.call_id is None] == ["unknown name"]
 
 
 def test_canonical_json(linked):
-    text = {r.call_id: r.canonical for r in linked if r.kind != "duplicate"}
-    assert text["a"] == '{"arguments":{"text":"one two three","words":3},"call_id":"a","level":0,"name":"user","result":"first"}'
-    assert text["f"] == '{"arguments":{"a":"é\\n","b":{"a":[1,2],"z":1}},"call_id":"f","level":0,"name":"nobody","result":"say \\"hi\\""}'
+    text = {(r.conv_id, r.call_id): r.canonical for r in linked if r.kind != "duplicate"}
+    assert text[1, "a"] == '{"arguments":{"text":"one two three","words":3},"call_id":"a","level":0,"name":"user","result":"first"}'
+    assert text[2, "a"] == '{"arguments":{},"call_id":"a","level":0,"name":"user","result":"another conversation\'s"}'
+    assert text[2, "f"] == '{"arguments":{"a":"é\\n","b":{"a":[1,2],"z":1}},"call_id":"f","level":0,"name":"nobody","result":"say \\"hi\\""}'
     for t in text.values():
         assert json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False) == t
 
 
+def test_positions_by_level_turn_and_identifier(spark):
+    """A conversation of many ties, one of a chain against the order of its turns, and one of one call."""
+    rng = np.random.default_rng(3)
+    rows = [(1, int(rng.integers(0, 4)), f"k{i}", [f"k{d}" for d in rng.integers(0, i, min(i, 2)).tolist()]) for i in range(60)]
+    rows += [(2, 20 - i, f"k{i}", [f"k{i - 1}"] if i else []) for i in range(20)] + [(3, None, "k0", ["gone"])]
+    calls = spark.createDataFrame([(c, t, k, "user", "{}", on) for c, t, k, on in rows], "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    got = {(r.conv_id, r.call_id): r for r in tool_chat.link_tool_calls(calls.repartition(5), results, {"user": {}}).collect()}
+    for c in (1, 2, 3):
+        own = [(t, k, on) for conv, t, k, on in rows if conv == c]
+        level = brute_levels([(k, set(on)) for _, k, on in own])
+        order = sorted(own, key=lambda r: (level[r[1]], -1 if r[0] is None else r[0], r[1]))
+        assert [got[c, k].position for _, k, _ in order] == list(range(1, len(own) + 1))
+        assert all(got[c, d].position < got[c, k].position for _, k, on in own for d in on if (c, d) in got)
+
+
 def test_no_result_is_lost(spark, tmp_path):
     """Every assistant text of a conversation is in a row of its own, whatever its keys."""
     turns = [(1, 0, "user", "ask this"), (1, 1, "assistant", "A"), (1, 1, "assistant", "B"), (1, 1, "assistant", "B"), (1, 1, "assistant", None)]
@@ -114,9 +161,15 @@ def test_no_result_is_lost(spark, tmp_path):
     rows = tool_chat.op4_tool_chat(spark, str(tmp_path)).collect()
     held = sorted((r.kind, r.call_id or "", str(json.loads(r.canonical)["result"])) for r in rows)
     assert held == sorted(
-        [("linked", "1:0", "None"), *[("duplicate_result", "1:0", t) for t in "ABB"], *[("orphan", "", t) for t in "CDD"]]
-        + [("orphan", "3:4", "E"), ("duplicate_result", "3:4", "F"), ("open", "4:0", "None")]
+        [("linked", "call_0", "None"), *[("duplicate_result", "call_0", t) for t in "ABB"], ("orphan", "call_2", "C"), *[("orphan", "", "D")] * 2]
+        + [("orphan", "call_4", "E"), ("duplicate_result", "call_4", "F"), ("open", "call_0", "None")]
     )
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = c.sql(tool_chat.OP4_SQL)
+    assert Counter(tuple(r[n] for n in want.columns) for r in rows) == Counter(want.fetchall())
     assert {(r.kind, r.turn) for r in rows if r.kind == "duplicate_result"} == {("duplicate_result", 1), ("duplicate_result", 5)}
 
 
@@ -150,7 +203,7 @@ def test_long_chains_take_few_jobs(spark):
 
 def test_no_calls(spark):
     calls = spark.createDataFrame([], "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>")
-    results = spark.createDataFrame([], "turn long, call_id string, content string")
+    results = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
     assert tool_chat.link_tool_calls(calls, results, tool_chat.SCHEMAS).count() == 0
 
 
