@@ -5,16 +5,22 @@ sketch is a log-bucket histogram: values are counted in buckets whose bounds gro
 ``(1 + accuracy) / (1 - accuracy)``, so any quantile is off by ``accuracy`` of its value at most,
 two sketches merge by adding counts, and the result doesn't depend on the order of merging. The
 sketch of a language is the merge of its sources' sketches, that of the corpus the merge of all.
-Fences come from the quartiles, ``q75 + reach * spread`` above and ``q25 - reach * spread`` below
-(word length only), where ``spread`` is the interquartile range, at least ``min_spread``. A
-(lang, source) with fewer than ``min_docs`` documents uses its language's fences, and a language
-with fewer the corpus's. Documents are then joined with their fences and filtered.
+
+Quartiles of a small group are uncertain, so they are drawn towards its parent's: of n documents'
+own quartile and the parent's, the mean with the weights n and ``prior``; a language's parent is the
+corpus. That changes smoothly with n, there is no size at which another rule sets in. Fences come
+from the quartiles, ``q75 + reach * spread`` above and ``q25 - reach * spread`` below (word length
+only), where ``spread`` is the interquartile range, at least ``min_spread``, so that a source in
+which nearly all rates are 0 doesn't lose its first document of another rate. Least spreads are such
+that every fence can fall among documents that the base rules pass. Documents are then joined with
+their fences and filtered.
 
 Only documents that pass the base rules enter the sketches.
 
 Defined cases. A null text has no words and fails the base rules. Null languages and sources are
-groups of their own. Repeated rows are judged row by row. Empty tables give empty tables. Result
-columns replace input columns of the same name; other columns are carried through.
+groups of their own. Very long texts are measured whole, in one row. Repeated rows are judged row by
+row. Empty tables give empty tables. Result columns replace input columns of the same name; other
+columns are carried through.
 """
 
 from __future__ import annotations
@@ -30,13 +36,13 @@ from heddle.workspace import bind, materialise
 MIN_WORDS, REPEAT_SHARE, WINDOW = 20, 30, 8
 #: metric -> (numerator, denominator, least spread, fenced below too)
 METRICS = {
-    "symbol_rate": ("n_symbols", "word_chars", 0.02, False),
-    "dup_line_rate": ("n_dup_lines", "n_text_lines", 0.2, False),
-    "repeat_rate": ("n_repeat_words", "n_words", 0.1, False),
-    "echo_rate": ("n_echoes", "n_words", 0.1, False),
-    "word_length": ("word_chars", "n_words", 1.0, True),
+    "symbol_rate": ("n_symbols", "word_chars", 0.01, False),
+    "dup_line_rate": ("n_dup_lines", "n_text_lines", 0.1, False),
+    "repeat_rate": ("n_repeat_words", "n_words", 0.05, False),
+    "echo_rate": ("n_echoes", "n_words", 0.02, False),
+    "word_length": ("word_chars", "n_words", 0.75, True),
 }
-ACCURACY, REACH, MIN_DOCS = 0.01, 3.0, 200
+ACCURACY, REACH, PRIOR = 0.01, 3.0, 200
 ZERO = -100_000  # bucket of values too small to count
 LEAST = 1e-6
 
@@ -121,8 +127,8 @@ def sketches(measured: DataFrame, accuracy: float = ACCURACY) -> DataFrame:
     )
 
 
-def fences(sketch: DataFrame, accuracy: float, reach: float, min_docs: int) -> DataFrame:
-    """One row per (lang, source): ``<metric>_low`` and ``<metric>_high``.
+def fences(sketch: DataFrame, accuracy: float = ACCURACY, reach: float = REACH, prior: int = PRIOR) -> DataFrame:
+    """One row per (lang, source): ``<metric>`` with the fields low and high.
 
     Rows of a sketch are at most the buckets between the least and the largest rate, a few
     hundred, whatever the number of documents.
@@ -132,7 +138,8 @@ def fences(sketch: DataFrame, accuracy: float, reach: float, min_docs: int) -> D
     value = F.when(F.col("bucket") == ZERO, F.lit(0.0)).otherwise(F.exp(F.col("bucket") * gamma) * middle)
     spread_of = F.coalesce(*[F.when(F.col("metric") == m, F.lit(METRICS[m][2])) for m in METRICS])
 
-    def level(keys: list[str]) -> DataFrame:
+    def quartiles(keys: list[str], mark: str) -> DataFrame:
+        """keys, metric, and q1, q3, n with a mark in front."""
         merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
         group = Window.partitionBy(*keys, "metric")
         ranked = merged.select(
@@ -143,21 +150,20 @@ def fences(sketch: DataFrame, accuracy: float, reach: float, min_docs: int) -> D
             F.sum("n").over(group).alias("total"),
         )
         at = lambda q: F.min(F.when(F.col("cum") >= q * F.col("total"), F.col("value")))
-        quartiles = ranked.groupBy(*keys, "metric").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("total").alias("total"))
-        spread = F.greatest(F.col("q3") - F.col("q1"), spread_of)
-        bounds = F.struct((F.col("q1") - reach * spread).alias("low"), (F.col("q3") + reach * spread).alias("high"))
-        one = lambda m: F.max(F.when(F.col("metric") == m, bounds))
-        return quartiles.groupBy(*keys).agg(F.max("total").alias("total"), *[one(m).alias(m) for m in METRICS])
-
-    own = level(["lang", "source"])
-    tongue = level(["lang"]).select(F.col("lang").alias("_lang"), F.col("total").alias("_n"), *[F.col(m).alias(f"_{m}") for m in METRICS])
-    corpus = level([]).select(*[F.col(m).alias(f"__{m}") for m in METRICS])
-    joined = own.join(tongue, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(corpus), how="left")
-    chosen = [
-        F.when(F.col("total") >= min_docs, F.col(m)).when(F.col("_n") >= min_docs, F.col(f"_{m}")).otherwise(F.col(f"__{m}")).alias(m)
-        for m in METRICS
-    ]
-    return joined.select("lang", "source", *chosen)
+        return ranked.groupBy(*keys, "metric").agg(at(0.25).alias(f"{mark}q1"), at(0.75).alias(f"{mark}q3"), F.max("total").alias(f"{mark}n"))
+
+    def drawn(q: str) -> Column:
+        """The group's quartile drawn towards the language's, which is drawn towards the corpus's."""
+        tongue = (F.col("l_n") * F.col(f"l_{q}") + prior * F.col(f"c_{q}")) / (F.col("l_n") + prior)
+        return (F.col("n") * F.col(q) + prior * tongue) / (F.col("n") + prior)
+
+    tongue = quartiles(["lang"], "l_").withColumnsRenamed({"lang": "l_lang", "metric": "l_metric"})
+    near = F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric"))
+    joined = quartiles(["lang", "source"], "").join(tongue, near).join(quartiles([], "c_"), "metric")
+    own = joined.select("lang", "source", "metric", drawn("q1").alias("q1"), drawn("q3").alias("q3"))
+    spread = F.greatest(F.col("q3") - F.col("q1"), spread_of)
+    bounds = F.struct((F.col("q1") - reach * spread).alias("low"), (F.col("q3") + reach * spread).alias("high"))
+    return own.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, bounds)).alias(m) for m in METRICS])
 
 
 def judge(measured: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -174,18 +180,16 @@ def judge(measured: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def quality_rules(
-    docs: DataFrame, accuracy: float = ACCURACY, reach: float = REACH, min_docs: int = MIN_DOCS, keep_text: bool = True
+    docs: DataFrame, accuracy: float = ACCURACY, reach: float = REACH, prior: int = PRIOR, keep_text: bool = True
 ) -> DataFrame:
     """``docs`` plus the measures, ``base_failed`` and ``kept``.
 
-    Without ``keep_text`` the measures are written once to the shared folder and the text is not
-    carried; with it the sketches and the filter each measure the texts.
+    Rows are measured once and written to the shared folder, without the text unless ``keep_text``.
+    The sketches then read the measures' columns alone, and the filter reads what is asked of it.
     """
-    docs = docs.select([c for c in docs.columns if c != "kept"])
-    measured = measure(docs)
-    if not keep_text:
-        measured = materialise(measured.drop("text"), "measures")
-    bounds = materialise(fences(sketches(measured, accuracy), accuracy, reach, min_docs), "fences")
+    measured = measure(docs.select([c for c in docs.columns if c != "kept"]))
+    measured = materialise(measured if keep_text else measured.drop("text"), "measures")
+    bounds = materialise(fences(sketches(measured, accuracy), accuracy, reach, prior), "fences")
     return judge(measured, bounds)
 
 
@@ -213,16 +217,16 @@ def _op8_sql() -> str:
         for m in METRICS
     )
 
-    def level(keys: str) -> str:
+    def quartiles(keys: str) -> str:
         group = f"{keys}, metric" if keys else "metric"
-        return f"""SELECT {group}, max(total) AS total, min(value) FILTER (WHERE cum >= 0.25 * total) AS q1,
+        return f"""SELECT {group}, max(total) AS n, min(value) FILTER (WHERE cum >= 0.25 * total) AS q1,
           min(value) FILTER (WHERE cum >= 0.75 * total) AS q3 FROM (
           SELECT {group}, CASE WHEN bucket = {ZERO} THEN 0.0 ELSE exp(bucket * {gamma!r}) * {middle!r} END AS value,
             sum(n) OVER (PARTITION BY {group} ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS cum,
             sum(n) OVER (PARTITION BY {group}) AS total
           FROM (SELECT {group}, bucket, count(*) AS n FROM points GROUP BY {group}, bucket)) GROUP BY {group}"""
 
-    pick = lambda c: f"CASE WHEN o.total >= {MIN_DOCS} THEN o.{c} WHEN t.total >= {MIN_DOCS} THEN t.{c} ELSE c.{c} END"
+    drawn = lambda q: f"(o.n * o.{q} + {PRIOR} * ((t.n * t.{q} + {PRIOR} * c.{q}) / (t.n + {PRIOR})::DOUBLE)) / (o.n + {PRIOR})::DOUBLE"
     return rf"""
 WITH base AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text,
@@ -244,9 +248,9 @@ m0 AS (
   FROM base b LEFT JOIN repeats r ON r.doc_id = b.doc_id),
 m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_SHARE} * n_words AS base_failed FROM m0),
 points AS ({points}),
-own AS ({level("lang, source")}), tongue AS ({level("lang")}), corpus AS ({level("")}),
+own AS ({quartiles("lang, source")}), tongue AS ({quartiles("lang")}), corpus AS ({quartiles("")}),
 bounds AS (
-  SELECT o.lang, o.source, o.metric, {pick("q1")} AS q1, {pick("q3")} AS q3
+  SELECT o.lang, o.source, o.metric, {drawn("q1")} AS q1, {drawn("q3")} AS q3
   FROM own o JOIN tongue t ON t.metric = o.metric AND t.lang IS NOT DISTINCT FROM o.lang JOIN corpus c ON c.metric = o.metric),
 chosen AS (
   SELECT lang, source, metric, q1 - {REACH} * greatest(q3 - q1, {spread}) AS low, q3 + {REACH} * greatest(q3 - q1, {spread}) AS high
