@@ -10,15 +10,17 @@ more; classes are the connected components of links. Steps:
    member is verified against the leader by true multiset overlap. Pairs are one per member, and
    the same pair from several bands is verified once.
 4. Links give components. Buckets that still hold several components are searched through: their
-   members are dealt into blocks, and each pair of blocks is a task record in which all pairs of
-   different components are verified by a product of occurrence matrices; only links come out. So
-   no link between members of a bucket is lost, however large the bucket.
+   members are dealt into blocks of bounded rows and shingles, and each pair of blocks is a task
+   record in which all pairs of different components are verified by a product of occurrence
+   matrices; only links come out. So no link between members of a bucket is lost, however large the
+   bucket.
 5. Components again, over all links.
 
-Texts move only for nodes that have company in a bucket.
+Texts move only for nodes that have company in a bucket. A leader of many pairs has its text copied,
+once for every PAIRS of them, so that a group of a third of all rows is verified by many tasks.
 
 Defined cases. Null and empty texts, and those of white space alone, are copies of one another. A
-text of one to four words has one shingle, all of them. A null ``doc_id`` never names a class
+text of one to four words has one shingle, all of them. A very long text is signed alone, whole. A null ``doc_id`` never names a class
 unless a class has no other; repeated rows are copies. An empty table gives an empty table.
 Columns other than ``doc_id`` and ``text`` aren't read.
 """
@@ -37,7 +39,9 @@ from heddle.llm.chunk_ids import groups, text_list
 from heddle.llm.components import components
 from heddle.workspace import materialise, ship_package
 
-WORDS, SIMILARITY, REGISTERS, ROWS, BLOCK = 5, 0.8, 160, 5, 256
+WORDS, SIMILARITY, REGISTERS, ROWS = 5, 0.8, 160, 5
+#: A block's rows and shingles; pairs that one copy of a leader's text serves.
+BLOCK, BLOCK_SHINGLES, PAIRS = 256, 400_000, 512
 
 
 def _content(text: Column) -> tuple[Column, Column]:
@@ -53,7 +57,7 @@ def _hashed(docs: DataFrame) -> DataFrame:
 
 
 def _signed(docs: DataFrame, words: int, registers: int, rows: int) -> DataFrame:
-    """doc_id, h1, h2, keys: the bucket of each band; no keys without a word."""
+    """doc_id, h1, h2, size (shingles), keys: the bucket of each band; no keys without a word."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,10 +69,10 @@ def _signed(docs: DataFrame, words: int, registers: int, rows: int) -> DataFrame
                 ends = np.concatenate([[0], np.cumsum(some * keys.shape[1])]).astype("int32")
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].ravel()))
                 part = batch.slice(at, len(run))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", "h1", "h2")], lists], names=["doc_id", "h1", "h2", "keys"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", "h1", "h2")], pa.array(np.diff(offsets), "int64"), lists], names=["doc_id", "h1", "h2", "size", "keys"])
                 at += len(run)
 
-    return docs.mapInArrow(sign, "doc_id long, h1 long, h2 long, keys array<long>")
+    return docs.mapInArrow(sign, "doc_id long, h1 long, h2 long, size long, keys array<long>")
 
 
 def overlaps(a: list[str], b: list[str], words: int) -> np.ndarray:
@@ -98,8 +102,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
             if keep:
                 yield batch.select(["u", "v"]).filter(pa.array(np.concatenate(keep)))
 
-    left, right = texts.select(F.col("node").alias("u"), F.col("text").alias("a")), texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
+    copies = pairs.groupBy("u").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("copies"))
+    copies = materialise(copies, "copies")
+    left = texts.withColumnsRenamed({"node": "u", "text": "a"}).join(copies, "u")
+    left = left.select("u", "a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    right = texts.withColumnsRenamed({"node": "v", "text": "b"})
+    dealt = pairs.join(copies, "u").withColumn("copy", F.pmod(F.xxhash64("v"), F.col("copies")).cast("int"))
+    return dealt.join(left, ["u", "copy"]).join(right, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
 
 
 def linked_in_block(nodes: np.ndarray, roots: np.ndarray, side: np.ndarray, texts: list[str], words: int, similarity: float):
@@ -138,7 +147,8 @@ def linked_in_block(nodes: np.ndarray, roots: np.ndarray, side: np.ndarray, text
 
 
 def _searched(members: DataFrame, texts: DataFrame, words: int, similarity: float, block: int) -> DataFrame:
-    """Links between members (key, node, root, n) of a bucket that have different roots."""
+    """Links between members (key, node, root, n, mass) of a bucket that have different roots; mass is
+    the number of shingles in the bucket."""
 
     def search(table: pa.Table) -> pa.Table:
         nodes, at = np.unique(table.column("node").to_numpy(), return_index=True)
@@ -147,7 +157,7 @@ def _searched(members: DataFrame, texts: DataFrame, words: int, similarity: floa
         u, v = linked_in_block(nodes, roots, side, text_list(text), words, similarity)
         return pa.table({"u": pa.array(u, "int64"), "v": pa.array(v, "int64")})
 
-    count = F.ceil(F.col("n") / block).cast("int")
+    count = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("mass") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = members.withColumn("blocks", count).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns(
@@ -159,16 +169,17 @@ def _searched(members: DataFrame, texts: DataFrame, words: int, similarity: floa
 def classes(
     docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, registers: int = REGISTERS, rows: int = ROWS, block: int = BLOCK
 ) -> DataFrame:
-    """doc_id, h1, h2 (hashes of the text), class_id: the least doc_id of the row's class."""
+    """doc_id, h1, h2 (hashes of the text), class_id (the least doc_id of the row's class), n_texts
+    (how many different texts the class has)."""
     ship_package(docs.sparkSession)
     hashed = _hashed(docs)
     signed = materialise(_signed(hashed, words, registers, rows), "signed")
-    nodes = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
+    nodes = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    spread = nodes.select("node", F.explode("keys").alias("key"))
-    crowded = materialise(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
-    members = materialise(spread.join(crowded, "key"), "members")
+    spread = nodes.select("node", "size", F.explode("keys").alias("key"))
+    crowded = materialise(spread.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("mass")).where("n > 1"), "crowded")
+    members = materialise(spread.drop("size").join(crowded, "key"), "members")
     company = members.groupBy("node").agg(F.sum("n").alias("score"))
     leaders = members.join(company, "node").groupBy("key").agg((-F.max(F.struct("score", -F.col("node")))["col2"]).alias("u"))
     leaders = materialise(leaders, "leaders")
@@ -184,7 +195,7 @@ def classes(
 
     links = materialise(_verified(pairs, texts, words, similarity), "links")
     found = components(links, "u", "v", "found")
-    rooted = members.where("n > 2").join(found, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    rooted = members.where("n > 2").join(found, "node", "left").select("key", "node", "n", "mass", F.coalesce("root", "node").alias("root"))
     rooted = materialise(rooted, "rooted")
     mingled = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     mingled = materialise(mingled, "mingled")
@@ -194,9 +205,9 @@ def classes(
 
     named = nodes.select("node", "h1", "h2", "doc_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialise(named, "named")
-    least = materialise(named.groupBy("root").agg(F.min("doc_id").alias("class_id")), "least")
-    named = materialise(named.join(least, "root").select("h1", "h2", "class_id"), "classes")
-    return signed.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "h1", "h2", "class_id")
+    least = materialise(named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_texts")), "least")
+    named = materialise(named.join(least, "root").select("h1", "h2", "class_id", "n_texts"), "classes")
+    return signed.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "h1", "h2", "class_id", "n_texts")
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
@@ -213,4 +224,4 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return classes(docs).select("doc_id", "class_id")
+    return classes(docs).select("doc_id", "class_id", "n_texts")

@@ -126,6 +126,37 @@ def test_hub_of_near_copies(spark):
     assert Counter(r.class_id for r in near_dedup.classes(df, block=8).collect()) == Counter(brute_classes(rows))
 
 
+def test_recall_by_edits(spark, docs):
+    """Copies of documents with 1 to 12 words changed: every pair at 0.8 or more must be found, and no
+    text may join a class without a link."""
+    rng = np.random.default_rng(9)
+    base = [r.text.split() for r in docs.where("n_chars > 400").limit(14).collect()]
+    rows, pairs = [], []
+    for k, w in enumerate(base):
+        rows.append((1000 * k, " ".join(w)))
+        for e in range(1, 13):
+            own = list(w)
+            for at in rng.integers(0, len(own), e):
+                own[at] = f"changed{rng.integers(10**9)}"
+            rows.append((1000 * k + e, " ".join(own)))
+            pairs.append((1000 * k, 1000 * k + e, jaccard(bag(rows[-1][1]), bag(" ".join(w)))))
+    got = {r.doc_id: (r.class_id, r.n_texts) for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    like = [(a, b) for a, b, s in pairs if s >= 0.8]
+    found = sum(got[a] == got[b] for a, b in like)
+    assert len(like) > 60 and found == len(like)
+    want = dict(zip([d for d, _ in rows], brute_classes(rows), strict=True))
+    assert {d: c for d, (c, _) in got.items()} == want
+    sizes = Counter(want.values())
+    assert all(n == sizes[c] for c, n in got.values())
+
+
+@pytest.mark.parametrize("limits", [{"PAIRS": 2}, {"BLOCK_SHINGLES": 300}])
+def test_limits_change_no_class(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    test_hub_of_near_copies(spark)
+
+
 def test_awkward_rows(awkward, clashing, empty):
     rows = [(r.doc_id, r.text) for r in awkward.collect()]
     want = Counter(zip([d for d, _ in rows], brute_classes(rows), strict=True))
