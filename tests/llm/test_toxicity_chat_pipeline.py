@@ -223,6 +223,29 @@ def test_pipeline(spark, sf, docs):
     assert corpus_pipeline.run(spark, sf).count() == frame.count()
 
 
+def test_pipeline_matches_brute_force(spark, sf, docs):
+    """All five stages by plain Python, the fences of the first by SQL."""
+    import corpus_pipeline
+    import public_tokenizers
+    import sentencepiece
+    from test_near_dedup import brute_classes
+    from test_text_stages import brute_mix, dropped_lines, sql
+
+    rows = {r.doc_id: r for r in docs.collect()}
+    kept = sorted(d for d, k in sql("op8_quality_rules").select("doc_id, kept").fetchall() if k)
+    cut = [(d, text) for d, _, _, text in dropped_lines([(d, rows[d].text) for d in kept])]
+    least = brute_classes(cut)
+    single = [(d, text, rows[d].source) for (d, text), c in zip(cut, least, strict=True) if d == c]
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = Counter()
+    for (d, text), n in brute_mix(single).items():
+        ids = library.encode(text)
+        want[d, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(text.encode()).hexdigest()] += n
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32, r.decoded_sha256) for r in got) == want
+    assert all(r.same_text and len(r.tokens) == r.n_tokens for r in got)
+
+
 def test_pipeline_takes_awkward_rows(spark, sf, awkward, empty):
     import corpus_pipeline
 
