@@ -1,7 +1,10 @@
-"""Models: Spark's own where it has them, small numpy kernels where it doesn't."""
+"""Models: Spark's own where it has them, else passes over all rows that sum up small arrays."""
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -14,9 +17,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that a numpy kernel in one task may get; larger inputs raise instead of being cut.
-KERNEL_ROWS = 5_000
-
+from heddle.workspace import materialise, ship_package
 
 def features(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))
@@ -82,40 +83,76 @@ def eigengap(values: np.ndarray, n: int) -> int:
     return int(np.argmax(gaps)) + 1
 
 
-def bounded(df: DataFrame, columns: list[str]) -> pd.DataFrame:
-    """At most KERNEL_ROWS rows for a kernel on the driver; more raise."""
-    rows = df.select(*columns).limit(KERNEL_ROWS + 1).toPandas()
-    if len(rows) > KERNEL_ROWS:
-        raise ValueError(f"this kernel takes {KERNEL_ROWS} rows at most; aggregate or select rows first")
-    return rows
+def summed(rows: DataFrame, f: Callable[[np.ndarray, pd.DataFrame], np.ndarray]) -> np.ndarray:
+    """The sum over all rows of what ``f`` makes of a batch: its vectors as a matrix, and its frame.
 
+    Every batch gives one array, arrays are added up by their elements in Spark, and the sum alone
+    comes to the driver; its size is that of ``f``'s array, whatever the number of rows.
+    """
 
-def fast_ica(x: np.ndarray, k: int, seed: int = 42, steps: int = 200, tolerance: float = 1e-5) -> np.ndarray:
-    """Sources (rows x k) by symmetric fixed-point iteration with tanh on whitened data."""
-    z = x - x.mean(0)
-    u, s, _ = np.linalg.svd(z, full_matrices=False)
-    k = min(k, int((s > 1e-9 * s[0]).sum())) if len(s) and s[0] > 0 else 0
-    if not k:
-        return np.zeros((len(x), 0))
-    white = u[:, :k] * np.sqrt(len(x))
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in frames:
+            if len(batch):
+                got = np.asarray(f(np.array(batch["vector"].tolist(), float), batch), float).ravel()
+                total = got if total is None else total + got
+        if total is not None:
+            yield pd.DataFrame({"at": np.arange(len(total)), "x": total})
+
+    ship_package(rows.sparkSession)
+    found = rows.mapInPandas(work, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()
+    return np.array([r["x"] for r in found])
+
+
+def mapped(rows: DataFrame, f: Callable[[np.ndarray, pd.DataFrame], np.ndarray], name: str) -> DataFrame:
+    """id and an array: what ``f`` makes of each row of a batch."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in frames:
+            if len(batch):
+                yield pd.DataFrame({"id": batch["id"], name: list(f(np.array(batch["vector"].tolist(), float), batch))})
+
+    ship_package(rows.sparkSession)
+    return rows.mapInPandas(work, f"id long, {name} array<double>")
+
+
+def fast_ica(rows: DataFrame, k: int, seed: int = 42, steps: int = 200, tolerance: float = 1e-4) -> DataFrame:
+    """id, sources: independent components of rows (id, vector) by symmetric fixed-point iteration
+    with tanh on whitened data. Each step is one pass over the rows that sums up a k x k matrix."""
+    first = rows.first()
+    if first is None:
+        return rows.sparkSession.createDataFrame([], "id long, sources array<double>")
+    d = len(first["vector"])
+    sums = summed(rows, lambda x, _: np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()]))
+    n, mean = sums[0], sums[1 : d + 1] / sums[0]
+    values, axes = np.linalg.eigh(sums[d + 1 :].reshape(d, d) / n - np.outer(mean, mean))
+    kept = [i for i in np.argsort(-values)[:k] if values[i] > 1e-9 * max(values.max(), 1e-300)]
+    whiten = axes[:, kept] / np.sqrt(values[kept])
+    k = len(kept)
 
     def decorrelate(w: np.ndarray) -> np.ndarray:
         a, _, b = np.linalg.svd(w)
         return a @ b
 
     w = decorrelate(np.random.default_rng(seed).normal(size=(k, k)))
-    for _ in range(steps):
-        g = np.tanh(white @ w.T)
-        new = decorrelate(g.T @ white / len(x) - (1 - g**2).mean(0)[:, None] * w)
+    for _ in range(steps if k else 0):
+
+        def moments(x: np.ndarray, _: pd.DataFrame, w: np.ndarray = w) -> np.ndarray:
+            z = (x - mean) @ whiten
+            g = np.tanh(z @ w.T)
+            return np.concatenate([(g.T @ z).ravel(), (1 - g**2).sum(0)])
+
+        s = summed(rows, moments) / n
+        new = decorrelate(s[: k * k].reshape(k, k) - s[k * k :, None] * w)
         done = np.abs(np.abs((new * w).sum(1)) - 1).max() < tolerance
         w = new
         if done:
             break
-    return white @ w.T
+    return mapped(rows, lambda x, _: (x - mean) @ whiten @ w.T, "sources")
 
 
-def umap(x: np.ndarray, k: int = 15, steps: int = 200, rate: float = 0.25, labels: np.ndarray | None = None, seed: int = 42, a: float = 1.577, b: float = 0.895) -> np.ndarray:
-    """A 2-D embedding of few rows by full gradient descent on the cross entropy of fuzzy graphs.
+def umap(x: np.ndarray, k: int = 15, steps: int = 200, rate: float = 1.0, labels: np.ndarray | None = None, seed: int = 42, a: float = 1.577, b: float = 0.895) -> np.ndarray:
+    """A 2-D embedding of the few rows of a sample by full gradient descent on the cross entropy of fuzzy graphs.
 
     Distances above the nearest one decay with a width found by bisection so that 2 to the sum of
     memberships is k. With labels, rows of one label also attract each other.
@@ -144,64 +181,208 @@ def umap(x: np.ndarray, k: int = 15, steps: int = 200, rate: float = 0.25, label
     return y
 
 
-def shared_factors(blocks: list[np.ndarray], k: int, penalty: float = 5.0, steps: int = 50, seed: int = 42):
-    """Integrative NMF: shared W, own V and scores H of each block, by multiplicative updates."""
-    rng = np.random.default_rng(seed)
-    genes = blocks[0].shape[1]
-    w, v = rng.random((k, genes)), [rng.random((k, genes)) for _ in blocks]
-    h = [rng.random((len(x), k)) for x in blocks]
-    tiny = 1e-9
+def umap_by_landmarks(rows: DataFrame, landmarks: int = 1_000, k: int = 15, steps: int = 200, supervised: bool = True, seed: int = 42) -> DataFrame:
+    """id, xy of all rows (id, vector, label): a sample of ``landmarks`` rows, those of the least
+    hashes, is laid out by ``umap``; each row then lies among its k nearest landmarks, by the mean
+    of their places weighted by membership, a landmark at its own place. The sample bounds the layout
+    only: every row is placed."""
+    picked = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(landmarks).toPandas()
+    if picked.empty:
+        return rows.sparkSession.createDataFrame([], "id long, xy array<double>")
+    base = np.array(picked["vector"].tolist(), float)
+    places = umap(base, min(k, len(base)), steps, labels=picked["label"].to_numpy() if supervised else None, seed=seed)
+
+    def lay(x: np.ndarray, _: pd.DataFrame) -> np.ndarray:
+        out, few = np.zeros((len(x), 2)), min(k, len(base))
+        for a in range(0, len(x), 1024):
+            part = x[a : a + 1024]
+            d = np.sqrt(np.maximum(0, (part**2).sum(1)[:, None] + (base**2).sum(1)[None] - 2 * part @ base.T))
+            near = np.argpartition(d, few - 1, axis=1)[:, :few]
+            far = np.take_along_axis(d, near, 1)
+            weight = np.exp(-(far - far.min(1, keepdims=True)) / (far.mean(1, keepdims=True) + 1e-9))
+            weight = np.where((far.min(1) < 1e-6)[:, None], far < 1e-6, weight)
+            out[a : a + 1024] = (weight[:, :, None] * places[near]).sum(1) / weight.sum(1, keepdims=True)
+        return out
+
+    return mapped(rows, lay, "xy")
+
+
+def loadings(x: np.ndarray, both: np.ndarray, own: np.ndarray, penalty: float, inner: int = 30) -> np.ndarray:
+    """Nonnegative scores of rows on factors ``both`` = shared + own, by multiplicative updates."""
+    h = np.full((len(x), len(both)), x.mean() + 1e-3)
+    top, gram = x @ both.T, both @ both.T + penalty * own @ own.T
+    for _ in range(inner):
+        h *= top / (h @ gram + 1e-9)
+    return h
+
+
+def shared_factors(rows: DataFrame, blocks: int, k: int, penalty: float = 5.0, steps: int = 20, seed: int = 42) -> DataFrame:
+    """id, scores: integrative factorisation of nonnegative rows (id, vector, block 0..blocks-1).
+
+    Scores of a row follow from the factors alone, so a step is one pass over the rows that sums up
+    h'x and h'h of each block; shared and own factors are then updated on the driver, k x features
+    numbers a block.
+    """
+    first = rows.first()
+    if first is None:
+        return rows.sparkSession.createDataFrame([], "id long, scores array<double>")
+    d, rng = len(first["vector"]), np.random.default_rng(seed)
+    w, v = rng.random((k, d)), rng.random((blocks, k, d))
     for _ in range(steps):
-        for i, x in enumerate(blocks):
-            both = w + v[i]
-            h[i] *= (x @ both.T) / (h[i] @ (both @ both.T + penalty * v[i] @ v[i].T) + tiny)
-            v[i] *= (h[i].T @ x) / (h[i].T @ h[i] @ (w + (1 + penalty) * v[i]) + tiny)
-        w *= sum(h[i].T @ x for i, x in enumerate(blocks)) / (sum(h[i].T @ h[i] @ (w + v[i]) for i in range(len(blocks))) + tiny)
-    return w, v, h
-
-
-def correct_batches(x: np.ndarray, batch: np.ndarray, clusters: int = 5, rounds: int = 5, seed: int = 42) -> np.ndarray:
-    """Soft clusters over all batches; each cluster's batch means are moved onto its own mean."""
-    rng = np.random.default_rng(seed)
-    z = x.copy()
-    centre = z[rng.choice(len(z), min(clusters, len(z)), replace=False)]
-    for _ in range(rounds):
-        d = ((z[:, None, :] - centre[None]) ** 2).sum(2)
-        r = np.exp(-(d - d.min(1, keepdims=True)) / (d.mean() + 1e-9))
-        r /= r.sum(1, keepdims=True)
-        centre = (r.T @ z) / (r.sum(0)[:, None] + 1e-9)
-        shift = np.zeros_like(z)
-        for b in np.unique(batch):
-            rows = batch == b
-            own = (r[rows].T @ z[rows]) / (r[rows].sum(0)[:, None] + 1e-9)
-            shift[rows] = r[rows] @ (own - centre)
-        z = z - shift
-    return z
-
-
-def doublet_scores(x: np.ndarray, k: int = 10, seed: int = 42) -> np.ndarray:
-    """Share of simulated sums of two cells among each cell's nearest neighbours."""
-    rng = np.random.default_rng(seed)
-    sums = x[rng.integers(0, len(x), len(x))] + x[rng.integers(0, len(x), len(x))]
-    every = np.log1p(np.maximum(0, np.vstack([x, sums])))
-    d = (every[: len(x)] ** 2).sum(1)[:, None] + (every**2).sum(1)[None, :] - 2 * every[: len(x)] @ every.T
-    np.fill_diagonal(d, np.inf)
-    near = np.argpartition(d, min(k, d.shape[1] - 1), axis=1)[:, :k]
-    return (near >= len(x)).mean(1)
 
+        def sums(x: np.ndarray, frame: pd.DataFrame, w: np.ndarray = w, v: np.ndarray = v) -> np.ndarray:
+            out, block = np.zeros((blocks, k, d + k)), frame["block"].to_numpy()
+            for b in range(blocks):
+                own = x[block == b]
+                if len(own):
+                    h = loadings(own, w + v[b], v[b], penalty)
+                    out[b] = np.hstack([h.T @ own, h.T @ h])
+            return out
+
+        s = summed(rows, sums).reshape(blocks, k, d + k)
+        hx, hh = s[:, :, :d], s[:, :, d:]
+        for _ in range(10):
+            v = v * hx / (hh @ (w + (1 + penalty) * v) + 1e-9)
+            w = w * hx.sum(0) / ((hh @ (w + v)).sum(0) + 1e-9)
+
+    def scores(x: np.ndarray, frame: pd.DataFrame) -> np.ndarray:
+        out, block = np.zeros((len(x), k)), frame["block"].to_numpy()
+        for b in range(blocks):
+            out[block == b] = loadings(x[block == b], w + v[b], v[b], penalty)
+        return out
+
+    return mapped(rows, scores, "scores")
 
-def kernel_ridge(x: np.ndarray, y: np.ndarray, alpha: float, gamma: float):
-    """Predictor of an RBF kernel ridge fit."""
-    kernel = lambda a: np.exp(-gamma * ((a[:, None, :] - x[None]) ** 2).sum(2))
-    weights = np.linalg.solve(kernel(x) + alpha * np.eye(len(x)), y)
+
+def correct_batches(rows: DataFrame, batches: int, clusters: int = 5, rounds: int = 5, seed: int = 42) -> DataFrame:
+    """id, vector of rows (id, vector, batch 0..batches-1): soft clusters over all batches; each
+    cluster's batch means are moved onto its own mean.
+
+    A row's place after a round follows from the centres of the rounds so far, so each round is one
+    pass that sums up members and places by batch and cluster.
+    """
+    picked = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(clusters).collect()
+    if not picked:
+        return rows.select("id", F.col("vector").cast("array<double>").alias("vector"))
+    centre = np.array([r["vector"] for r in picked], float)
+    many, d = centre.shape
+    scale = summed(rows, lambda x, _: np.array([len(x), ((x[:, None, :] - centre[None]) ** 2).sum(2).min(1).sum()]))
+    width = scale[1] / scale[0] + 1e-9
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def members(z: np.ndarray, centre: np.ndarray) -> np.ndarray:
+        far = ((z[:, None, :] - centre[None]) ** 2).sum(2)
+        r = np.exp(-(far - far.min(1, keepdims=True)) / width)
+        return r / r.sum(1, keepdims=True)
+
+    def moved(x: np.ndarray, batch: np.ndarray, moves: list) -> np.ndarray:
+        for at, shift in moves:
+            x = x - np.einsum("nk,nkd->nd", members(x, at), shift[batch])
+        return x
+
+    for _ in range(rounds):
+
+        def sums(x: np.ndarray, frame: pd.DataFrame, moves: tuple = tuple(moves), centre: np.ndarray = centre) -> np.ndarray:
+            batch, out = frame["batch"].to_numpy(), np.zeros((batches, many, d + 1))
+            z = moved(x, batch, moves)
+            r = members(z, centre)
+            for b in range(batches):
+                own = batch == b
+                out[b] = np.hstack([r[own].T @ z[own], r[own].sum(0)[:, None]])
+            return out
+
+        s = summed(rows, sums).reshape(batches, many, d + 1)
+        centre_now = s[:, :, :d].sum(0) / (s[:, :, d].sum(0)[:, None] + 1e-9)
+        shift = s[:, :, :d] / (s[:, :, d:] + 1e-9) - centre_now
+        moves.append((centre, np.where(s[:, :, d:] > 1e-6, shift, 0.0)))
+        centre = centre_now
+    return mapped(rows, lambda x, frame: moved(x, frame["batch"].to_numpy(), moves), "vector")
+
+
+def doublet_scores(rows: DataFrame, k: int = 10) -> DataFrame:
+    """id, score of rows (id, vector) of counts: share of simulated sums of two cells among each
+    cell's nearest neighbours. Cell number i is added to the cell a fixed pseudorandom step on."""
+    from heddle.operators.graph import nearest
+    from heddle.operators.order import with_position
+
+    placed = materialise(with_position(rows.select("id", "vector"), "id", "at"), "cells")
+    n = placed.count()
+    if not n:
+        return rows.sparkSession.createDataFrame([], "id long, score double")
+    other = placed.select(F.col("at").alias("_at"), F.col("vector").alias("_v"))
+    step = 1 + F.pmod(F.xxhash64("at"), F.lit(max(1, n - 1)))
+    pairs = placed.withColumn("_at", F.pmod(F.col("at") - 1 + step, F.lit(n)) + 1).join(other, "_at")
+    log = lambda v: F.transform(v, lambda x: F.log1p(F.greatest(F.lit(0.0), x.cast("double"))))
+    cells = placed.select(F.col("at").alias("id"), log("vector").alias("vector"), F.lit("cell").alias("kind"))
+    sums = pairs.select((F.col("at") + n).alias("id"), log(F.zip_with("vector", "_v", lambda a, b: a + b)).alias("vector"), F.lit("sum").alias("kind"))
+    near = nearest(materialise(cells.unionByName(sums), "every"), k, "euclidean").where(F.col("src") <= n)
+    share = near.groupBy("src").agg(F.avg((F.col("dst") > n).cast("double")).alias("score"))
+    return placed.select("id", F.col("at").alias("src")).join(share, "src", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def grouped_ridge(x: np.ndarray, y: np.ndarray, n: np.ndarray, alpha: float, gamma: float):
+    """Predictor of an RBF kernel ridge fit to rows given as distinct x with mean y and number n.
+
+    Rows of one x share a kernel row, so this is the fit to all rows, of the size of the distinct x.
+    """
+    kernel = lambda a: np.exp(-gamma * (a[:, None] - x[None]) ** 2)
+    weights = np.linalg.solve(kernel(x) + alpha * np.diag(1.0 / n), y)
     return lambda new: kernel(new) @ weights
 
 
-def smooth(values: np.ndarray, window: int = 31, order: int = 3) -> np.ndarray:
-    """Local polynomial smoothing; near the ends the window is cut."""
-    half, out = window // 2, np.empty(len(values))
-    for i in range(len(values)):
-        a, b = max(0, i - half), min(len(values), i + half + 1)
-        at = np.arange(a, b) - i
-        out[i] = np.polyval(np.polyfit(at, values[a:b], min(order, len(at) - 1)), 0)
+def kernel_ridge(df: DataFrame, x: str, y: str, key: str, alphas: list[float], gammas: list[float], folds: int = 10) -> tuple[float, float, DataFrame]:
+    """(alpha, gamma, table of x and predicted y): RBF kernel ridge of one whole-numbered feature,
+    with the pair of least squared error over hash folds.
+
+    Rows are summed up by fold and x in Spark; the driver gets a row per fold and distinct reading.
+    """
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)))
+    sums = known.groupBy("fold", F.col(x).cast("double").alias("x")).agg(F.sum(F.col(y).cast("double")).alias("s"), F.sum(F.col(y).cast("double") ** 2).alias("q"), F.count("*").alias("n"))
+    t = sums.toPandas().sort_values(["x", "fold"])
+
+    def fit(rows: pd.DataFrame, alpha: float, gamma: float):
+        g = rows.groupby("x")[["s", "n"]].sum()
+        return grouped_ridge(g.index.to_numpy(float), (g["s"] / g["n"]).to_numpy(float), g["n"].to_numpy(float), alpha, gamma)
+
+    def error(alpha: float, gamma: float) -> float:
+        total = 0.0
+        for f in sorted(set(t["fold"])):
+            held, rest = t[t["fold"] == f], t[t["fold"] != f]
+            if len(rest):
+                p = fit(rest, alpha, gamma)(held["x"].to_numpy(float))
+                total += float((held["q"] - 2 * p * held["s"] + held["n"] * p**2).sum())
+        return total
+
+    alpha, gamma = min(((a, g) for a in alphas for g in gammas), key=lambda p: (round(error(*p), 6), p))
+    every = df.select(F.col(x).cast("double").alias("x")).where("x IS NOT NULL").distinct().toPandas()["x"].sort_values().to_numpy(float)
+    predicted = fit(t, alpha, gamma)(every) if len(t) and len(every) else np.zeros(0)
+    table = df.sparkSession.createDataFrame([(float(a), float(b)) for a, b in zip(every, predicted, strict=False)], "x double, predicted double")
+    return alpha, gamma, table
+
+
+def stencil(window: int = 31, order: int = 3) -> list[tuple[int, int, int, float]]:
+    """(before, after, offset, weight): by how many rows of the window there are before and after a
+    row, the weights of its neighbours in the value of the local polynomial there."""
+    half, out = window // 2, []
+    for before, after in itertools.product(range(half + 1), repeat=2):
+        at = np.arange(-before, after + 1)
+        fit = np.linalg.pinv(np.vander(at.astype(float), min(order, len(at) - 1) + 1, increasing=True))[0]
+        out += [(before, after, int(o), float(x)) for o, x in zip(at, fit, strict=True)]
     return out
+
+
+def smooth(df: DataFrame, key: str, value: str, window: int = 31, order: int = 3) -> DataFrame:
+    """key, smooth: local polynomial smoothing in the order of ``key`` (unique); near the ends the
+    window is cut. Every row gives its share to the rows of its window, so no task has them all."""
+    from heddle.operators.order import with_position
+
+    half = window // 2
+    placed = materialise(with_position(df.select(key, value), key, "at"), "placed")
+    size = placed.agg(F.max("at").alias("n"))
+    spread = placed.withColumn("offset", F.explode(F.sequence(F.lit(-half), F.lit(half)))).withColumn("to", F.col("at") - F.col("offset"))
+    spread = spread.join(F.broadcast(size), how="cross").where((F.col("to") >= 1) & (F.col("to") <= F.col("n")))
+    ends = {"before": F.least(F.lit(half).cast("long"), F.col("to") - 1), "after": F.least(F.lit(half).cast("long"), F.col("n") - F.col("to"))}
+    weights = df.sparkSession.createDataFrame(stencil(window, order), "before long, after long, offset int, weight double")
+    # A row per end and offset, window^3 / 4 at most.
+    sums = spread.withColumns(ends).join(F.broadcast(weights), ["before", "after", "offset"]).groupBy("to").agg(F.sum(F.col(value) * F.col("weight")).alias("smooth"))
+    return placed.select(key, F.col("at").alias("to")).join(sums, "to").select(key, "smooth")

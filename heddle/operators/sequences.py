@@ -8,48 +8,59 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from heddle.workspace import ship_package
 
 
+def _drawn(df: DataFrame, key: str, column: str) -> DataFrame:
+    """key as text, ``column``, and a seed of the key; null keys share a seed."""
+    return df.select(F.col(key).cast("string").alias(key), F.col(column).alias(column), F.pmod(F.xxhash64(key), F.lit(2**62)).alias("_seed"))
+
+
 def shuffled_chunks(df: DataFrame, key: str, column: str, chunks: int, moved: int, seed: int = 42) -> DataFrame:
     """``column`` cut into chunks of a k-th of its length (a rest makes one more); ``moved`` of them,
-    drawn by the row's key, change places among themselves."""
+    drawn by the row's key, change places among themselves. Null texts stay null."""
     ship_package(df.sparkSession)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for k, s in zip(f[key], f[column], strict=True):
+            for own, s in zip(f["_seed"], f[column], strict=True):
+                if s is None:
+                    out.append(None)
+                    continue
                 size = max(1, len(s) // chunks)
                 parts = [s[i : i + size] for i in range(0, len(s), size)]
-                rng = np.random.default_rng([seed, int(k)])
+                rng = np.random.default_rng([seed, int(own)])
                 at = rng.choice(len(parts), min(moved, len(parts)), replace=False)
                 for to, part in zip(at, [parts[i] for i in rng.permutation(at)], strict=True):
                     parts[to] = part
                 out.append("".join(parts))
             yield pd.DataFrame({key: f[key], column: out})
 
-    return df.select(key, column).where(f"{key} IS NOT NULL AND {column} IS NOT NULL").mapInPandas(work, df.select(key, column).schema)
+    made = _drawn(df, key, column).mapInPandas(work, f"`{key}` string, `{column}` string")
+    return made.withColumn(key, F.col(key).cast(df.schema[key].dataType))
 
 
 def random_windows(df: DataFrame, key: str, column: str, longest: int = 510, shortest: int = 20, seed: int = 42) -> DataFrame:
     """key, start, window of a token array: half of the windows have ``longest`` tokens, the others a
-    random number; the rest of ``longest`` or fewer is the last."""
+    random number; the rest of ``longest`` or fewer is the last. Null and empty arrays have none."""
     ship_package(df.sparkSession)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for k, tokens in zip(f[key], f[column], strict=True):
-                rng, at = np.random.default_rng([seed, int(k), 1]), 0
-                while at < len(tokens):
+            for k, own, tokens in zip(f[key], f["_seed"], f[column], strict=True):
+                rng, at = np.random.default_rng([seed, int(own), 1]), 0
+                while tokens is not None and at < len(tokens):
                     n = longest if len(tokens) - at <= longest or rng.random() < 0.5 else int(rng.integers(shortest, longest + 1))
-                    rows.append((int(k), at, list(tokens[at : at + n])))
+                    rows.append((k, at, list(tokens[at : at + n])))
                     at += n
             yield pd.DataFrame(rows, columns=[key, "start", "window"])
 
-    return df.select(key, column).where(f"{key} IS NOT NULL AND {column} IS NOT NULL").mapInPandas(work, f"{key} long, start long, window array<string>")
+    made = _drawn(df, key, column).mapInPandas(work, f"`{key}` string, start long, window array<string>")
+    return made.withColumn(key, F.col(key).cast(df.schema[key].dataType))
 
 
 def predict(df: DataFrame, key: str, column: str, model: Callable[[list[str]], list[str]]) -> DataFrame:

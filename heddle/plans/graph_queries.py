@@ -248,7 +248,7 @@ def community_characterisation(spark, sf):
     size = e.groupBy("community").agg(F.count_distinct("sample_id").alias("k")).where("k >= 3")
     total = M.one_row(e.groupBy("gene_id").agg(F.sum("value").alias("total")), e.agg(F.count_distinct("sample_id").alias("n")))
     inside = e.groupBy("community", "gene_id").agg(F.sum("value").alias("s"))
-    grid = total.join(F.broadcast(size), how="cross").join(inside, ["community", "gene_id"], "left").na.fill(0.0, ["s"])
+    grid = total.join(size, how="cross").join(inside, ["community", "gene_id"], "left").na.fill(0.0, ["s"])
     effect = F.col("s") / F.col("k") - F.try_divide(F.col("total") - F.col("s"), F.col("n") - F.col("k"))
     grid = grid.select("community", "gene_id", effect.alias("effect"))
     p = grid.groupBy("community").agg(F.percentile(F.abs("effect"), 0.85).alias("p"))
@@ -257,9 +257,8 @@ def community_characterisation(spark, sf):
 
 @query("regulation_counts", A.sql(f"WITH {DIFF} SELECT gene_id % 10 AS module, count(*) FILTER (WHERE diff > 0) AS up, count(*) FILTER (WHERE diff < 0) AS down, CASE WHEN count(*) FILTER (WHERE diff > 0) > count(*) FILTER (WHERE diff < 0) THEN 'mostly up-regulated' ELSE 'mostly down-regulated' END AS summary FROM diff GROUP BY 1", "expr", "samples"))
 def regulation_counts(spark, sf):
-    d = difference(spark, sf).groupBy((F.col("gene_id") % 10).alias("module")).agg(F.collect_list("diff").alias("e"))
-    up, down = F.size(F.filter("e", lambda x: x > 0)).cast("long"), F.size(F.filter("e", lambda x: x < 0)).cast("long")
-    return d.select("module", up.alias("up"), down.alias("down"), F.when(up > down, "mostly up-regulated").otherwise("mostly down-regulated").alias("summary"))
+    d = difference(spark, sf).groupBy((F.col("gene_id") % 10).alias("module")).agg(F.count_if(F.col("diff") > 0).alias("up"), F.count_if(F.col("diff") < 0).alias("down"))
+    return d.withColumn("summary", F.when(F.col("up") > F.col("down"), "mostly up-regulated").otherwise("mostly down-regulated"))
 
 
 @query("top_features", A.sql(f"WITH {DIFF} SELECT gene_id % 10 AS module, array_to_string(list(gene_id ORDER BY round(abs(diff), 9) DESC, gene_id)[1:5], ',') AS drivers FROM diff GROUP BY 1", "expr", "samples"))
@@ -301,4 +300,4 @@ def ica_top_components(spark, sf):
 def graph_communities(spark, sf):
     """Rows only: communities of the neighbour graph; tests hold their modularity against singletons."""
     e = G.undirected(knn(spark, sf).where("score > 0.1")).withColumnRenamed("score", "weight")
-    return G.communities(e, rounds=4)
+    return G.communities(e)

@@ -322,7 +322,7 @@ def anova_select(spark, sf):
     lab = table(spark, sf, "customer").select(F.col("c_custkey").alias("sample_id"), F.col("c_mktsegment").alias("g"))
     n = lab.groupBy("g").agg(F.count("*").cast("double").alias("n"))
     cells = A.expr(spark, sf).join(lab, "sample_id").groupBy("gene_id", "g").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    per = cells.join(F.broadcast(n), "g").groupBy("gene_id").agg(F.sum("q").alias("q"), F.sum("s").alias("s"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
+    per = cells.join(n, "g").groupBy("gene_id").agg(F.sum("q").alias("q"), F.sum("s").alias("s"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
     per = M.one_row(per, n.agg(F.sum("n").alias("n"), F.count("*").alias("k")))
     f = M.ratio((F.col("b") - F.col("s") * F.col("s") / F.col("n")) / (F.col("k") - 1), (F.col("q") - F.col("b")) / (F.col("n") - F.col("k")))
     # One row per feature.
@@ -342,11 +342,11 @@ def binned_mutual_information(spark, sf):
     expr = A.expr(spark, sf)
     b = F.least(F.lit(9), 1 + F.floor(F.col("value") / 25)).cast("int").alias("b")
     nz = expr.join(lab, "sample_id").groupBy("gene_id", "g", b).agg(F.count("*").alias("k"))
-    grid = expr.select("gene_id").distinct().join(F.broadcast(n), how="cross")
+    grid = expr.select("gene_id").distinct().join(n, how="cross")
     got = nz.groupBy("gene_id", "g").agg(F.sum("k").alias("nz"))
     zeros = grid.join(got, ["gene_id", "g"], "left").select("gene_id", "g", F.lit(0).alias("b"), (F.col("n") - F.coalesce("nz", F.lit(0))).alias("k")).where("k > 0")
     joint = nz.unionByName(zeros)
-    joint = joint.withColumn("kb", F.sum("k").over(Window.partitionBy("gene_id", "b"))).join(F.broadcast(n), "g")
+    joint = joint.withColumn("kb", F.sum("k").over(Window.partitionBy("gene_id", "b"))).join(n, "g")
     joint = M.one_row(joint, lab.agg(F.count("*").cast("double").alias("t")))
     return joint.groupBy("gene_id").agg(R(F.sum(F.col("k") / F.col("t") * F.log(F.col("k") * F.col("t") / (F.col("kb") * F.col("n"))))).alias("mi"))
 

@@ -296,7 +296,7 @@ def label_encoding(spark, sf):
     """Codes by the order of labels: ranks of the distinct labels, joined back."""
     c = table(spark, sf, "customer")
     codes = c.select("c_mktsegment").distinct().withColumn("code", F.row_number().over(Window.orderBy("c_mktsegment")) - 1)
-    return c.join(F.broadcast(codes), "c_mktsegment").select("c_custkey", "code")
+    return c.join(codes, "c_mktsegment").select("c_custkey", "code")
 
 
 @query("recursive_feature_cut", "WITH c AS (SELECT i - 1 AS feature, avg(embedding[i]::DOUBLE) AS coef FROM embeddings, range(1, 65) r(i) GROUP BY 1), k AS (SELECT feature, row_number() OVER (ORDER BY round(abs(coef), 9), feature) AS rk FROM c) SELECT round::INT AS round, feature FROM k, range(0, 7) x(round) WHERE rk > 10 * round")

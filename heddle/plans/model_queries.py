@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from heddle.operators import generators, ml
@@ -170,49 +168,52 @@ def spectral_modules(spark, sf):
     return ml.spectral_modules(edges, 5)
 
 
-def kernel_rows(spark, sf):
-    rows = ml.bounded(vectors(spark, sf).orderBy("id"), ["id", "vector", "label"])
-    return rows, np.array(rows["vector"].tolist(), float)
-
-
 @query("ica_components")
 def ica_components(spark, sf):
-    rows, x = kernel_rows(spark, sf)
-    return spark.createDataFrame(pd.DataFrame({"id": rows["id"], "sources": ml.fast_ica(x, 5).tolist()}), "id long, sources array<double>")
+    return ml.fast_ica(vectors(spark, sf), 5)
 
 
 @query("umap_embedding")
 def umap_embedding(spark, sf):
-    rows, x = kernel_rows(spark, sf)
-    return spark.createDataFrame(pd.DataFrame({"id": rows["id"], "xy": ml.umap(x, steps=20, labels=rows["label"].to_numpy()).tolist()}), "id long, xy array<double>")
+    return ml.umap_by_landmarks(vectors(spark, sf), landmarks=400)
 
 
 @query("shared_factors")
 def shared_factors(spark, sf):
-    rows, x = kernel_rows(spark, sf)
-    even = (rows["id"] % 2 == 0).to_numpy()
-    _, _, h = ml.shared_factors([np.abs(x[even]), np.abs(x[~even])], 4, steps=20)
-    frame = pd.DataFrame({"id": [*rows["id"][even], *rows["id"][~even]], "scores": [*h[0].tolist(), *h[1].tolist()]})
-    return spark.createDataFrame(frame, "id long, scores array<double>")
+    positive = vectors(spark, sf).select("id", F.transform("vector", lambda x: F.abs(x)).alias("vector"), F.pmod("id", F.lit(2)).cast("int").alias("block"))
+    return ml.shared_factors(positive, 2, 4)
 
 
 @query("batch_correction")
 def batch_correction(spark, sf):
-    rows, x = kernel_rows(spark, sf)
-    return spark.createDataFrame(pd.DataFrame({"id": rows["id"], "vector": ml.correct_batches(x, (rows["id"] % 3).to_numpy()).tolist()}), "id long, vector array<double>")
+    return ml.correct_batches(vectors(spark, sf).select("id", "vector", F.pmod("id", F.lit(3)).cast("int").alias("batch")), 3)
 
 
 @query("doublet_scores")
 def doublet_scores(spark, sf):
-    rows, x = kernel_rows(spark, sf)
-    return spark.createDataFrame(pd.DataFrame({"id": rows["id"], "score": ml.doublet_scores(np.abs(x) * 10)}), "id long, score double")
+    return ml.doublet_scores(vectors(spark, sf).select("id", F.transform("vector", lambda x: 10 * F.abs(x)).alias("vector")))
+
 
+#: Rows of a smoothing window; the weights of all its cuts are in the SQL.
+WINDOW = 11
+_STENCIL = ", ".join(f"({b}, {a}, {o}, {x!r}::DOUBLE)" for b, a, o, x in ml.stencil(WINDOW))
 
-@query("smoothed_curve")
+
+@query("smoothed_curve", f"""WITH v AS (SELECT user_id, avg(value) AS v FROM events GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY user_id) AS at, count(*) OVER () AS n FROM v),
+  w(before, after, o, weight) AS (VALUES {_STENCIL})
+  SELECT p.user_id, round(sum(q.v * weight), 6) AS smooth FROM p JOIN w ON w.before = least({WINDOW // 2}, p.at - 1) AND w.after = least({WINDOW // 2}, p.n - p.at) JOIN p q ON q.at = p.at + o GROUP BY 1""")
 def smoothed_curve(spark, sf):
-    e = table(spark, sf, "events").groupBy("user_id").agg(F.avg("value").alias("v")).orderBy("user_id")
-    rows = ml.bounded(e, ["user_id", "v"])
-    return spark.createDataFrame(pd.DataFrame({"user_id": rows["user_id"], "smooth": ml.smooth(rows["v"].to_numpy())}), "user_id long, smooth double")
+    """By the weights of local polynomials."""
+    return ml.smooth(table(spark, sf, "events").groupBy("user_id").agg(F.avg("value").alias("v")), "user_id", "v", WINDOW).select("user_id", R("smooth").alias("smooth"))
+
+
+@query("grid_search_forest")
+def grid_search_forest(spark, sf):
+    """The best parameters of a forest by cross-validation, one class against the rest."""
+    rows = vector_rows(spark, sf).select("features", (F.col("label") == 1).cast("double").alias("label"))
+    best = ml.grid_search(rows, ml.classifier("RF"), {"numTrees": [5, 10], "maxDepth": [2, 4]}, folds=3)
+    tried = [({p.name: int(v) for p, v in m.items()}, float(x)) for m, x in zip(best.getEstimatorParamMaps(), best.avgMetrics, strict=True)]
+    return spark.createDataFrame([(m["numTrees"], m["maxDepth"], x) for m, x in tried], "trees int, depth int, auc double")
 
 
 @query("shuffled_chunks")

@@ -38,7 +38,7 @@ simple("clean_intent", lambda: T.clean_intent(F.col("intent")), "lower(replace(i
 simple("pad_punctuation", lambda: T.pad_punctuation(F.col("asr")), r"trim(regexp_replace(regexp_replace(asr, '((?:\.{3})|[.,¡!¿?();:])', ' \1 ', 'g'), '\s{2,}', ' ', 'g'))")
 simple(
     "unpad_punctuation", lambda: T.unpad_punctuation(T.pad_punctuation(F.col("asr"))),
-    r"regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(asr, '((?:\.{3})|[.,¡!¿?();:])', ' \1 ', 'g'), '\s{2,}', ' ', 'g')), ' ((?:\.{3})|[.,!?);:])', '\1 ', 'g'), '([¡¿(]) ', '\1', 'g'), '\s{2,}', ' ', 'g')",
+    r"trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(asr, '((?:\.{3})|[.,¡!¿?();:])', ' \1 ', 'g'), '\s{2,}', ' ', 'g')), ' ((?:\.{3})|[.,!?);:])', '\1 ', 'g'), '([¡¿(]) ', '\1', 'g'), '\s{2,}', ' ', 'g'))",
 )
 simple(
     "remove_crutch_words", lambda: T.remove_words(F.col("asr"), CRUTCH),
@@ -57,10 +57,25 @@ simple(
 )
 
 
-@query("drop_repeated_ngrams")
+def _ngrams_sql(x: str, longest: int = 2) -> str:
+    """Repeated n-grams dropped from a text, by a fold over lists."""
+    words = rf"string_split(trim(regexp_replace(regexp_replace({x}, '((?:\.{{3}})|[.,¡!¿?();:])', ' \1 ', 'g'), '\s{{2,}}', ' ', 'g')), ' ')"
+    low = lambda y: f"list_transform({y}, lambda t: lower(t))"
+    for n in range(1, longest + 1):
+        y = "list_concat(a, x)"
+        same = f"{low(f'{y}[len(a) + {2 - n}:]')} = {low(f'{y}[len(a) + {2 - 2 * n}:len(a) + {1 - n}]')}"
+        words = f"list_reduce(list_transform({words}, lambda x: [x]), lambda a, x: CASE WHEN len(a) >= {2 * n - 1} AND {same} THEN a[:len(a) + {1 - n}] ELSE {y} END)"
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(array_to_string({words}, ' '), ' ((?:\.{{3}})|[.,!?);:])', '\1 ', 'g'), '([¡¿(]) ', '\1', 'g'), '\s{{2,}}', ' ', 'g'))"
+
+
+#: Repeats put into the transcripts, which hold few: of a word, of a pair, and of a pair inside a pair.
+_STUTTER = (r"(\w+) (\w+), (\w+)", "{0}1 {0}2 {0}1 {0}2 {0}2 {0}1 {0}2, {0}3 {0}3")
+
+
+@query("drop_repeated_ngrams", A.sql(f"SELECT conv_id, turn, {_ngrams_sql(f"regexp_replace(asr, '{_STUTTER[0]}', '{_STUTTER[1].format(chr(92))}', 'g')")} AS out FROM asr", "asr"))
 def drop_repeated_ngrams(spark, sf):
-    """Rows only: deletions of order 2 depend on those before them."""
-    return conv(spark, sf).select(*ID, T.drop_repeated_ngrams("asr").alias("out"))
+    stuttered = F.regexp_replace("asr", _STUTTER[0], _STUTTER[1].format("$"))
+    return conv(spark, sf).select(*ID, T.drop_repeated_ngrams(stuttered).alias("out"))
 
 
 @query("intent_parts", A.sql("SELECT conv_id, turn, lower(trim(split_part(intent, '-', 1))) AS flow, lower(trim(split_part(intent, '-', -1))) AS suffix FROM asr", "asr"))
@@ -68,12 +83,13 @@ def intent_parts(spark, sf):
     return conv(spark, sf).select(*ID, T.intent_flow(F.col("intent")).alias("flow"), T.intent_suffix(F.col("intent")).alias("suffix"))
 
 
-@query("clean_transcript", A.sql(rf"""SELECT conv_id, turn, translate(replace(lower(regexp_replace(array_to_string(list_filter(string_split(
-  array_to_string(list_filter(list_filter(regexp_split_to_array(trim(asr), '\s+'), lambda t: t <> ''), lambda t: NOT list_contains({CRUTCH!r}, regexp_replace(lower(t), '{PUNCT}', '', 'g'))), ' '),
-  ' '), lambda t: NOT list_contains({STOP!r}, t)), ' '), '{PUNCT}', ' ', 'g')), '  ', ' '), '{_ACCENTS}', '{_BARE}') AS out FROM asr""", "asr"))
+_WITHOUT_CRUTCH = rf"array_to_string(list_filter(list_filter(regexp_split_to_array(trim(asr), '\s+'), lambda t: t <> ''), lambda t: NOT list_contains({CRUTCH!r}, regexp_replace(lower(t), '{PUNCT}', '', 'g'))), ' ')"
+
+
+@query("clean_transcript", A.sql(rf"""SELECT conv_id, turn, translate(replace(lower(regexp_replace(array_to_string(list_filter(string_split({_ngrams_sql(_WITHOUT_CRUTCH)}, ' '), lambda t: NOT list_contains({STOP!r}, t)), ' '), '{PUNCT}', ' ', 'g')), '  ', ' '), '{_ACCENTS}', '{_BARE}') AS out FROM asr""", "asr"))
 def clean_transcript(spark, sf):
-    """Crutch words, stop words, then the normal form, in this order."""
-    out = T.normalise_phrase(T.remove_stopwords(T.remove_words(F.col("asr"), CRUTCH), STOP))
+    """Crutch words, repeated n-grams, stop words, then the normal form, in this order."""
+    out = T.normalise_phrase(T.remove_stopwords(T.drop_repeated_ngrams(T.remove_words(F.col("asr"), CRUTCH)), STOP))
     return conv(spark, sf).select(*ID, out.alias("out"))
 
 
@@ -165,6 +181,18 @@ def blood_pressure_impute(spark, sf):
     )
 
 
+@query("blood_pressure_kernel_impute")
+def blood_pressure_kernel_impute(spark, sf):
+    """Rows only: the missing side by kernel ridge, parameters by tenfold cross-validation; a test
+    holds the fit against that of all rows."""
+    from heddle.operators.ml import kernel_ridge
+
+    r, grid = readings(spark, sf), ([0.1, 1.0, 10.0], [0.001, 0.01])
+    down, up = kernel_ridge(r, "high", "low", "patient_id", *grid)[2], kernel_ridge(r, "low", "high", "patient_id", *grid)[2]
+    full = r.join(down.select(F.col("x").alias("high"), F.col("predicted").alias("_low")), "high", "left").join(up.select(F.col("x").alias("low"), F.col("predicted").alias("_high")), "low", "left")
+    return full.select("patient_id", F.round(F.coalesce("high", "_high"), 4).alias("high"), F.round(F.coalesce("low", "_low"), 4).alias("low"), (F.col("high").isNull() != F.col("low").isNull()).alias("imputed"))
+
+
 def customer_fields():
     return {"balance": F.format_string("%.2f", "c_acctbal"), "nation": F.col("c_nationkey").cast("string"), "segment": F.lower("c_mktsegment")}
 

@@ -25,8 +25,8 @@ def test_intent_parts(spark):
 
 
 @pytest.mark.parametrize(("text", "want"), [("no no sé", "no sé"), ("a b a b c", "a b c"), ("A a a", "A"), ("", ""), ("x y x y x y", "x y")])
-def test_repeated_ngrams(text, want):
-    assert T._without_repeats(T._without_repeats(text, 1), 2) == want
+def test_repeated_ngrams(spark, text, want):
+    assert value(spark, T.drop_repeated_ngrams("t"), t=text) == want
 
 
 def test_pressure_rule(spark):
@@ -97,14 +97,105 @@ def test_positions(spark):
     assert all(r["at"] == r["k"] + 1 for r in got)
 
 
-def test_ica_finds_sources():
+def matrix(spark, x, **more):
+    rows = [(i, v, *[int(c[i]) for c in more.values()]) for i, v in enumerate(x.tolist())]
+    return spark.createDataFrame(rows, ", ".join(["id long", "vector array<double>", *[f"{n} int" for n in more]])).repartition(3).cache()
+
+
+def found(df, name):
+    return np.array([r[name] for r in df.orderBy("id").collect()])
+
+
+def test_ica_finds_sources(spark):
     rng = np.random.default_rng(2)
     s = rng.laplace(size=(800, 3))
-    got = ml.fast_ica(s @ rng.normal(size=(3, 3)), 3)
+    got = found(ml.fast_ica(matrix(spark, s @ rng.normal(size=(3, 3))), 3), "sources")
     match = np.abs(np.corrcoef(got.T, s.T)[:3, 3:])
     assert match.max(1).min() > 0.95
 
 
+def test_shared_factors_rebuild_blocks(spark):
+    """Scores of rows made of two shared factors tell the factors apart."""
+    rng = np.random.default_rng(4)
+    w, side = rng.random((2, 12)) * (rng.random((2, 12)) > 0.4), rng.integers(0, 2, 200)
+    h = np.where(side[:, None] == np.arange(2), 1.0, 0.05) * rng.uniform(0.5, 2, (200, 1))
+    got = found(ml.shared_factors(matrix(spark, h @ w, block=np.arange(200) % 2), 2, 2), "scores")
+    top = got.argmax(1)
+    assert max((top == side).mean(), (top != side).mean()) > 0.95 and (got >= 0).all()
+
+
+def test_batches_are_moved_together(spark):
+    rng = np.random.default_rng(6)
+    kind, batch = rng.integers(0, 2, 300), np.arange(300) % 3
+    x = rng.normal(size=(300, 4)) * 0.1 + kind[:, None] * 5 + batch[:, None] * np.array([1.0, 0, 0, 0])
+    got = found(ml.correct_batches(matrix(spark, x, batch=batch), 3, clusters=4, rounds=12), "vector")
+    gap = lambda z: max(np.abs(z[(batch == b) & (kind == k)].mean(0) - z[kind == k].mean(0)).max() for b in range(3) for k in range(2))
+    assert gap(got) < 0.3 * gap(x)
+    assert np.abs(got[kind == 1].mean(0) - got[kind == 0].mean(0)).min() > 3
+
+
+def test_doublets_lie_among_sums(spark):
+    rng = np.random.default_rng(8)
+    x = rng.poisson(np.where(np.arange(120)[:, None] % 2 == np.arange(10) % 2, 20, 1))
+    x[:6] = x[10:16] + x[11:17]
+    got = found(ml.doublet_scores(matrix(spark, x.astype(float))), "score")
+    assert got[:6].mean() > 0.7 > 0.5 > got[6:].mean()
+
+
+def test_landmarks_place_every_row(spark):
+    rng = np.random.default_rng(10)
+    label = np.arange(150) % 3
+    x = rng.normal(size=(150, 5)) + 12 * np.eye(3, 5)[label]
+    got = found(ml.umap_by_landmarks(matrix(spark, x, label=label), landmarks=60), "xy")
+    centre = np.array([got[label == k].mean(0) for k in range(3)])
+    near = ((got[:, None] - centre[None]) ** 2).sum(2).argmin(1)
+    assert len(got) == 150 and np.isfinite(got).all() and (near == label).mean() > 0.95
+
+
+def test_smoothing_is_the_local_polynomial(spark):
+    y = np.sin(np.arange(70) / 7) + np.random.default_rng(1).normal(size=70) * 0.1
+    got = {r.k: r.smooth for r in ml.smooth(spark.createDataFrame([(3 * i, float(v)) for i, v in enumerate(y)], "k long, v double"), "k", "v").collect()}
+    for i in range(70):
+        at = np.arange(max(0, i - 15), min(70, i + 16))
+        assert got[3 * i] == pytest.approx(np.polyval(np.polyfit(at - i, y[at], 3), 0), abs=1e-6)
+
+
+def test_grouped_ridge_is_the_fit_to_all_rows(spark):
+    rng = np.random.default_rng(12)
+    x = rng.integers(60, 90, 300)
+    y = 0.02 * (x - 70.0) ** 2 + rng.normal(size=300)
+    df = spark.createDataFrame([(i, int(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))] + [(900, 65, None), (901, None, 3.0)], "i long, x int, y double")
+    alpha, gamma, got = ml.kernel_ridge(df, "x", "y", "i", [0.1, 100.0], [0.001, 0.01])
+    k = np.exp(-gamma * (x[:, None] - x[None]) ** 2.0)
+    weights = np.linalg.solve(k + alpha * np.eye(300), y)
+    assert alpha == 0.1
+    for r in got.collect():
+        assert r.predicted == pytest.approx(np.exp(-gamma * (r.x - x) ** 2.0) @ weights, abs=1e-6)
+
+
+def test_eigengap_counts_blocks():
+    a = np.kron(np.eye(3), np.ones((10, 10)))
+    laplacian = np.diag(a.sum(1)) - a
+    assert ml.eigengap(np.linalg.eigvalsh(laplacian), 30) == 3
+
+
+def leftmost(words, n):
+    """Brute force: the leftmost repeat of n words goes, until there is none."""
+    while at := [i for i in range(len(words) - 2 * n + 1) if [w.lower() for w in words[i : i + n]] == [w.lower() for w in words[i + n : i + 2 * n]]]:
+        words = words[: at[0] + n] + words[at[0] + 2 * n :]
+    return words
+
+
+def test_repeated_ngrams_by_brute_force(spark):
+    rng = np.random.default_rng(14)
+    texts = [" ".join(rng.choice(list("abAB"), rng.integers(1, 14))) for _ in range(400)] + ["", "one"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", T.drop_repeated_ngrams(F.col("t")).alias("x")).collect()
+    for r in got:
+        assert r.x == " ".join(leftmost(leftmost(texts[r.i].split(" "), 1), 2))
+    assert value(spark, T.drop_repeated_ngrams(F.col("t")), t="hola hola. ¿si si? no, no") == "hola. ¿si? no, no"
+    assert value(spark, T.drop_repeated_ngrams(F.col("t")), t="que que va va, va va.") == "que va, va."
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     source = str(tmp_path / "in")
@@ -129,7 +220,7 @@ def test_communities_raise_modularity(spark):
     """Two cliques and one link between them."""
     edges = [(i, j, 1.0) for c in (0, 10) for i in range(c, c + 6) for j in range(i + 1, c + 6)] + [(0, 10, 1.0)]
     df = spark.createDataFrame(edges, "src long, dst long, weight double")
-    found = graph.communities(df, rounds=5)
+    found = graph.communities(df)
     assert graph.modularity(df, found).first()["modularity"] > 0.3
 
 
@@ -139,6 +230,8 @@ def test_chunks_and_windows_keep_all_tokens(spark):
     df = spark.createDataFrame([(1, "abcdefghijklm"), (2, "x")], "id long, s string")
     got = {r.id: r.s for r in sequences.shuffled_chunks(df, "id", "s", 4, 3).collect()}
     assert sorted(got[1]) == list("abcdefghijklm") and got[2] == "x"
+    null = spark.createDataFrame([(None, "abc"), (3, None)], "id long, s string")
+    assert sorted((r.id or 0, r.s is None) for r in sequences.shuffled_chunks(null, "id", "s", 4, 3).collect()) == [(0, False), (3, True)]
     words = spark.createDataFrame([(1, [str(i) for i in range(1500)])], "id long, t array<string>")
     rows = sorted(sequences.random_windows(words, "id", "t").collect(), key=lambda r: r.start)
     assert [w for r in rows for w in r.window] == [str(i) for i in range(1500)]
