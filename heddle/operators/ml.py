@@ -9,8 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.clustering import GaussianMixture, KMeans, PowerIterationClustering
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
+from pyspark.ml.clustering import PowerIterationClustering
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -29,25 +29,6 @@ def pca(df: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
     return model.transform(df).withColumn("pca", vector_to_array("_p")).drop("_z", "_p"), model.stages[-1].explainedVariance.toArray().tolist()
 
 
-def kmeans_sweep(df: DataFrame, ks: range, seed: int = 42) -> list[tuple[int, float, float]]:
-    """(k, inertia per row, silhouette) of each k."""
-    n, found = df.count(), []
-    for k in ks:
-        model = KMeans(k=k, seed=seed).fit(df)
-        found.append((k, model.summary.trainingCost / n, ClusteringEvaluator().evaluate(model.transform(df))))
-    return found
-
-
-def mixture_sweep(df: DataFrame, dims: int, ks: range, seed: int = 42) -> list[tuple[int, float, float]]:
-    """(k, AIC, BIC) of full-covariance mixtures."""
-    n, found = df.count(), []
-    for k in ks:
-        loglik = GaussianMixture(k=k, seed=seed).fit(df).summary.logLikelihood
-        free = k * (dims + dims * (dims + 1) / 2) + k - 1
-        found.append((k, 2 * free - 2 * loglik, free * np.log(n) - 2 * loglik))
-    return found
-
-
 def classifier(name: str, **options):
     """LR (L1 logistic), RF, XG (boosted trees), SVM (linear); the last two by one-vs-rest."""
     made = {
@@ -216,7 +197,7 @@ def loadings(x: np.ndarray, both: np.ndarray, own: np.ndarray, penalty: float, i
     return h
 
 
-def shared_factors(rows: DataFrame, blocks: int, k: int, penalty: float = 5.0, steps: int = 20, seed: int = 42) -> DataFrame:
+def shared_factors(rows: DataFrame, blocks: int, k: int, penalty: float = 5.0, steps: int = 50, seed: int = 42) -> DataFrame:
     """id, scores: integrative factorisation of nonnegative rows (id, vector, block 0..blocks-1).
 
     Scores of a row follow from the factors alone, so a step is one pass over the rows that sums up

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heddle.operators import generators, ml
+from heddle.operators import generators, ml, sweeps
 from heddle.plans import adapters as A
 from heddle.plans.graph_queries import knn, vectors
 from heddle.plans.registry import query
 from heddle.sources import readers, sinks
-from heddle.workspace import scratch_path, table
+from heddle.workspace import materialise, scratch_path, table
 
 R = lambda c: F.round(c, 6)
 
@@ -131,13 +131,16 @@ def pca_scores(spark, sf):
 
 @query("kmeans_sweep")
 def kmeans_sweep(spark, sf):
-    return spark.createDataFrame(ml.kmeans_sweep(vector_rows(spark, sf), range(2, 6)), "k int, inertia double, silhouette double")
+    """k = 2..49."""
+    return spark.createDataFrame(sweeps.kmeans_sweep(vectors(spark, sf), range(2, 50)), "k int, inertia double, silhouette double")
 
 
 @query("mixture_sweep")
 def mixture_sweep(spark, sf):
-    scores = ml.features(ml.pca(vector_rows(spark, sf), 3)[0].select("id", "pca"), "pca")
-    return spark.createDataFrame([(k, float(a), float(b)) for k, a, b in ml.mixture_sweep(scores, 3, range(2, 4))], "k int, aic double, bic double")
+    """Four kinds of covariance at k = 10, then full ones at k = 2..49, on three principal components."""
+    scores = materialise(ml.pca(vector_rows(spark, sf), 3)[0].select("id", F.col("pca").alias("vector")), "scores")
+    models = [(kind, 10) for kind in sweeps.KINDS] + [("full", k) for k in range(2, 50) if k != 10]
+    return spark.createDataFrame(sweeps.mixture_sweep(scores, models), "covariance string, k int, aic double, bic double")
 
 
 @query("classifier_scores")
@@ -175,7 +178,7 @@ def ica_components(spark, sf):
 
 @query("umap_embedding")
 def umap_embedding(spark, sf):
-    return ml.umap_by_landmarks(vectors(spark, sf), landmarks=400)
+    return ml.umap_by_landmarks(vectors(spark, sf), landmarks=400, steps=500)
 
 
 @query("shared_factors")

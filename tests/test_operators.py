@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from heddle.functions import text as T
-from heddle.operators import genomics, graph, metrics, ml, order
+from heddle.operators import genomics, graph, metrics, ml, order, sweeps
 from heddle.streaming import weekly
 
 
@@ -236,3 +236,38 @@ def test_chunks_and_windows_keep_all_tokens(spark):
     rows = sorted(sequences.random_windows(words, "id", "t").collect(), key=lambda r: r.start)
     assert [w for r in rows for w in r.window] == [str(i) for i in range(1500)]
     assert sequences.dispatch("6-mer", "ACGTACG") == ["ACGTAC", "CGTACG"] and sequences.dispatch("other", "a b") == ["a", "b"]
+
+
+def blobs(seed, n=240):
+    rng = np.random.default_rng(seed)
+    label = np.arange(n) % 3
+    return rng.normal(size=(n, 2)) * 0.3 + np.array([[0, 0], [8, 0], [0, 8]])[label], label
+
+
+def test_kmeans_sweep_by_brute_force(spark):
+    x, label = blobs(16)
+    got = {k: (i, s) for k, i, s in sweeps.kmeans_sweep(matrix(spark, x), range(2, 7))}
+    far = ((x[:, None] - x[None]) ** 2).sum(2)
+    mean = np.array([[far[i, (label == c) & (np.arange(len(x)) != i)].mean() for c in range(3)] for i in range(len(x))])
+    own = mean[np.arange(len(x)), label]
+    other = np.where(np.eye(3)[label] == 1, np.inf, mean).min(1)
+    inside = sum(((x[label == c] - x[label == c].mean(0)) ** 2).sum() for c in range(3)) / len(x)
+    assert got[3] == pytest.approx((inside, ((other - own) / np.maximum(own, other)).mean()), abs=1e-9)
+    assert max(got, key=lambda k: got[k][1]) == 3 and sorted(got) == [2, 3, 4, 5, 6]
+    assert sweeps.kmeans_sweep(matrix(spark, x).where("id < 0"), range(2, 4)) == []
+    assert sweeps.kmeans_sweep(matrix(spark, np.zeros((4, 2))), range(2, 4)) == [(2, 0.0, 0.0), (3, 0.0, 0.0)]
+
+
+def test_mixture_sweep_finds_the_number(spark):
+    x, label = blobs(18)
+    got = {(kind, k): bic for kind, k, _, bic in sweeps.mixture_sweep(matrix(spark, x), [(kind, 3) for kind in sweeps.KINDS] + [("full", k) for k in (2, 4, 5)])}
+    assert min((k for k in got if k[0] == "full"), key=got.get) == ("full", 3)
+    # Blobs far apart: the fit is that of each blob alone.
+    n, loglik = len(x), 0.0
+    for c in range(3):
+        own = x[label == c]
+        cov = np.cov(own.T, ddof=0) + 1e-6 * np.eye(2)
+        z = own - own.mean(0)
+        loglik += (np.log(len(own) / n) - np.log(2 * np.pi) - np.log(np.linalg.det(cov)) / 2 - (z @ np.linalg.inv(cov) * z).sum(1) / 2).sum()
+    assert got["full", 3] == pytest.approx(sweeps.free_parameters("full", 3, 2) * np.log(n) - 2 * loglik, rel=1e-3)
+    assert got["spherical", 3] < got["full", 3]
