@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.operators.graph import ROWS_PER_BLOCK, _blocks
-from heddle.workspace import ship_package
+from heddle.operators.graph import ROWS_PER_BLOCK, _blocks, label_components
+from heddle.workspace import materialise, ship_package
 
 
 def within(rows: DataFrame, eps: float, size: int = ROWS_PER_BLOCK) -> DataFrame:
@@ -30,3 +30,54 @@ def within(rows: DataFrame, eps: float, size: int = ROWS_PER_BLOCK) -> DataFrame
         return pa.table({"id": pa.array(ids[side == 0], "int64"), "n": pa.array((d <= eps).sum(1), "int64")})
 
     return left.union(right).groupBy("a", "b").applyInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("within"))
+
+
+def _near(table: pa.Table, eps: float) -> np.ndarray:
+    x = np.array(table.column("vector").to_pylist(), dtype="float64")
+    return np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * x @ x.T)) <= eps
+
+
+def _pairs(rows: DataFrame, size: int) -> DataFrame:
+    """Rows dealt to unordered pairs of blocks (low, high), a row once in each."""
+    return _blocks(rows, size).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("own", "other")
+
+
+def dbscan(rows: DataFrame, eps: float, least: int, size: int = ROWS_PER_BLOCK) -> DataFrame:
+    """id, core, cluster of rows (id, vector): density clusters, named by their least core id.
+
+    A core row has at least ``least`` rows within ``eps``, itself included; core rows within ``eps``
+    of each other are in one cluster; another row joins the least-named cluster with a core row
+    within ``eps``, or none (null). Each pair of blocks sends on links that span what it joins, fewer
+    than its rows, so a dense cluster doesn't give all its pairs.
+    """
+    rows = rows.select(F.col("id").cast("long").alias("id"), "vector")
+    core = materialise(within(rows, eps, size).select("id", (F.col("within") >= least).alias("core")), "core")
+
+    def spanning(table: pa.Table) -> pa.Table:
+        ids, near = table.column("id").to_numpy(), _near(table, eps)
+        seen, u, v = np.zeros(len(ids), bool), [], []
+        for start in range(len(ids)):
+            front = np.array([start]) if not seen[start] else np.array([], int)
+            seen[start] = True
+            while len(front):
+                front = np.flatnonzero(near[front].any(0) & ~seen)
+                seen[front] = True
+                u.append(np.full(len(front), ids[start]))
+                v.append(ids[front])
+        return pa.table({"src": pa.array(np.concatenate(u or [[]]).astype("int64")), "dst": pa.array(np.concatenate(v or [[]]).astype("int64"))})
+
+    dense = rows.join(core.where("core"), "id").select("id", "vector")
+    links = materialise(_pairs(dense, size).groupBy("low", "high").applyInArrow(spanning, "src long, dst long"), "spanning")
+    roots = label_components(links).withColumnsRenamed({"node": "id", "component": "root"})
+    named = materialise(core.join(roots, "id", "left").select("id", "core", F.when(F.col("core"), F.coalesce("root", "id")).alias("root")), "named")
+
+    def joins(table: pa.Table) -> pa.Table:
+        ids, near, far = table.column("id").to_numpy(), _near(table, eps), np.iinfo("int64").max
+        root = table.column("root").fill_null(far).to_numpy()
+        got = np.where(near, root[None, :], far).min(1)
+        edge = (root == far) & (got < far)
+        return pa.table({"id": pa.array(ids[edge], "int64"), "root": pa.array(got[edge], "int64")})
+
+    edges = _pairs(rows.join(named.select("id", "root"), "id"), size).groupBy("low", "high").applyInArrow(joins, "id long, root long")
+    edges = edges.groupBy("id").agg(F.min("root").alias("joined"))
+    return named.join(edges, "id", "left").select("id", "core", F.coalesce("root", "joined").alias("cluster"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.operators import graph as G
@@ -96,6 +98,39 @@ def dbscan_core(spark, sf):
     return within(vectors(spark, sf), 1.25).select(F.col("id").alias("vec_id"), "within", (F.col("within") >= 5).alias("core"))
 
 
+#: Pairs of radius and least number of rows.
+DENSITIES = [(1.15, 3), (1.15, 5), (1.25, 3), (1.25, 5)]
+
+
+def _density_sql(grid) -> str:
+    values = ", ".join(f"({eps}::DOUBLE, {least})" for eps, least in grid)
+    return f"""{DIST}, grid(eps, least) AS (VALUES {values}), every AS (SELECT vec_id AS id, eps, least FROM embeddings, grid),
+  near AS (SELECT eps, least, src, dst FROM d JOIN grid ON score <= eps),
+  n AS (SELECT e.eps, e.least, e.id, count(dst) + 1 >= e.least AS core FROM every e LEFT JOIN near ON near.eps = e.eps AND near.least = e.least AND src = id GROUP BY 1, 2, 3),
+  ce AS (SELECT near.* FROM near JOIN n a ON a.eps = near.eps AND a.least = near.least AND a.id = src AND a.core JOIN n b ON b.eps = near.eps AND b.least = near.least AND b.id = dst AND b.core),
+  reach(eps, least, id, seen) AS (SELECT eps, least, id, id FROM n WHERE core UNION SELECT r.eps, r.least, r.id, ce.dst FROM reach r JOIN ce ON ce.eps = r.eps AND ce.least = r.least AND ce.src = r.seen),
+  roots AS (SELECT eps, least, id, min(seen) AS root FROM reach GROUP BY 1, 2, 3),
+  joined AS (SELECT near.eps, near.least, src AS id, min(root) AS root FROM near JOIN roots r ON r.eps = near.eps AND r.least = near.least AND r.id = dst GROUP BY 1, 2, 3),
+  dense AS (SELECT n.eps, n.least, n.id, n.core, coalesce(r.root, j.root) AS cluster FROM n LEFT JOIN roots r ON r.eps = n.eps AND r.least = n.least AND r.id = n.id LEFT JOIN joined j ON j.eps = n.eps AND j.least = n.least AND j.id = n.id)"""
+
+
+@query("dbscan_clusters", f"WITH RECURSIVE {_density_sql(DENSITIES[-1:])} SELECT id AS vec_id, core, cluster FROM dense")
+def dbscan_clusters(spark, sf):
+    from heddle.operators.clusters import dbscan
+
+    return dbscan(vectors(spark, sf), *DENSITIES[-1]).withColumnRenamed("id", "vec_id")
+
+
+@query("dbscan_grid", f"WITH RECURSIVE {_density_sql(DENSITIES)} SELECT eps, least, count(DISTINCT cluster) AS clusters, count(*) FILTER (WHERE core) AS cores, count(*) FILTER (WHERE cluster IS NULL) AS noise FROM dense GROUP BY 1, 2")
+def dbscan_grid(spark, sf):
+    """Clusters, core rows and noise for each pair of radius and least number."""
+    from heddle.operators.clusters import dbscan
+
+    found = [dbscan(vectors(spark, sf), eps, least).withColumns({"eps": F.lit(eps), "least": F.lit(least)}) for eps, least in DENSITIES]
+    counts = [F.count_distinct("cluster").alias("clusters"), F.count_if("core").alias("cores"), F.count_if(F.col("cluster").isNull()).alias("noise")]
+    return reduce(DataFrame.unionByName, found).groupBy("eps", "least").agg(*counts)
+
+
 @query("umap_kernels", f"""WITH {DIST}, r AS (SELECT src, min(score) AS rho FROM d GROUP BY src), k AS (SELECT src, dst, score FROM d QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(score, 9), dst) <= 5),
   p AS (SELECT src, dst, score, exp(-greatest(0, score - rho) / 0.5) AS p, 1 / (1 + 1.577 * score ** (2 * 0.895)) AS q FROM k JOIN r USING (src))
   SELECT src, dst, round(p, 5) AS p, round(q, 5) AS q, round(-p * ln(q + 0.01) - (1 - p) * ln(1 - q + 0.01), 5) AS ce FROM p""")
@@ -279,15 +314,17 @@ def triangular_threshold(spark, sf):
     return e.select("td", "tc", F.explode(F.array("g1", "g2")).alias("g")).groupBy("td", "tc").agg(F.count_distinct("g").alias("nodes"))
 
 
-@query("community_silhouette")
+@query("community_silhouette", f"""WITH {DIST}, g AS (SELECT src, la, lb, avg(score * score) AS m FROM d GROUP BY 1, 2, 3),
+  s AS (SELECT src, max(m) FILTER (WHERE la = lb) AS a, min(m) FILTER (WHERE la <> lb) AS b FROM g GROUP BY 1)
+  SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s""")
 def community_silhouette(spark, sf):
-    """Rows only: mean silhouette of the labels, from sums of squared distances to clusters."""
+    """Mean silhouette of the labels, from sums of squared distances to clusters."""
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 
     v = vectors(spark, sf).select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"), F.col("label").cast("int").alias("prediction"))
     score = ClusteringEvaluator().evaluate(v)
-    return spark.createDataFrame([(float(score),)], "silhouette double")
+    return spark.createDataFrame([(round(float(score), 6),)], "silhouette double")
 
 
 @query("ica_top_components", "WITH r AS (SELECT vec_id, i - 1 AS component, row_number() OVER (PARTITION BY vec_id ORDER BY abs(embedding[i]) DESC, i) AS rk FROM embeddings, range(1, 65) r(i)) SELECT vec_id, component::INT AS component FROM r WHERE rk <= 2")

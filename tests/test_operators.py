@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from heddle.functions import text as T
-from heddle.operators import genomics, graph, metrics, ml, order, sweeps
+from heddle.operators import clusters, genomics, graph, metrics, ml, order, sweeps
 from heddle.streaming import weekly
 
 
@@ -271,3 +271,15 @@ def test_mixture_sweep_finds_the_number(spark):
         loglik += (np.log(len(own) / n) - np.log(2 * np.pi) - np.log(np.linalg.det(cov)) / 2 - (z @ np.linalg.inv(cov) * z).sum(1) / 2).sum()
     assert got["full", 3] == pytest.approx(sweeps.free_parameters("full", 3, 2) * np.log(n) - 2 * loglik, rel=1e-3)
     assert got["spherical", 3] < got["full", 3]
+
+
+def test_dbscan_by_blocks(spark):
+    """A chain, a border row between two clusters, equal rows and noise, in blocks of any size."""
+    at = [0, 0.4, 0.8, 1.2, 1.6, 2.4, 3.2, 3.6, 4.0, 4.4, 4.8, 20, 30, 30, 30, 30]
+    df = matrix(spark, np.array(at)[:, None])
+    want = {i: 1 for i in range(6)} | {i: 6 for i in range(6, 11)} | {11: None} | {i: 12 for i in range(12, 16)}
+    for size in (4, 2048):
+        got = clusters.dbscan(df, 0.9, 4, size=size).collect()
+        assert {r.id: r.cluster for r in got} == want, size
+        assert sorted(r.id for r in got if not r.core) == [0, 5, 10, 11]
+    assert clusters.dbscan(df.where("id < 0"), 1.0, 2).count() == 0
