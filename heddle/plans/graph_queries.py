@@ -333,6 +333,21 @@ def ica_top_components(spark, sf):
     return e.withColumn("rk", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.abs("v").desc(), "component"))).where("rk <= 2").select("vec_id", "component")
 
 
+@query("ica_characterisation", """WITH e AS (SELECT vec_id, i - 1 AS feature, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) r(i)),
+  r AS (SELECT vec_id, feature AS component FROM e QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY abs(v) DESC, feature) <= 2),
+  a AS (SELECT c.component, e.feature, count(*) FILTER (WHERE r.vec_id IS NOT NULL) AS n1, count(*) FILTER (WHERE r.vec_id IS NULL) AS n0, avg(v) FILTER (WHERE r.vec_id IS NOT NULL) AS m1, avg(v) FILTER (WHERE r.vec_id IS NULL) AS m0,
+    var_pop(v) FILTER (WHERE r.vec_id IS NOT NULL) AS v1, var_pop(v) FILTER (WHERE r.vec_id IS NULL) AS v0 FROM e CROSS JOIN (SELECT DISTINCT component FROM r) c LEFT JOIN r ON r.vec_id = e.vec_id AND r.component = c.component GROUP BY 1, 2),
+  z AS (SELECT 1.959963984540054::DOUBLE AS z), t AS (SELECT a.*, m1 - m0 AS effect, sqrt((n1 * v1 + n0 * v0) / (n1 + n0 - 2) * (1 / n1::DOUBLE + 1 / n0::DOUBLE)) AS error, (n1 + n0 - 2)::DOUBLE AS df, z FROM a, z WHERE n1 >= 3 AND n0 > 1)
+  SELECT component::INT AS component, feature::INT AS feature, round(effect, 6) AS effect, n1 AS n_rows FROM t WHERE abs(effect) > 0.1
+    AND abs(effect) > error * (z + (z ** 3 + z) / 4 / df + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96 / df ** 2 + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384 / df ** 3 + (79 * z ** 9 + 776 * z ** 7 + 1482 * z ** 5 - 1920 * z ** 3 - 945 * z) / 92160 / df ** 4)""")
+def ica_characterisation(spark, sf):
+    """Features whose means differ between the rows of a component and the others."""
+    from heddle.operators.metrics import characterise
+
+    active = ica_top_components(spark, sf).withColumnRenamed("vec_id", "id")
+    return characterise(vectors(spark, sf).select("id", "vector"), active).withColumn("effect", R("effect"))
+
+
 @query("graph_communities")
 def graph_communities(spark, sf):
     """Rows only: communities of the neighbour graph; tests hold their modularity against singletons."""

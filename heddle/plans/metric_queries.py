@@ -198,9 +198,13 @@ def recovery_rate(spark, sf):
     return b.agg(R(F.avg((F.col("j") > 0.3).cast("int"))).alias("recovered"), R(F.avg("j")).alias("mean"), R(F.max("j")).alias("best"))
 
 
-@query("greedy_matching")
+@query("greedy_matching", A.sql(f"""WITH RECURSIVE {_PAIRS}, sc AS (SELECT gt, disc, c / (na + nb - c)::DOUBLE AS score FROM pairs),
+  m(gt, used, disc, score) AS (SELECT -1::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::DOUBLE UNION ALL
+    SELECT m.gt + 1, CASE WHEN b.score > 0.1 THEN list_append(m.used, b.disc) ELSE m.used END, CASE WHEN b.score > 0.1 THEN b.disc END, b.score
+    FROM m LEFT JOIN LATERAL (SELECT sc.disc, sc.score FROM sc WHERE sc.gt = m.gt + 1 AND NOT list_contains(m.used, sc.disc) ORDER BY sc.score DESC, sc.disc LIMIT 1) b ON true WHERE m.gt < 9)
+  SELECT gt, disc, round(score, 6) AS score FROM m WHERE disc IS NOT NULL"""))
 def greedy_matching(spark, sf):
-    """Rows only: each match depends on those before it."""
+    """Each match depends on those before it."""
     s = similar(spark, sf).select("gt", "disc", ratio(F.col("c"), F.col("na") + F.col("nb") - F.col("c")).alias("score"))
     return E.greedy_match(s).withColumn("score", R("score"))
 

@@ -283,3 +283,31 @@ def test_dbscan_by_blocks(spark):
         assert {r.id: r.cluster for r in got} == want, size
         assert sorted(r.id for r in got if not r.core) == [0, 5, 10, 11]
     assert clusters.dbscan(df.where("id < 0"), 1.0, 2).count() == 0
+
+
+def test_characterisation(spark):
+    rng = np.random.default_rng(20)
+    x = rng.normal(size=(60, 3)) * 0.2
+    x[:20, 1] += 1.0
+    active = spark.createDataFrame([(i, 0) for i in range(20)] + [(i, 1) for i in range(2)], "id long, component int")
+    got = {(r.component, r.feature): (r.effect, r.n_rows) for r in metrics.characterise(matrix(spark, x), active).collect()}
+    assert got[0, 1] == (pytest.approx(x[:20, 1].mean() - x[20:, 1].mean()), 20) and all(c == 0 for c, _ in got)
+    for df, want in ((4, 2.776445), (10, 2.228139), (60, 2.000298)):
+        assert value(spark, metrics.critical_t(F.col("n")), n=df) == pytest.approx(want, abs=1e-3)
+
+
+def test_small_readers(spark, tmp_path):
+    import gzip
+
+    from heddle.sources import readers
+
+    with gzip.open(tmp_path / "f.tsv.gz", "wt") as f:
+        f.write("# comment\nchr1\t5\t9\tAAC-1\t2\nchr2\t0\t3\tGGT-1\t\n")
+    assert [tuple(r) for r in readers.fragments(spark, str(tmp_path / "f.tsv.gz")).collect()] == [("chr1", 5, 9, "AAC-1", 2), ("chr2", 0, 3, "GGT-1", None)]
+    (tmp_path / "h.csv").write_text("1,a\n2,b\n")
+    assert [tuple(r) for r in readers.headerless_csv(spark, str(tmp_path / "h.csv")).collect()] == [("1", "a"), ("2", "b")]
+    x = np.array([[0, 1.5], [2, 0]])
+    np.save(tmp_path / "x.npy", x)
+    np.savez(tmp_path / "x.npz", m=x)
+    for name, of in (("x.npy", None), ("x.npz", "m")):
+        assert sorted(tuple(r) for r in readers.numpy_matrix(spark, str(tmp_path / name), of).collect()) == [(0, 1, 1.5), (1, 0, 2.0)]
