@@ -37,6 +37,16 @@ def knn_cosine_topk(spark, sf):
     return knn(spark, sf).select("src", "dst", R("score").alias("score"))
 
 
+@query("knn_index_topk", f"WITH {COS} SELECT src, dst, round(score, 6) AS score FROM knn WHERE src % 50 = 0")
+def knn_index_topk(spark, sf):
+    """By the index, for the rows whose id is divisible by 50. Exact up to eight cells (16,384 rows),
+    as in the SQL; tests measure the recall beyond."""
+    from heddle.operators.neighbours import nearest_by_index
+
+    v = vectors(spark, sf).select("id", "vector")
+    return nearest_by_index(v, 5, queries=v.where("id % 50 = 0")).select("src", "dst", R("score").alias("score"))
+
+
 @query("knn_graph", f"WITH {COS} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, round(max(score), 6) AS score FROM knn WHERE score > 0.1 GROUP BY 1, 2")
 def knn_graph(spark, sf):
     """Undirected edges from either side's neighbours above a threshold."""
