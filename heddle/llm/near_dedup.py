@@ -21,7 +21,8 @@ once for every PAIRS of them, so that a group of a third of all rows is verified
 
 Defined cases. Null and empty texts, and those of white space alone, are copies of one another. A
 text of one to four words has one shingle, all of them. A very long text is signed alone, whole. A null ``doc_id`` never names a class
-unless a class has no other; repeated rows are copies. An empty table gives an empty table.
+unless a class has no other; repeated rows are copies; rows of one ``doc_id`` with unlike texts are
+of different classes, each of which ``near_dedup`` keeps a row of. An empty table gives an empty table.
 Columns other than ``doc_id`` and ``text`` aren't read.
 """
 
@@ -166,11 +167,10 @@ def _searched(members: DataFrame, texts: DataFrame, words: int, similarity: floa
     return dealt.join(texts, "node").groupBy("key", "low", "high").applyInArrow(search, "u long, v long")
 
 
-def classes(
+def _classed(
     docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, registers: int = REGISTERS, rows: int = ROWS, block: int = BLOCK
-) -> DataFrame:
-    """doc_id, h1, h2 (hashes of the text), class_id (the least doc_id of the row's class), n_texts
-    (how many different texts the class has)."""
+) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and of each different text: h1, h2, doc_id (its least), root (its class)."""
     ship_package(docs.sparkSession)
     hashed = _hashed(docs)
     signed = materialise(_signed(hashed, words, registers, rows), "signed")
@@ -186,12 +186,14 @@ def classes(
     pairs = members.join(leaders, "key").where("u <> node").select("u", F.col("node").alias("v")).distinct()
     pairs = materialise(pairs, "pairs")
 
-    # Of several rows with the node's text only those with the node's own doc_id bring it along.
-    wanted = members.select("node").distinct().join(nodes.select("node", "h1", "h2", F.col("doc_id").alias("_id")), "node")
+    # Of several rows with the node's text only those with the node's own doc_id bring it along, and
+    # of rows that repeat both, or have no doc_id, one a task goes into the shuffle.
+    own = F.coalesce("doc_id", F.lit(-(2**63))).alias("_id")
+    wanted = members.select("node").distinct().join(nodes.select("node", "h1", "h2", own), "node")
     wanted = materialise(wanted, "wanted")
+    once = hashed.groupBy("h1", "h2", own).agg(F.first("text").alias("text"))
     # Shuffled at every size: the wanted grow with the input.
-    texts = hashed.join(wanted.hint("merge"), ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
-    texts = materialise(texts, "texts")
+    texts = materialise(once.join(wanted.hint("merge"), ["h1", "h2", "_id"]).select("node", "text"), "texts")
 
     links = materialise(_verified(pairs, texts, words, similarity), "links")
     found = components(links, "u", "v", "found")
@@ -204,16 +206,25 @@ def classes(
         found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "u", "v", "all")
 
     named = nodes.select("node", "h1", "h2", "doc_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = materialise(named, "named")
+    return signed, materialise(named.select("h1", "h2", "doc_id", "root"), "named")
+
+
+def classes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, h1, h2 (hashes of the text), class_id (the least doc_id of the row's class), n_texts
+    (how many different texts the class has). ``options`` are those of ``_classed``."""
+    signed, named = _classed(docs, **options)
     least = materialise(named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_texts")), "least")
     named = materialise(named.join(least, "root").select("h1", "h2", "class_id", "n_texts"), "classes")
     return signed.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "h1", "h2", "class_id", "n_texts")
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """One row of each class: of the least doc_id, and of that the least text hash."""
-    found = materialise(classes(docs, **options), "document_classes")
-    stays = found.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h1", "h2")).alias("s"))
+    """One row of each class: of the least doc_id, and of that the least text hash.
+
+    Classes go by their texts' links, not by class_id, which classes without ids, or of rows that
+    share an id, may have in common."""
+    named = _classed(docs, **options)[1]
+    stays = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h1", "h2")).alias("s"))
     stays = materialise(stays.select(F.col("s.doc_id").alias("_id"), F.col("s.h1").alias("_1"), F.col("s.h2").alias("_2")), "stays")
     h1, h2 = _content(F.col("text"))
     hashed = docs.withColumns({"_h1": h1, "_h2": h2})

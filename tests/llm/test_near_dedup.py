@@ -172,3 +172,13 @@ def test_all_ids_null(spark):
     df = spark.createDataFrame([(None, "some text"), (None, "some text"), (None, "other text")], "doc_id long, text string")
     assert [r.class_id for r in near_dedup.classes(df).collect()] == [None] * 3
     assert near_dedup.near_dedup(df.where(F.col("text") == "some text")).count() == 1
+    assert sorted(r.text for r in near_dedup.near_dedup(df).collect()) == ["other text", "some text"]
+
+
+def test_shared_ids_keep_their_classes(spark):
+    """Rows of one id with unlike texts are different classes, of which each keeps a row."""
+    words = [" ".join(f"{p}{i}" for i in range(40)) for p in "abc"]
+    rows = [(5, words[0]), (5, words[1]), (5, words[1]), (6, words[1] + " more"), (None, words[2]), (None, words[2] + " more"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id or 0, (r.text or "")[:1]) for r in near_dedup.near_dedup(df).collect())
+    assert kept == [(0, ""), (0, "c"), (5, "a"), (5, "b")]
