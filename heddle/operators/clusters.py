@@ -11,30 +11,37 @@ from heddle.operators.graph import ROWS_PER_BLOCK, _blocks, label_components
 from heddle.workspace import materialise, ship_package
 
 
-def within(rows: DataFrame, eps: float, size: int = ROWS_PER_BLOCK) -> DataFrame:
-    """id, within: number of rows at a distance of eps or less, the row itself included.
+def _counts(rows: DataFrame, radii: list[float], size: int) -> DataFrame:
+    """id, n0, n1, ...: number of rows within each radius, the row itself included.
 
-    Blocks meet blocks; each sends on one count per row."""
+    Blocks meet blocks; each sends on one row of counts per row."""
     ship_package(rows.sparkSession)
     dealt = _blocks(rows.select(F.col("id").cast("long").alias("id"), "vector"), size)
     left = dealt.select("id", "vector", F.col("own").alias("a"), F.col("other").alias("b"), F.lit(0).alias("side"))
     right = dealt.select("id", "vector", F.col("other").alias("a"), F.col("own").alias("b"), F.lit(1).alias("side"))
+    names = [f"n{k}" for k in range(len(radii))]
 
     def count(table: pa.Table) -> pa.Table:
         ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
         x = np.array(table.column("vector").to_pylist(), dtype="float64")
         a, b = x[side == 0], x[side == 1]
         if not len(a) or not len(b):
-            return pa.table({"id": pa.array([], "int64"), "n": pa.array([], "int64")})
+            return pa.table({name: pa.array([], "int64") for name in ["id", *names]})
         d = np.sqrt(np.maximum(0, (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T))
-        return pa.table({"id": pa.array(ids[side == 0], "int64"), "n": pa.array((d <= eps).sum(1), "int64")})
+        return pa.table({"id": pa.array(ids[side == 0], "int64")} | {name: pa.array((d <= eps).sum(1), "int64") for name, eps in zip(names, radii, strict=True)})
+
+    found = left.union(right).groupBy("a", "b").applyInArrow(count, ", ".join(f"{name} long" for name in ["id", *names]))
+    return found.groupBy("id").agg(*[F.sum(name).alias(name) for name in names])
+
 
-    return left.union(right).groupBy("a", "b").applyInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("within"))
+def within(rows: DataFrame, eps: float, size: int = ROWS_PER_BLOCK) -> DataFrame:
+    """id, within: number of rows at a distance of eps or less, the row itself included."""
+    return _counts(rows, [eps], size).withColumnRenamed("n0", "within")
 
 
-def _near(table: pa.Table, eps: float) -> np.ndarray:
+def _far(table: pa.Table) -> np.ndarray:
     x = np.array(table.column("vector").to_pylist(), dtype="float64")
-    return np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * x @ x.T)) <= eps
+    return np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * x @ x.T))
 
 
 def _pairs(rows: DataFrame, size: int) -> DataFrame:
@@ -43,41 +50,72 @@ def _pairs(rows: DataFrame, size: int) -> DataFrame:
 
 
 def dbscan(rows: DataFrame, eps: float, least: int, size: int = ROWS_PER_BLOCK) -> DataFrame:
-    """id, core, cluster of rows (id, vector): density clusters, named by their least core id.
+    """id, core, cluster of rows (id, vector): ``dbscan_grid`` at one radius and number."""
+    return dbscan_grid(rows, [(eps, least)], size).drop("eps", "least")
+
+
+def dbscan_grid(rows: DataFrame, grid: list[tuple[float, int]], size: int = ROWS_PER_BLOCK) -> DataFrame:
+    """eps, least, id, core, cluster of rows (id, vector), for each pair (eps, least) of ``grid``:
+    density clusters, named by their least core id.
 
     A core row has at least ``least`` rows within ``eps``, itself included; core rows within ``eps``
     of each other are in one cluster; another row joins the least-named cluster with a core row
     within ``eps``, or none (null). Each pair of blocks sends on links that span what it joins, fewer
-    than its rows, so a dense cluster doesn't give all its pairs.
+    than its rows, so a dense cluster doesn't give all its pairs. The whole grid shares three passes
+    over pairs of blocks and one search of components, whose nodes are (pair of the grid, id).
     """
     rows = rows.select(F.col("id").cast("long").alias("id"), "vector")
-    core = materialise(within(rows, eps, size).select("id", (F.col("within") >= least).alias("core")), "core")
+    radii = sorted({eps for eps, _ in grid})
+    cores = F.array(*[F.col(f"n{radii.index(eps)}") >= least for eps, least in grid])
+    counted = materialise(_counts(rows, radii, size).select("id", cores.alias("cores")), "cores")
 
     def spanning(table: pa.Table) -> pa.Table:
-        ids, near = table.column("id").to_numpy(), _near(table, eps)
-        seen, u, v = np.zeros(len(ids), bool), [], []
-        for start in range(len(ids)):
-            front = np.array([start]) if not seen[start] else np.array([], int)
-            seen[start] = True
-            while len(front):
-                front = np.flatnonzero(near[front].any(0) & ~seen)
-                seen[front] = True
-                u.append(np.full(len(front), ids[start]))
-                v.append(ids[front])
-        return pa.table({"src": pa.array(np.concatenate(u or [[]]).astype("int64")), "dst": pa.array(np.concatenate(v or [[]]).astype("int64"))})
-
-    dense = rows.join(core.where("core"), "id").select("id", "vector")
-    links = materialise(_pairs(dense, size).groupBy("low", "high").applyInArrow(spanning, "src long, dst long"), "spanning")
-    roots = label_components(links).withColumnsRenamed({"node": "id", "component": "root"})
-    named = materialise(core.join(roots, "id", "left").select("id", "core", F.when(F.col("core"), F.coalesce("root", "id")).alias("root")), "named")
+        ids, far, cores = table.column("id").to_numpy(), _far(table), np.array(table.column("cores").to_pylist(), bool)
+        c, u, v = [], [], []
+        for k, (eps, _) in enumerate(grid):
+            own = np.flatnonzero(cores[:, k])
+            near, seen = far[np.ix_(own, own)] <= eps, np.zeros(len(own), bool)
+            for start in range(len(own)):
+                front = np.array([start]) if not seen[start] else np.array([], int)
+                seen[start] = True
+                while len(front):
+                    front = np.flatnonzero(near[front].any(0) & ~seen)
+                    seen[front] = True
+                    c.append(np.full(len(front), k))
+                    u.append(np.full(len(front), ids[own[start]]))
+                    v.append(ids[own[front]])
+        flat = lambda parts, kind: pa.array(np.concatenate(parts or [[]]).astype(kind))
+        return pa.table({"c": flat(c, "int32"), "src": flat(u, "int64"), "dst": flat(v, "int64")})
+
+    dense = rows.join(counted.where(F.exists("cores", lambda x: x)), "id")
+    links = _pairs(dense, size).groupBy("low", "high").applyInArrow(spanning, "c int, src long, dst long")
+    links = links.select(F.struct("c", F.col("src").alias("id")).alias("src"), F.struct("c", F.col("dst").alias("id")).alias("dst"))
+    roots = label_components(materialise(links, "spanning")).select("node.c", "node.id", F.col("component.id").alias("root"))
+    each = counted.select("id", F.posexplode("cores").alias("c", "core"))
+    named = each.join(roots, ["c", "id"], "left").select("c", "id", "core", F.when(F.col("core"), F.coalesce("root", "id")).alias("root"))
+    named = materialise(named, "named")
+    # One entry for each pair of the grid, in its order.
+    told = named.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "root"))), lambda x: x["root"]).alias("roots"))
 
     def joins(table: pa.Table) -> pa.Table:
-        ids, near, far = table.column("id").to_numpy(), _near(table, eps), np.iinfo("int64").max
-        root = table.column("root").fill_null(far).to_numpy()
-        got = np.where(near, root[None, :], far).min(1)
-        edge = (root == far) & (got < far)
-        return pa.table({"id": pa.array(ids[edge], "int64"), "root": pa.array(got[edge], "int64")})
-
-    edges = _pairs(rows.join(named.select("id", "root"), "id"), size).groupBy("low", "high").applyInArrow(joins, "id long, root long")
-    edges = edges.groupBy("id").agg(F.min("root").alias("joined"))
-    return named.join(edges, "id", "left").select("id", "core", F.coalesce("root", "joined").alias("cluster"))
+        ids, far, last = table.column("id").to_numpy(), _far(table), np.iinfo("int64").max
+        flat = table.column("roots").combine_chunks().flatten()
+        roots = flat.fill_null(last).to_numpy().reshape(len(ids), len(grid))
+        is_core = flat.is_valid().to_numpy(zero_copy_only=False).reshape(len(ids), len(grid))
+        c, u, v = [], [], []
+        for k, (eps, _) in enumerate(grid):
+            own, rest = np.flatnonzero(is_core[:, k]), np.flatnonzero(~is_core[:, k])
+            if len(own) and len(rest):
+                near = far[np.ix_(rest, own)] <= eps
+                got, joined = np.where(near, roots[own, k][None, :], last).min(1), near.any(1)
+                c.append(np.full(joined.sum(), k))
+                u.append(ids[rest[joined]])
+                v.append(got[joined])
+        flat = lambda parts, kind: pa.array(np.concatenate(parts or [[]]).astype(kind))
+        return pa.table({"c": flat(c, "int32"), "id": flat(u, "int64"), "root": flat(v, "int64")})
+
+    edges = _pairs(rows.join(told, "id"), size).groupBy("low", "high").applyInArrow(joins, "c int, id long, root long")
+    edges = edges.groupBy("c", "id").agg(F.min("root").alias("joined"))
+    at = lambda values: F.get(F.array(*[F.lit(x) for x in values]), F.col("c"))
+    found = named.join(edges, ["c", "id"], "left")
+    return found.select(at([e for e, _ in grid]).alias("eps"), at([n for _, n in grid]).alias("least"), "id", "core", F.coalesce("root", "joined").alias("cluster"))

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heddle.operators import graph as G
@@ -108,8 +107,9 @@ def dbscan_core(spark, sf):
     return within(vectors(spark, sf), 1.25).select(F.col("id").alias("vec_id"), "within", (F.col("within") >= 5).alias("core"))
 
 
-#: Pairs of radius and least number of rows.
-DENSITIES = [(1.15, 3), (1.15, 5), (1.25, 3), (1.25, 5)]
+#: Pairs of radius and least number of rows: fifteen radii by twelve numbers.
+DENSITIES = [(round(1.1 + k / 100, 2), least) for k in range(15) for least in range(3, 15)]
+DENSITY = (1.25, 5)
 
 
 def _density_sql(grid) -> str:
@@ -124,21 +124,20 @@ def _density_sql(grid) -> str:
   dense AS (SELECT n.eps, n.least, n.id, n.core, coalesce(r.root, j.root) AS cluster FROM n LEFT JOIN roots r ON r.eps = n.eps AND r.least = n.least AND r.id = n.id LEFT JOIN joined j ON j.eps = n.eps AND j.least = n.least AND j.id = n.id)"""
 
 
-@query("dbscan_clusters", f"WITH RECURSIVE {_density_sql(DENSITIES[-1:])} SELECT id AS vec_id, core, cluster FROM dense")
+@query("dbscan_clusters", f"WITH RECURSIVE {_density_sql([DENSITY])} SELECT id AS vec_id, core, cluster FROM dense")
 def dbscan_clusters(spark, sf):
     from heddle.operators.clusters import dbscan
 
-    return dbscan(vectors(spark, sf), *DENSITIES[-1]).withColumnRenamed("id", "vec_id")
+    return dbscan(vectors(spark, sf), *DENSITY).withColumnRenamed("id", "vec_id")
 
 
 @query("dbscan_grid", f"WITH RECURSIVE {_density_sql(DENSITIES)} SELECT eps, least, count(DISTINCT cluster) AS clusters, count(*) FILTER (WHERE core) AS cores, count(*) FILTER (WHERE cluster IS NULL) AS noise FROM dense GROUP BY 1, 2")
 def dbscan_grid(spark, sf):
     """Clusters, core rows and noise for each pair of radius and least number."""
-    from heddle.operators.clusters import dbscan
+    from heddle.operators.clusters import dbscan_grid as search
 
-    found = [dbscan(vectors(spark, sf), eps, least).withColumns({"eps": F.lit(eps), "least": F.lit(least)}) for eps, least in DENSITIES]
     counts = [F.count_distinct("cluster").alias("clusters"), F.count_if("core").alias("cores"), F.count_if(F.col("cluster").isNull()).alias("noise")]
-    return reduce(DataFrame.unionByName, found).groupBy("eps", "least").agg(*counts)
+    return search(vectors(spark, sf), DENSITIES).groupBy("eps", "least").agg(*counts)
 
 
 @query("umap_kernels", f"""WITH {DIST}, r AS (SELECT src, min(score) AS rho FROM d GROUP BY src), k AS (SELECT src, dst, score FROM d QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(score, 9), dst) <= 5),

@@ -181,6 +181,12 @@ def umap_embedding(spark, sf):
     return ml.umap_by_landmarks(vectors(spark, sf), landmarks=400, steps=500)
 
 
+@query("umap_in_batches")
+def umap_in_batches(spark, sf):
+    """The second variant, without labels."""
+    return ml.umap_by_landmarks(vectors(spark, sf), landmarks=400, steps=1_000, batches=True)
+
+
 @query("shared_factors")
 def shared_factors(spark, sf):
     positive = vectors(spark, sf).select("id", F.transform("vector", lambda x: F.abs(x)).alias("vector"), F.pmod("id", F.lit(2)).cast("int").alias("block"))

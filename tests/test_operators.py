@@ -142,11 +142,12 @@ def test_doublets_lie_among_sums(spark):
     assert got[:6].mean() > 0.7 > 0.5 > got[6:].mean()
 
 
-def test_landmarks_place_every_row(spark):
+@pytest.mark.parametrize("batches", [False, True])
+def test_landmarks_place_every_row(spark, batches):
     rng = np.random.default_rng(10)
     label = np.arange(150) % 3
     x = rng.normal(size=(150, 5)) + 12 * np.eye(3, 5)[label]
-    got = found(ml.umap_by_landmarks(matrix(spark, x, label=label), landmarks=60), "xy")
+    got = found(ml.umap_by_landmarks(matrix(spark, x, label=label), landmarks=60, batches=batches), "xy")
     centre = np.array([got[label == k].mean(0) for k in range(3)])
     near = ((got[:, None] - centre[None]) ** 2).sum(2).argmin(1)
     assert len(got) == 150 and np.isfinite(got).all() and (near == label).mean() > 0.95
@@ -283,6 +284,10 @@ def test_dbscan_by_blocks(spark):
         assert {r.id: r.cluster for r in got} == want, size
         assert sorted(r.id for r in got if not r.core) == [0, 5, 10, 11]
     assert clusters.dbscan(df.where("id < 0"), 1.0, 2).count() == 0
+    grid = clusters.dbscan_grid(df, [(0.9, 4), (0.3, 4), (100.0, 2)], size=4).collect()
+    assert {r.id: r.cluster for r in grid if (r.eps, r.least) == (0.9, 4)} == want
+    assert {r.id: r.cluster for r in grid if r.eps == 0.3} == {i: 12 if i > 11 else None for i in want}
+    assert {r.cluster for r in grid if r.eps == 100.0} == {0} and len(grid) == 3 * len(want)
 
 
 def test_characterisation(spark):
