@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heddle.llm import fingerprint, line_dedup, mixing, near_dedup, quality, sentencepiece_codec, token_counts, token_files, tool_chat, toxicity
+from heddle.llm import filter_audit, fingerprint, line_dedup, mixing, near_dedup, quality, sentencepiece_codec, token_counts, token_files, tool_chat, toxicity, vector_codes
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
 }
 
 SQL = {
@@ -23,4 +25,6 @@ SQL = {
     "op6_mix_sources": mixing.OP6_SQL,
     "op8_quality_rules": quality.OP8_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_vector_codes": vector_codes.OP12_SQL,
 }
