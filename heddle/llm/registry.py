@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heddle.llm import filter_audit, fingerprint, line_dedup, mixing, near_dedup, quality, sentencepiece_codec, token_counts, token_files, tool_chat, toxicity, vector_codes
+from heddle.llm import filter_audit, fingerprint, line_dedup, mixing, near_dedup, quality, secret_scan, sentencepiece_codec, token_counts, token_files, tool_chat, toxicity, vector_codes
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_secret_scan": secret_scan.op13_secret_scan,
 }
 
 SQL = {
@@ -27,4 +28,5 @@ SQL = {
     "op10_line_dedup": line_dedup.OP10_SQL,
     "op11_filter_audit": filter_audit.OP11_SQL,
     "op12_vector_codes": vector_codes.OP12_SQL,
+    "op13_secret_scan": secret_scan.OP13_SQL,
 }
