@@ -15,8 +15,9 @@ all other draws stay as the multinomial law gives them.
 
 Targets: sources by code point, null last, weigh 5, 2, 1, 5, ...; they share the words of all
 documents; no target exceeds ``most`` times its source's words, and what is cut off goes to the
-others by weight. No quota exceeds ``most`` times the source's blocks and each pass takes a block
-once, so no document gives more than ``most`` times its words.
+others by weight. Rounded to slots, a share could come to a slot more than ``most`` passes over a
+source's blocks; quotas end there, and what they lose goes to sources with room below that bound,
+most room first. Each pass takes a block once, so no document gives more than ``most`` times its words.
 
 Nothing is drawn from a random state: all draws are digests of their indices, so reruns agree.
 
@@ -115,8 +116,14 @@ def quotas(plan: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame:
     rows = plan.where("total > 0").withColumns({"slots": slots, "high": high, "blocks": F.ceil(F.col("source_size") / F.lit(block)).cast("long")})
     before = lambda c: F.coalesce(F.lag(c).over(order), F.lit(0))
     key = lambda p: F.concat_ws(":", F.col("sid").cast("string"), p.cast("string"))
-    passes = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda p: _mirrors(key(p), F.greatest(F.col("blocks"), F.lit(1))))
-    return rows.withColumns({"low": before("bound"), "quota": F.col("high") - before("high"), "mirrors": passes}).drop("high")
+    passes = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda p: _mirrors(key(p), F.greatest(F.col("blocks"), F.lit(1))))
+    rows = rows.withColumns({"low": before("bound"), "share": F.col("high") - before("high"), "mirrors": passes})
+    # The blocks of all sources are as many as the slots at least, so there is always room.
+    rows = rows.withColumns({"own": F.least("share", most * F.col("blocks")), "room": F.greatest(F.lit(0), most * F.col("blocks") - F.col("share"))})
+    lost = F.sum(F.col("share") - F.col("own")).over(Window.partitionBy())
+    earlier = F.coalesce(F.sum("room").over(Window.orderBy(F.desc("room"), "sid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("quota", F.col("own") + F.greatest(F.lit(0), F.least(F.col("room"), lost - earlier)))
+    return rows.drop("high", "share", "own", "room")
 
 
 def source_counts(plan: DataFrame, shard: int = SHARD) -> DataFrame:
@@ -282,7 +289,10 @@ plan AS (SELECT *, CASE WHEN sid = max(sid) OVER () THEN total
     ELSE least(round(sum(target) OVER (ORDER BY sid ROWS UNBOUNDED PRECEDING))::BIGINT, total) END AS bound FROM s5),
 q0 AS (SELECT *, ceil(source_size / {BLOCK})::BIGINT AS blocks, CASE WHEN bound = total THEN slots ELSE round(bound::DOUBLE / total * slots)::BIGINT END AS high
   FROM (SELECT *, ceil(total / {BLOCK})::BIGINT AS slots FROM plan WHERE total > 0)),
-quotas AS (SELECT *, coalesce(lag(bound) OVER (ORDER BY sid), 0) AS low, high - coalesce(lag(high) OVER (ORDER BY sid), 0) AS quota FROM q0),
+q1 AS (SELECT *, coalesce(lag(bound) OVER (ORDER BY sid), 0) AS low, high - coalesce(lag(high) OVER (ORDER BY sid), 0) AS share FROM q0),
+q2 AS (SELECT *, least(share, {MOST} * blocks) AS own, greatest(0, {MOST} * blocks - share) AS room FROM q1),
+quotas AS (SELECT *, (own + greatest(0, least(room, sum(share - own) OVER ()
+    - coalesce(sum(room) OVER (ORDER BY room DESC, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))))::BIGINT AS quota FROM q2),
 drawn AS (SELECT slot // {SHARD} AS shard, {digest("'u'", "slot", digits=BITS // 4)}::DOUBLE / {float(2**BITS)!r}::DOUBLE * total::DOUBLE AS x
   FROM (SELECT total, unnest(range(0, slots)) AS slot FROM (SELECT DISTINCT slots, total FROM quotas))),
 counts AS (SELECT shard, sid, count(*) AS n FROM drawn JOIN quotas ON x >= low::DOUBLE AND x < bound::DOUBLE GROUP BY shard, sid),

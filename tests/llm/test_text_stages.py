@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -179,6 +180,26 @@ def test_draws_fill_quotas(spark):
     assert all(full[k] == 50 for k in range(max(full)))
 
 
+@pytest.mark.parametrize("sizes", [[128, 64, 776], [1630, 128, 128, 2896]])
+def test_no_document_exceeds_three_times_its_size(spark, sizes):
+    """Capped sources whose words fill their blocks: rounding would give them a fourth pass."""
+    rows = [(i, "w " * n, f"s{i:02d}") for i, n in enumerate(sizes)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(r.taken <= 3 * r["size"] for r in got)
+
+
+def test_quotas_of_random_tables(spark):
+    """Quotas fill the slots, stay within three passes, and leave their shares by few slots."""
+    rng = random.Random(8)
+    for block in (8, 64):
+        for _ in range(4):
+            sizes = [rng.choice([rng.randint(0, 40) * block, rng.randint(0, 40 * block)]) for _ in range(rng.randint(1, 9))]
+            rows = mixing.quotas(plan_of(spark, sizes), block).collect()
+            assert sum(r.quota for r in rows) == (rows[0].slots if rows else 0)
+            assert all(0 <= r.quota <= 3 * r.blocks for r in rows)
+            assert all(abs(r.quota * block - r.target) <= (len(rows) + 1) * block for r in rows)
+
+
 def test_source_counts_are_multinomial(spark):
     """Counts of a source over many shards vary by the binomial law, and draws fall by their shares."""
     plan = mixing.quotas(plan_of(spark, [60_000, 50_000, 40_000, 30_000]), 1).cache()
