@@ -4,8 +4,9 @@ Features (``toxic_features``): densities of a lexicon's words, nearness to secon
 capitals, punctuation and obfuscation rates. The lexicon is a fixed list of insults and the terms
 (words and prefixes) that labelled training rows show to mark toxic texts.
 
-Learning uses a bounded sample, ``train_rows`` labelled rows with the least hashes of doc_id, and
-none of the rows held out (crc32 of doc_id as text, mod 3, is 1). It is cross-fitted in three
+Learning uses a bounded sample, ``train_rows`` labelled rows with the least hashes of doc_id and text
+(of rows that repeat both one is taken, so no id can fill more than the sample), and none of the rows
+held out (crc32 of doc_id as text, mod 3, is 1). It is cross-fitted in three
 folds: a row's features come from a lexicon, and its calibration score from trees, that haven't
 seen its label. Scoring covers all documents. doc_id, lang, source and labels aren't features.
 
@@ -13,7 +14,7 @@ The lexicon has all terms that pass the test of evidence; the bounded sample bou
 
 Defined cases. Null and empty texts are scored like any text without words. A null ``doc_id`` isn't
 held out and is never learned from. Several labels of a document count as toxic if any is. Null
-labels are ignored. Repeated rows of a document are each learned from, and each scored. Training
+labels are ignored. Repeated rows of a document are learned from once, and each scored. Training
 rows of one label only, or none, have nothing to tell labels apart by: all documents score the share
 of toxic ones, (toxic + 1) / (rows + 2). A very long text is measured alone, whole. An empty table
 gives an empty table. Columns beyond those named aren't read, so their names can't clash.
@@ -48,8 +49,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     fold = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(FOLDS)).cast("int")
     picked = materialise(picked.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), fold.alias("fold")), "picked")
-    # At most ``most`` rows of three numbers.
-    return materialise(docs.join(F.broadcast(picked), "doc_id").select("text", "toxic", "fold"), "training")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", "text", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    keys = ["doc_id", "h1", "h2"]
+    # Any of the ids may have any number of rows: they are told apart, and limited, by their hashes.
+    chosen = rows.select(*keys).join(F.broadcast(picked), "doc_id").distinct().orderBy(F.xxhash64(*keys), *keys).limit(most)
+    chosen = materialise(chosen, "chosen")
+    # At most ``most`` rows of numbers are broadcast, and as many rows stay.
+    found = rows.join(F.broadcast(chosen), keys).groupBy(*keys).agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"), F.first("fold").alias("fold"))
+    return materialise(found.select("text", "toxic", "fold"), "training")
 
 
 def lexicons(rows: DataFrame, least_evidence: float = 4.0) -> list[frozenset[str]]:

@@ -65,6 +65,18 @@ def test_held_out_labels_are_not_learned(planted):
     assert score(labels) == score(flipped)
 
 
+def test_training_rows_are_bounded(spark):
+    """A labelled id that has a third of all rows, or many equal rows, doesn't widen the sample."""
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, f"text {i}") for i in ids] + [(ids[0], f"other text {k}") for k in range(3000)] + [(ids[1], "equal")] * 3000
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.training_rows(docs, labels, 500).collect()
+    assert len(got) == 500
+    assert len({r.text for r in got}) >= 499
+    assert sorted(got) == sorted(toxicity.training_rows(docs.repartition(9), labels, 500).collect())
+
+
 def test_toxicity_of_one_label(spark, awkward, clashing, empty):
     """Without both labels there is nothing to learn: the share of toxic rows, of those not held out."""
     a, b = [i for i in (1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 13, 14, 15) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
