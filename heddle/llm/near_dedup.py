@@ -16,6 +16,9 @@ more; classes are the connected components of links. Steps:
    bucket.
 5. Components again, over all links.
 
+``near_links`` gives the verified links themselves, between the different texts of a class, with their
+similarities; ``classes`` gives membership and counts texts and verified links.
+
 Texts move only for nodes that have company in a bucket. A leader of many pairs has its text copied,
 once for every PAIRS of them, so that a group of a third of all rows is verified by many tasks.
 
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm.bag_min_hash import bands, occurrences, shingles, signatures
@@ -91,17 +94,18 @@ def overlaps(a: list[str], b: list[str], words: int) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) that are links."""
+    """The pairs (u, v) that are links, and their similarity."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = text_list(batch.column("a")), text_list(batch.column("b"))
-            keep, at = [], 0
+            alike, at = [np.zeros(0)], 0
             for run in groups([x + y for x, y in zip(a, b, strict=True)]):
-                keep.append(overlaps(a[at : at + len(run)], b[at : at + len(run)], words) >= similarity)
+                alike.append(overlaps(a[at : at + len(run)], b[at : at + len(run)], words))
                 at += len(run)
-            if keep:
-                yield batch.select(["u", "v"]).filter(pa.array(np.concatenate(keep)))
+            alike = np.concatenate(alike)
+            pairs = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(alike, "float64")], names=["u", "v", "similarity"])
+            yield pairs.filter(pa.array(alike >= similarity))
 
     copies = pairs.groupBy("u").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("copies"))
     copies = materialise(copies, "copies")
@@ -109,7 +113,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     left = left.select("u", "a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     right = texts.withColumnsRenamed({"node": "v", "text": "b"})
     dealt = pairs.join(copies, "u").withColumn("copy", F.pmod(F.xxhash64("v"), F.col("copies")).cast("int"))
-    return dealt.join(left, ["u", "copy"]).join(right, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
+    return dealt.join(left, ["u", "copy"]).join(right, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long, similarity double")
 
 
 def linked_in_block(nodes: np.ndarray, roots: np.ndarray, side: np.ndarray, texts: list[str], words: int, similarity: float):
@@ -144,7 +148,7 @@ def linked_in_block(nodes: np.ndarray, roots: np.ndarray, side: np.ndarray, text
     if side.any():
         alike &= side[:, None] != side[None, :]
     i, j = np.nonzero(alike)
-    return nodes[i], nodes[j]
+    return nodes[i], nodes[j], common[i, j] / np.maximum(union[i, j], 1)
 
 
 def _searched(members: DataFrame, texts: DataFrame, words: int, similarity: float, block: int) -> DataFrame:
@@ -155,8 +159,8 @@ def _searched(members: DataFrame, texts: DataFrame, words: int, similarity: floa
         nodes, at = np.unique(table.column("node").to_numpy(), return_index=True)
         roots, side = table.column("root").to_numpy()[at], table.column("side").to_numpy()[at]
         text = table.column("text").take(pa.array(at))
-        u, v = linked_in_block(nodes, roots, side, text_list(text), words, similarity)
-        return pa.table({"u": pa.array(u, "int64"), "v": pa.array(v, "int64")})
+        u, v, alike = linked_in_block(nodes, roots, side, text_list(text), words, similarity)
+        return pa.table({"u": pa.array(u, "int64"), "v": pa.array(v, "int64"), "similarity": pa.array(alike, "float64")})
 
     count = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("mass") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -164,13 +168,14 @@ def _searched(members: DataFrame, texts: DataFrame, words: int, similarity: floa
     dealt = dealt.withColumns(
         {"low": F.least("own", "other"), "high": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}
     )
-    return dealt.join(texts, "node").groupBy("key", "low", "high").applyInArrow(search, "u long, v long")
+    return dealt.join(texts, "node").groupBy("key", "low", "high").applyInArrow(search, "u long, v long, similarity double")
 
 
 def _classed(
     docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, registers: int = REGISTERS, rows: int = ROWS, block: int = BLOCK
-) -> tuple[DataFrame, DataFrame]:
-    """The signed rows, and of each different text: h1, h2, doc_id (its least), root (its class)."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signed rows; of each different text: node, h1, h2, doc_id (its least), root (its class); and
+    the verified links u, v, similarity between nodes."""
     ship_package(docs.sparkSession)
     hashed = _hashed(docs)
     signed = materialise(_signed(hashed, words, registers, rows), "signed")
@@ -203,19 +208,33 @@ def _classed(
     mingled = materialise(mingled, "mingled")
     more = materialise(_searched(rooted.join(mingled, "key"), texts, words, similarity, block), "more")
     if not more.isEmpty():
-        found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "u", "v", "all")
+        found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more.select("u", "v")), "u", "v", "all")
 
     named = nodes.select("node", "h1", "h2", "doc_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return signed, materialise(named.select("h1", "h2", "doc_id", "root"), "named")
+    # A pair may share several searched buckets.
+    every = links.union(more).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("similarity").alias("similarity"))
+    return signed, materialise(named.select("node", "h1", "h2", "doc_id", "root"), "named"), every
 
 
 def classes(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, h1, h2 (hashes of the text), class_id (the least doc_id of the row's class), n_texts
-    (how many different texts the class has). ``options`` are those of ``_classed``."""
-    signed, named = _classed(docs, **options)
-    least = materialise(named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_texts")), "least")
-    named = materialise(named.join(least, "root").select("h1", "h2", "class_id", "n_texts"), "classes")
-    return signed.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "h1", "h2", "class_id", "n_texts")
+    """doc_id, h1, h2 (hashes of the text), class_id (the least doc_id of the row's class), n_texts and
+    n_links (the class's different texts, and the verified links between them). ``options`` are those
+    of ``_classed``."""
+    signed, named, links = _classed(docs, **options)
+    counted = links.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n_links"))
+    per_text = named.join(counted, "node", "left").groupBy("root")
+    least = per_text.agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_texts"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("n_links"))
+    least = materialise(least, "least")
+    named = materialise(named.join(least, "root").select("h1", "h2", "class_id", "n_texts", "n_links"), "classes")
+    return signed.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "h1", "h2", "class_id", "n_texts", "n_links")
+
+
+def near_links(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, other_id, similarity of each verified link, ids being the least of their texts."""
+    _, named, links = _classed(docs, **options)
+    ids = named.select("node", "doc_id")
+    one = links.join(ids.withColumnsRenamed({"node": "u", "doc_id": "a"}), "u").join(ids.withColumnsRenamed({"node": "v", "doc_id": "b"}), "v")
+    return one.select(F.least("a", "b").alias("doc_id"), F.greatest("a", "b").alias("other_id"), "similarity")
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
@@ -229,10 +248,13 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
     h1, h2 = _content(F.col("text"))
     hashed = docs.withColumns({"_h1": h1, "_h2": h2})
     same = (F.col("_h1") == F.col("_1")) & (F.col("_h2") == F.col("_2")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    once = F.row_number().over(Window.partitionBy("_h1", "_h2", "doc_id").orderBy(F.lit(1)))
-    return hashed.join(stays, same).withColumn("_nth", once).where("_nth = 1").select(*docs.columns)
+    mine = hashed.join(stays, same)
+    # Rows that repeat an id and a text are combined in their tasks before they meet.
+    rest = F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c not in ("doc_id", "text")])
+    once = mine.groupBy("_h1", "_h2", "doc_id").agg(F.first("text").alias("text"), F.first(rest).alias("_rest"))
+    return once.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_rest")[c].alias(c) for c in docs.columns])
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return classes(docs).select("doc_id", "class_id", "n_texts")
+    return classes(docs).select("doc_id", "class_id", "n_texts", "n_links")

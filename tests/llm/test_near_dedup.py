@@ -94,7 +94,8 @@ def test_blocks_find_all_links():
     base = [f"w{i}" for i in range(80)]
     texts = [" ".join(base[:k] + [f"q{k}"] + base[k + 1 :]) for k in range(0, 80, 4)] + [" ".join(base)] + ["other words of no likeness at all here"]
     n = np.arange(len(texts))
-    u, v = near_dedup.linked_in_block(n, n, np.zeros(len(n), int), texts, 5, 0.8)
+    u, v, s = near_dedup.linked_in_block(n, n, np.zeros(len(n), int), texts, 5, 0.8)
+    assert s.tolist() == pytest.approx([jaccard(bag(texts[i]), bag(texts[j])) for i, j in zip(u, v, strict=True)])
     want = {(i, j) for i, j in combinations(range(len(texts)), 2) if jaccard(bag(texts[i]), bag(texts[j])) >= 0.8}
     assert {(min(p), max(p)) for p in zip(u.tolist(), v.tolist(), strict=True)} == want
 
@@ -150,6 +151,21 @@ def test_recall_by_edits(spark, docs):
     assert all(n == sizes[c] for c, n in got.values())
 
 
+def test_links_are_true_and_span_their_classes(spark, docs):
+    """Links have their true similarity, and classes are the components of links between texts."""
+    one = docs.where("text IS NOT NULL").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    texts = {r.doc_id: r.text for r in one.collect()}
+    links = near_dedup.near_links(docs).collect()
+    assert links and len({(r.doc_id, r.other_id) for r in links}) == len(links)
+    for r in links:
+        assert r.similarity >= 0.8 and r.similarity == pytest.approx(jaccard(bag(texts[r.doc_id]), bag(texts[r.other_id])))
+    rows = near_dedup.classes(docs).collect()
+    counts = {r.class_id: (r.n_texts, r.n_links) for r in rows}
+    of = {r.doc_id: r.class_id for r in rows}
+    assert Counter(of[r.doc_id] for r in links) == Counter({c: n for c, (_, n) in counts.items() if n})
+    assert all(of[r.doc_id] == of[r.other_id] for r in links) and all(n >= t - 1 for t, n in counts.values())
+
+
 @pytest.mark.parametrize("limits", [{"PAIRS": 2}, {"BLOCK_SHINGLES": 300}])
 def test_limits_change_no_class(spark, monkeypatch, limits):
     for name, value in limits.items():
