@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 import numpy as np
@@ -77,11 +78,11 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "score").groupBy("src", "dst").agg(F.max("score").alias("score"))
 
 
-def label_components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """node, component (the least node), by label spreading with pointer jumping."""
+def label_components(edges: DataFrame) -> DataFrame:
+    """node, component (the least node), by label spreading with pointer jumping, until nothing changes."""
     both = materialise(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "edges")
     labels = materialise(both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")), "labels")
-    for k in range(most):
+    for k in itertools.count():
         near = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("near"))
         step = labels.join(near, F.col("node") == F.col("src"), "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("before"))
         hop = step.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
@@ -90,7 +91,6 @@ def label_components(edges: DataFrame, most: int = 60) -> DataFrame:
         if step.where("component <> before").isEmpty():
             return step.select("node", "component")
         labels = step.select("node", "component")
-    raise RuntimeError(f"no fixed point after {most} rounds")
 
 
 def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -130,35 +130,3 @@ def merge_edges(sources: list[DataFrame]) -> DataFrame:
         F.min(F.struct("_k", "src", "dst")).alias("first"), F.sum("weight").alias("weight"), F.array_sort(F.collect_set("type")).alias("types")
     )
     return merged.select("first.src", "first.dst", "weight", "types")
-
-
-def communities(edges: DataFrame, most: int = 60) -> DataFrame:
-    """node, community: local moves by modularity gain at resolution 1, in parallel rounds.
-
-    In a round half of the nodes (by a digest of node and round) go to the neighbouring community
-    of the largest gain, so two neighbours seldom swap. Rounds go on until four in a row, in which
-    nearly every node had its turn, bring no more modularity; the labels of the best stay. Raises
-    after ``most`` rounds rather than give labels that still improve.
-    """
-    both = materialise(edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight")), "links")
-    degree = materialise(both.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")), "degree")
-    twice = degree.agg(F.sum("k").alias("m2"))
-    labels = materialise(degree.select("node", F.col("node").alias("community")), "start")
-    best, top, idle = labels, modularity(edges, labels).first()["modularity"] or 0.0, 0
-    for r in range(most):
-        own = labels.join(degree, "node")
-        totals = own.groupBy("community").agg(F.sum("k").alias("total"))
-        near = both.join(labels.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("w"))
-        # A node's own community is a choice even without links into it.
-        choice = near.unionByName(labels.withColumn("w", F.lit(0.0))).groupBy("node", "community").agg(F.sum("w").alias("w"))
-        scored = one_row(choice.join(totals, "community").join(own.select("node", "k", F.col("community").alias("home")), "node"), twice)
-        stays = F.col("community") == F.col("home")
-        gain = F.col("w") - F.col("k") * (F.col("total") - F.when(stays, F.col("k")).otherwise(0.0)) / F.col("m2")
-        pick = scored.groupBy("node").agg(F.max(F.struct(F.round(gain, 9).alias("g"), stays.alias("s"), (-F.col("community")).alias("c"))).alias("p"), F.first("home").alias("home"))
-        moves = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-        labels = materialise(pick.select("node", F.when(moves, -F.col("p.c")).otherwise(F.col("home")).alias("community")), f"moved_{r}")
-        now = modularity(edges, labels).first()["modularity"]
-        best, top, idle = (labels, now, 0) if (now or 0.0) > top + 1e-9 else (best, top, idle + 1)
-        if idle == 4:
-            return best
-    raise RuntimeError(f"modularity still rises after {most} rounds")

@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.clustering import PowerIterationClustering
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -53,11 +52,6 @@ def word_vectors(df: DataFrame, column: str, size: int = 32, seed: int = 42) ->
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
-def spectral_modules(edges: DataFrame, k: int) -> DataFrame:
-    """node, module by power iteration on edges (src, dst, weight)."""
-    return PowerIterationClustering(k=k, weightCol="weight", maxIter=20).assignClusters(edges).select(F.col("id").alias("node"), F.col("cluster").alias("module"))
-
-
 def eigengap(values: np.ndarray, n: int) -> int:
     """Number of clusters from the largest gap of the ascending eigenvalues of a Laplacian."""
     gaps = np.diff(np.sort(values)[: max(3, n // 10) + 1])
@@ -132,97 +126,6 @@ def fast_ica(rows: DataFrame, k: int, seed: int = 42, steps: int = 200, toleranc
     return mapped(rows, lambda x, _: (x - mean) @ whiten @ w.T, "sources")
 
 
-def umap(x: np.ndarray, k: int = 15, steps: int = 200, rate: float = 1.0, labels: np.ndarray | None = None, seed: int = 42, a: float = 1.577, b: float = 0.895) -> np.ndarray:
-    """A 2-D embedding of the few rows of a sample by full gradient descent on the cross entropy of fuzzy graphs.
-
-    Distances above the nearest one decay with a width found by bisection so that 2 to the sum of
-    memberships is k. With labels, rows of one label also attract each other.
-    """
-    d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * x @ x.T))
-    np.fill_diagonal(d, np.inf)
-    over = np.maximum(0, d - d.min(1, keepdims=True))
-    low, high = np.zeros(len(x)), np.full(len(x), 1000.0)
-    for _ in range(20):
-        width = (low + high) / 2
-        wide = np.exp(-over / np.maximum(width, 1e-9)[:, None]).sum(1) > np.log2(k)
-        high, low = np.where(wide, width, high), np.where(wide, low, width)
-    p = np.exp(-over / np.maximum(width, 1e-9)[:, None])
-    p = (p + p.T) / 2
-    same = (labels[:, None] == labels[None, :]) * 0.01 if labels is not None else 0.0
-    y = np.random.default_rng(seed).normal(size=(len(x), 2))
-    for _ in range(steps):
-        y = y - rate * np.clip(_layout_gradient(y, p, same, a, b), -4, 4) / np.sqrt(len(x))
-    return y
-
-
-def _layout_gradient(y: np.ndarray, p: np.ndarray, same: np.ndarray | float, a: float, b: float) -> np.ndarray:
-    """Gradient of the cross entropy of memberships p in the places y."""
-    diff = y[:, None, :] - y[None, :, :]
-    r = (diff**2).sum(2) + 1e-6
-    q = 1 / (1 + a * r**b)
-    pull = p * 2 * a * b * r ** (b - 1) * q
-    push = (1 - p) * 2 * b * q / r
-    np.fill_diagonal(push, 0)
-    return ((pull - push + same)[:, :, None] * diff).sum(1)
-
-
-def umap_in_batches(x: np.ndarray, k: int = 15, steps: int = 1_000, rate: float = 0.01, batch: int = 100, seed: int = 42, a: float = 1.577, b: float = 0.895) -> np.ndarray:
-    """The second variant: only the k nearest rows have memberships, places start at the second and
-    third eigenvectors of the graph's normalised Laplacian, and a step moves random batches of rows
-    by the gradient within the batch. Distances are compared with distances."""
-    n = len(x)
-    d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * x @ x.T))
-    np.fill_diagonal(d, np.inf)
-    k = min(k, n - 1)
-    if k < 1:
-        return np.zeros((n, 2))
-    near = np.argsort(d, axis=1, kind="stable")[:, :k]
-    over = np.take_along_axis(d, near, 1)
-    over = over - over[:, :1]
-    low, high = np.full((n, 1), 1e-9), np.full((n, 1), 1000.0)
-    for _ in range(40):
-        width = (low + high) / 2
-        wide = np.exp(-over / width).sum(1, keepdims=True) > max(np.log2(k), 1.0)
-        high, low = np.where(wide, width, high), np.where(wide, low, width)
-    p = np.zeros((n, n))
-    np.put_along_axis(p, near, np.exp(-over / width), 1)
-    p = (p + p.T) / 2
-    root = 1 / np.sqrt(p.sum(1))
-    axes = np.linalg.eigh(np.eye(n) - root[:, None] * p * root[None, :])[1]
-    y = np.hstack([axes[:, 1:3], np.zeros((n, max(0, 3 - n)))])
-    draw = np.random.default_rng(seed)
-    for _ in range(steps):
-        for own in np.array_split(draw.permutation(n), -(-n // batch)):
-            y[own] -= rate * np.clip(_layout_gradient(y[own], p[np.ix_(own, own)], 0.0, a, b), -4, 4)
-    return y
-
-
-def umap_by_landmarks(rows: DataFrame, landmarks: int = 1_000, k: int = 15, steps: int = 200, supervised: bool = True, seed: int = 42, batches: bool = False) -> DataFrame:
-    """id, xy of all rows (id, vector, label): a sample of ``landmarks`` rows, those of the least
-    hashes, is laid out by ``umap``, or with ``batches`` by ``umap_in_batches``; each row then lies among its k nearest landmarks, by the mean
-    of their places weighted by membership, a landmark at its own place. The sample bounds the layout
-    only: every row is placed."""
-    picked = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(landmarks).toPandas()
-    if picked.empty:
-        return rows.sparkSession.createDataFrame([], "id long, xy array<double>")
-    base = np.array(picked["vector"].tolist(), float)
-    places = umap_in_batches(base, k, steps, seed=seed) if batches else umap(base, min(k, len(base)), steps, labels=picked["label"].to_numpy() if supervised else None, seed=seed)
-
-    def lay(x: np.ndarray, _: pd.DataFrame) -> np.ndarray:
-        out, few = np.zeros((len(x), 2)), min(k, len(base))
-        for a in range(0, len(x), 1024):
-            part = x[a : a + 1024]
-            d = np.sqrt(np.maximum(0, (part**2).sum(1)[:, None] + (base**2).sum(1)[None] - 2 * part @ base.T))
-            near = np.argpartition(d, few - 1, axis=1)[:, :few]
-            far = np.take_along_axis(d, near, 1)
-            weight = np.exp(-(far - far.min(1, keepdims=True)) / (far.mean(1, keepdims=True) + 1e-9))
-            weight = np.where((far.min(1) < 1e-6)[:, None], far < 1e-6, weight)
-            out[a : a + 1024] = (weight[:, :, None] * places[near]).sum(1) / weight.sum(1, keepdims=True)
-        return out
-
-    return mapped(rows, lay, "xy")
-
-
 def loadings(x: np.ndarray, both: np.ndarray, own: np.ndarray, penalty: float, inner: int = 30) -> np.ndarray:
     """Nonnegative scores of rows on factors ``both`` = shared + own, by multiplicative updates."""
     h = np.full((len(x), len(both)), x.mean() + 1e-3)

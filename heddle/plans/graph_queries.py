@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from heddle.operators import communities as C
 from heddle.operators import graph as G
 from heddle.operators import matrix as M
+from heddle.operators.neighbours import nearest_by_index
 from heddle.plans import adapters as A
 from heddle.plans.matrix_queries import CORR, STATS, n_samples
 from heddle.plans.registry import query
@@ -27,8 +29,9 @@ def vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
-def knn(spark, sf, k=5):
-    return G.nearest(vectors(spark, sf), k)
+def knn(spark, sf, k=5, metric="cosine"):
+    """By the index: exact up to eight cells of 2,048 rows, of measured recall beyond."""
+    return nearest_by_index(vectors(spark, sf).select("id", "vector"), k, metric)
 
 
 @query("knn_cosine_topk", f"WITH {COS} SELECT src, dst, round(score, 6) AS score FROM knn")
@@ -40,8 +43,6 @@ def knn_cosine_topk(spark, sf):
 def knn_index_topk(spark, sf):
     """By the index, for the rows whose id is divisible by 50. Exact up to eight cells (16,384 rows),
     as in the SQL; tests measure the recall beyond."""
-    from heddle.operators.neighbours import nearest_by_index
-
     v = vectors(spark, sf).select("id", "vector")
     return nearest_by_index(v, 5, queries=v.where("id % 50 = 0")).select("src", "dst", R("score").alias("score"))
 
@@ -54,14 +55,14 @@ def knn_graph(spark, sf):
 
 @query("nearest_distance", f"WITH {DIST} SELECT src, round(min(score), 5) AS rho FROM d GROUP BY src")
 def nearest_distance(spark, sf):
-    return G.nearest(vectors(spark, sf), 1, "euclidean").select("src", F.round("score", 5).alias("rho"))
+    return knn(spark, sf, 1, "euclidean").select("src", F.round("score", 5).alias("rho"))
 
 
 @query("knn_distance_curve", f"WITH {DIST}, m AS (SELECT src, min(score) AS s FROM d GROUP BY src) SELECT row_number() OVER (ORDER BY round(s, 9), src) AS i, round(s, 5) AS distance FROM m")
 def knn_distance_curve(spark, sf):
     from heddle.operators.order import with_position
 
-    n = G.nearest(vectors(spark, sf), 1, "euclidean").select(F.struct(F.round("score", 9).alias("s"), "src").alias("k"), "score")
+    n = knn(spark, sf, 1, "euclidean").select(F.struct(F.round("score", 9).alias("s"), "src").alias("k"), "score")
     return with_position(n, "k", "i").select(F.col("i").cast("long").alias("i"), F.round("score", 5).alias("distance"))
 
 
@@ -144,7 +145,7 @@ def dbscan_grid(spark, sf):
   p AS (SELECT src, dst, score, exp(-greatest(0, score - rho) / 0.5) AS p, 1 / (1 + 1.577 * score ** (2 * 0.895)) AS q FROM k JOIN r USING (src))
   SELECT src, dst, round(p, 5) AS p, round(q, 5) AS q, round(-p * ln(q + 0.01) - (1 - p) * ln(1 - q + 0.01), 5) AS ce FROM p""")
 def umap_kernels(spark, sf):
-    near = G.nearest(vectors(spark, sf), 5, "euclidean")
+    near = knn(spark, sf, 5, "euclidean")
     rho = F.min("score").over(Window.partitionBy("src"))
     p = F.exp(-F.greatest(F.lit(0.0), F.col("score") - F.col("rho")) / 0.5)
     q = 1 / (1 + 1.577 * F.pow("score", F.lit(2 * 0.895)))
@@ -357,8 +358,50 @@ def ica_characterisation(spark, sf):
     return characterise(vectors(spark, sf).select("id", "vector"), active).withColumn("effect", R("effect"))
 
 
+@query("shared_neighbours", f"""WITH {COS}, n AS (SELECT src, dst FROM knn UNION SELECT vec_id, vec_id FROM embeddings), s AS (SELECT src, count(*) AS k FROM n GROUP BY 1),
+  e AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM knn),
+  m AS (SELECT e.src, e.dst, count(*) AS shared FROM e JOIN n a ON a.src = e.src JOIN n b ON b.src = e.dst AND b.dst = a.dst GROUP BY 1, 2)
+  SELECT e.src, e.dst, coalesce(shared, 0)::INT AS shared, round(coalesce(shared, 0) / (x.k + y.k - coalesce(shared, 0))::DOUBLE, 6) AS weight FROM e LEFT JOIN m USING (src, dst) JOIN s x ON x.src = e.src JOIN s y ON y.src = e.dst""")
+def shared_neighbours(spark, sf):
+    """Links of the neighbour graph, weighed by the share of neighbours that both ends have."""
+    return C.shared_neighbours(knn(spark, sf)).withColumn("weight", R("weight"))
+
+
 @query("graph_communities")
 def graph_communities(spark, sf):
-    """Rows only: communities of the neighbour graph; tests hold their modularity against singletons."""
-    e = G.undirected(knn(spark, sf).where("score > 0.1")).withColumnRenamed("score", "weight")
-    return G.communities(e)
+    """Rows only: communities in levels of the neighbour graph with shared weights; tests hold modularity
+    and connectedness."""
+    return C.communities(C.shared_neighbours(knn(spark, sf)).where("weight > 0"))
+
+
+@query("mutual_neighbours", f"""WITH {DIST}, r AS (SELECT src, dst, src % 3 AS a, dst % 3 AS b FROM d QUALIFY row_number() OVER (PARTITION BY src, dst % 3 ORDER BY round(score, 9), dst) <= 10)
+  SELECT x.src, x.dst, x.a::VARCHAR AS src_batch, x.b::VARCHAR AS dst_batch FROM r x JOIN r y ON x.src = y.dst AND x.dst = y.src WHERE x.a < x.b""")
+def mutual_neighbours(spark, sf):
+    """Pairs of rows of two batches that are among each other's ten nearest."""
+    from heddle.operators.mutual import mutual_pairs
+
+    return mutual_pairs(vectors(spark, sf).select("id", "vector", (F.col("id") % 3).alias("batch")), 10)
+
+
+@query("mutual_merge")
+def mutual_merge(spark, sf):
+    """Rows only: batches moved onto one another along mutual neighbours; tests hold the shifts."""
+    from heddle.operators.mutual import merge_batches
+
+    return merge_batches(vectors(spark, sf).select("id", "vector", (F.col("id") % 3).alias("batch")), 10)
+
+
+#: Neighbours and halvings of the widths.
+AROUND, HALVINGS = 15, 20
+
+
+@query("neighbour_widths", f"""WITH RECURSIVE {DIST}, k AS (SELECT src, score FROM d QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(score, 9), dst) <= {AROUND}),
+  o AS (SELECT src, min(score) AS rho, list(score) AS s FROM k GROUP BY 1), v AS (SELECT src, rho, list_transform(s, lambda x: greatest(0, x - rho)) AS o FROM o),
+  b(src, step, low, high) AS (SELECT src, 0, 0.0::DOUBLE, 1000.0::DOUBLE FROM v UNION ALL
+    SELECT b.src, step + 1, CASE WHEN w THEN low ELSE m END, CASE WHEN w THEN m ELSE high END FROM (SELECT b.*, (low + high) / 2 AS m, list_sum(list_transform(o, lambda x: exp(-x / greatest((low + high) / 2, 1e-9)))) > log2({AROUND}.0) AS w FROM b JOIN v USING (src) WHERE step < {HALVINGS}) b)
+  SELECT src, round(rho, 5) AS rho, round((low + high) / 2, 5) AS sigma FROM b JOIN v USING (src) WHERE step = {HALVINGS}""")
+def neighbour_widths(spark, sf):
+    """The nearest distance of each row, and the width of its fuzzy memberships, by bisection."""
+    from heddle.operators.layout import widths
+
+    return widths(knn(spark, sf, AROUND, "euclidean"), AROUND, HALVINGS).select("src", F.round("rho", 5).alias("rho"), F.round("sigma", 5).alias("sigma"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from heddle.functions.special import normal_two_sided, t_two_sided
 from heddle.operators import matrix as M
 from heddle.plans import adapters as A
 from heddle.plans.registry import query
@@ -267,14 +268,21 @@ def empty_droplets(spark, sf):
     return M.one_row(t, t.agg(F.percentile("total_counts", 0.05).alias("p"))).select("cell_id", "total_counts", (F.col("total_counts") < F.col("p")).alias("empty"))
 
 
-@query("wilcoxon_markers", A.sql("""WITH sz AS (SELECT sum(y) AS n1, count(*) AS n FROM samples), nz AS (SELECT gene_id, value, y FROM expr JOIN samples USING (sample_id)),
+_U_SQL = """sz AS (SELECT sum(y) AS n1, count(*) AS n FROM samples), nz AS (SELECT gene_id, value, y FROM expr JOIN samples USING (sample_id)),
   g AS (SELECT gene_id, count(*) AS k FROM nz GROUP BY 1),
   r AS (SELECT *, rank() OVER (PARTITION BY gene_id ORDER BY value) + (count(*) OVER (PARTITION BY gene_id, value) - 1) / 2.0 AS rk FROM nz),
-  u AS (SELECT r.gene_id, coalesce(sum(rk + n - k) FILTER (WHERE y = 1), 0) + (n1 - count(*) FILTER (WHERE y = 1)) * (n - k + 1) / 2.0 - n1 * (n1 + 1) / 2.0 AS u, n1, n - n1 AS n0, n FROM r JOIN g USING (gene_id), sz GROUP BY r.gene_id, n1, n, k)
+  u AS (SELECT r.gene_id, coalesce(sum(rk + n - k) FILTER (WHERE y = 1), 0) + (n1 - count(*) FILTER (WHERE y = 1)) * (n - k + 1) / 2.0 - n1 * (n1 + 1) / 2.0 AS u, n1, n - n1 AS n0, n FROM r JOIN g USING (gene_id), sz GROUP BY r.gene_id, n1, n, k)"""
+
+
+@query("wilcoxon_markers", A.sql(f"""WITH {_U_SQL}
   SELECT gene_id, round(u, 6) AS u, round((u - n1 * n0 / 2.0) / sqrt(n1 * n0 * (n + 1) / 12.0), 6) AS z FROM u""", "expr", "samples"))
 def wilcoxon_markers(spark, sf):
     """Rank-sum U of cases, and z by the normal approximation. Zeros are below all entries and tie;
     they enter by number alone."""
+    return _wilcoxon(spark, sf).select("gene_id", R("u").alias("u"), R("z").alias("z"))
+
+
+def _wilcoxon(spark, sf):
     sizes = A.samples(spark, sf).agg(F.sum("y").alias("n1"), F.count("*").alias("n_all"))
     rows = A.expr(spark, sf).join(A.samples(spark, sf), "sample_id")
     ranked = M.average_ranks(rows, ["gene_id"], "value")
@@ -283,19 +291,26 @@ def wilcoxon_markers(spark, sf):
     n1, n0 = F.col("n1"), F.col("n_all") - F.col("n1")
     u = F.col("r1") + F.col("k1") * zeros + (n1 - F.col("k1")) * (zeros + 1) / 2.0 - n1 * (n1 + 1) / 2.0
     z = (u - n1 * n0 / 2.0) / F.sqrt(n1 * n0 * (F.col("n_all") + 1) / 12.0)
-    return M.one_row(per, sizes).select("gene_id", R(u).alias("u"), R(z).alias("z"))
+    return M.one_row(per, sizes).select("gene_id", u.alias("u"), z.alias("z"))
 
 
-@query("t_statistics", A.sql("""WITH sz AS (SELECT sum(y)::DOUBLE AS n1, sum(1 - y)::DOUBLE AS n0 FROM samples),
+_T_SQL = """sz AS (SELECT sum(y)::DOUBLE AS n1, sum(1 - y)::DOUBLE AS n0 FROM samples),
   s AS (SELECT gene_id, coalesce(sum(value) FILTER (WHERE y = 1), 0) / n1 AS m1, coalesce(sum(value) FILTER (WHERE y = 0), 0) / n0 AS m0,
     coalesce(sum(value * value) FILTER (WHERE y = 1), 0) / n1 AS q1, coalesce(sum(value * value) FILTER (WHERE y = 0), 0) / n0 AS q0, n1, n0 FROM expr JOIN samples USING (sample_id), sz GROUP BY gene_id, n1, n0),
   v AS (SELECT *, greatest(0, q1 - m1 * m1) AS v1, greatest(0, q0 - m0 * m0) AS v0 FROM s),
   e AS (SELECT *, greatest(v1, v0) < 2 * least(v1, v0) AS equal_var, v1 * n1 / (n1 - 1) AS s1, v0 * n0 / (n0 - 1) AS s0 FROM v),
   t AS (SELECT *, CASE WHEN equal_var THEN ((n1 - 1) * s1 + (n0 - 1) * s0) / (n1 + n0 - 2) * (1 / n1 + 1 / n0) ELSE s1 / n1 + s0 / n0 END AS se2,
-    CASE WHEN equal_var THEN n1 + n0 - 2 ELSE (s1 / n1 + s0 / n0) ** 2 / nullif((s1 / n1) ** 2 / (n1 - 1) + (s0 / n0) ** 2 / (n0 - 1), 0) END AS df FROM e)
+    CASE WHEN equal_var THEN n1 + n0 - 2 ELSE (s1 / n1 + s0 / n0) ** 2 / nullif((s1 / n1) ** 2 / (n1 - 1) + (s0 / n0) ** 2 / (n0 - 1), 0) END AS df FROM e)"""
+
+
+@query("t_statistics", A.sql(f"""WITH {_T_SQL}
   SELECT gene_id, equal_var, round(coalesce((m1 - m0) / nullif(sqrt(se2), 0), 0), 6) AS t, round(df, 5) AS df FROM t""", "expr", "samples"))
 def t_statistics(spark, sf):
     """Student's t if the larger variance is below twice the smaller, else Welch's; with df."""
+    return _t_statistics(spark, sf).select("gene_id", "equal_var", R("t").alias("t"), F.round("df", 5).alias("df"))
+
+
+def _t_statistics(spark, sf):
     sizes = A.samples(spark, sf).agg(F.sum("y").cast("double").alias("n1"), F.sum(1 - F.col("y")).cast("double").alias("n0"))
     rows = A.expr(spark, sf).join(A.samples(spark, sf), "sample_id")
     of = lambda k, p: F.sum(F.when(F.col("y") == k, F.pow("value", F.lit(p))).otherwise(0.0))
@@ -309,7 +324,28 @@ def t_statistics(spark, sf):
     se2 = F.when(F.col("equal_var"), ((n1 - 1) * s1 + (n0 - 1) * s0) / (n1 + n0 - 2) * (1 / n1 + 1 / n0)).otherwise(welch)
     wdf = F.try_divide(welch * welch, F.pow(s1 / n1, F.lit(2)) / (n1 - 1) + F.pow(s0 / n0, F.lit(2)) / (n0 - 1))
     df = F.when(F.col("equal_var"), n1 + n0 - 2).otherwise(wdf)
-    return s.select("gene_id", "equal_var", R(M.ratio(F.col("m1") - F.col("m0"), F.sqrt(se2))).alias("t"), F.round(df, 5).alias("df"))
+    return s.select("gene_id", "equal_var", M.ratio(F.col("m1") - F.col("m0"), F.sqrt(se2)).alias("t"), df.alias("df"))
+
+
+#: Points of Simpson's rule in the SQL of tails.
+POINTS = 20_000
+_SIMPSON = f"CASE WHEN i = 0 OR i = {POINTS} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+
+
+@query("t_test_p_values", A.sql(f"""WITH {_T_SQL}, t2 AS (SELECT gene_id, coalesce((m1 - m0) / nullif(sqrt(se2), 0), 0) AS t, df FROM t),
+  ends AS (SELECT *, atan(abs(t) / sqrt(df)) AS low, pi() / 2 AS high FROM t2), points AS (SELECT unnest(range(0, {POINTS} + 1)) AS i)
+  SELECT gene_id, round(sum({_SIMPSON} * cos(low + (high - low) * i / {POINTS}) ** (df - 1)) * (high - low) / (sum({_SIMPSON} * cos(high * i / {POINTS}) ** (df - 1)) * high), 7) AS p FROM ends, points WHERE df IS NOT NULL GROUP BY gene_id, low, high
+  UNION ALL SELECT gene_id, NULL FROM t2 WHERE df IS NULL""", "expr", "samples"))
+def t_test_p_values(spark, sf):
+    """Two-sided p of the t statistics, by the incomplete beta function."""
+    return _t_statistics(spark, sf).select("gene_id", F.round(t_two_sided(F.col("t"), F.col("df")), 7).alias("p"))
+
+
+@query("wilcoxon_p_values", A.sql(f"""WITH {_U_SQL}, z AS (SELECT gene_id, abs((u - n1 * n0 / 2.0) / sqrt(n1 * n0 * (n + 1) / 12.0)) AS z FROM u), points AS (SELECT unnest(range(0, {POINTS} + 1)) AS i)
+  SELECT gene_id, round(1 - 2 / sqrt(2 * pi()) * z / {POINTS} / 3 * sum({_SIMPSON} * exp(-((z * i / {POINTS}) ** 2) / 2)), 7) AS p FROM z, points GROUP BY gene_id, z""", "expr", "samples"))
+def wilcoxon_p_values(spark, sf):
+    """Two-sided p of the rank sums, by the normal tail."""
+    return _wilcoxon(spark, sf).select("gene_id", F.round(normal_two_sided(F.col("z")), 7).alias("p"))
 
 
 @query("anova_select", A.sql("""WITH lab AS (SELECT c_custkey AS sample_id, c_mktsegment AS g FROM customer), n AS (SELECT g, count(*)::DOUBLE AS n FROM lab GROUP BY g), tot AS (SELECT sum(n) AS n, count(*) AS k FROM n),
@@ -351,6 +387,23 @@ def binned_mutual_information(spark, sf):
     return joint.groupBy("gene_id").agg(R(F.sum(F.col("k") / F.col("t") * F.log(F.col("k") * F.col("t") / (F.col("kb") * F.col("n"))))).alias("mi"))
 
 
+@query("neighbour_mutual_information", """WITH v AS (SELECT vec_id AS id, i - 1 AS feature, label, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) r(i)),
+  s AS (SELECT *, count(*) OVER (PARTITION BY feature, label) AS size FROM v), w AS (SELECT * FROM s WHERE size > 1),
+  f AS (SELECT *, list_sort(list_filter([abs(x - lag(x, 1) OVER o), abs(x - lag(x, 2) OVER o), abs(x - lag(x, 3) OVER o), abs(x - lead(x, 1) OVER o), abs(x - lead(x, 2) OVER o), abs(x - lead(x, 3) OVER o)], lambda z: z IS NOT NULL)) AS far
+    FROM w WINDOW o AS (PARTITION BY feature, label ORDER BY x, id)),
+  r AS (SELECT id, feature, x, size, least(3, size - 1) AS k, far[least(3, size - 1)] AS d FROM f),
+  m AS (SELECT a.id, a.feature, a.size, a.k, count(*) AS m FROM r a JOIN r b ON b.feature = a.feature AND (abs(b.x - a.x) < a.d OR b.x = a.x) GROUP BY ALL),
+  h AS (SELECT feature, n, k, size, m, count(*) OVER (PARTITION BY feature) AS total FROM (SELECT *, 1 AS n FROM m)),
+  p AS (SELECT n, -0.5772156649015329 + coalesce(sum(1.0 / j) FILTER (WHERE j < n), 0)::DOUBLE AS psi FROM (SELECT unnest(range(1, (SELECT max(total) FROM h) + 1)) AS n), (SELECT unnest(range(1, (SELECT max(total) FROM h) + 1)) AS j) GROUP BY n)
+  SELECT feature::INT AS feature, round(greatest(0, any_value(t.psi) + avg(k.psi) - avg(c.psi) - avg(m.psi)), 6) AS mi FROM h JOIN p t ON t.n = h.total JOIN p k ON k.n = h.k JOIN p c ON c.n = h.size JOIN p m ON m.n = h.m GROUP BY 1""")
+def neighbour_mutual_information(spark, sf):
+    """Mutual information of each component and the labels, by the third nearest neighbour."""
+    from heddle.operators.information import neighbour_information
+
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("class"), F.posexplode("embedding").alias("feature", "value"))
+    return neighbour_information(rows).select("feature", R("mi").alias("mi"))
+
+
 @query("nb_moments", A.sql(f"WITH {STATS} SELECT gene_id, round(mean / nullif(var_samp, 0), 6) AS p, CASE WHEN var_samp > mean THEN round(mean * mean / (var_samp - mean), 5) END AS r FROM stats", "expr"))
 def nb_moments(spark, sf):
     """Negative binomial parameters by moments; no r without overdispersion."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from heddle.operators.layout import layout
 from heddle.operators import generators, ml, sweeps
 from heddle.plans import adapters as A
 from heddle.plans.graph_queries import knn, vectors
@@ -167,8 +168,22 @@ def word_vectors(spark, sf):
 
 @query("spectral_modules")
 def spectral_modules(spark, sf):
-    edges = knn(spark, sf).where("score > 0").select(F.col("src"), F.col("dst"), F.col("score").alias("weight"))
-    return ml.spectral_modules(edges, 5)
+    """Rows only: modules of the neighbour graph, as many as its spectrum has before its largest gap."""
+    from heddle.operators.spectral import spectral_modules as modules
+
+    return modules(knn(spark, sf).where("score > 0").select("src", "dst", F.col("score").alias("weight")))
+
+
+@query("graph_spectrum")
+def graph_spectrum(spark, sf):
+    """Rows only: the leading eigenvalues of the neighbour graph, and the number of modules by either rule."""
+    from heddle.operators import spectral
+
+    links, nodes = spectral.normalised_links(knn(spark, sf).where("score > 0").select("src", "dst", F.col("score").alias("weight")))
+    values, _ = spectral.top_eigen(links, nodes, 6, tolerance=1e-5)
+    n = nodes.count()
+    rows = [(i, round(float(v), 6), ml.eigengap(1 - values, n), spectral.module_count(values, n)) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "place int, eigenvalue double, modules_by_gap int, modules_by_drop int")
 
 
 @query("ica_components")
@@ -178,13 +193,14 @@ def ica_components(spark, sf):
 
 @query("umap_embedding")
 def umap_embedding(spark, sf):
-    return ml.umap_by_landmarks(vectors(spark, sf), landmarks=400, steps=500)
+    """Rows only: a plane layout of all rows, drawn to their labels; tests hold its trustworthiness."""
+    return layout(vectors(spark, sf), supervised=True)
 
 
 @query("umap_in_batches")
 def umap_in_batches(spark, sf):
-    """The second variant, without labels."""
-    return ml.umap_by_landmarks(vectors(spark, sf), landmarks=400, steps=1_000, batches=True)
+    """The second variant: from the graph's eigenvectors, by random batches of rows, without labels."""
+    return layout(vectors(spark, sf), spectral=True, batch=100)
 
 
 @query("shared_factors")
