@@ -142,17 +142,6 @@ def test_doublets_lie_among_sums(spark):
     assert got[:6].mean() > 0.7 > 0.5 > got[6:].mean()
 
 
-@pytest.mark.parametrize("batches", [False, True])
-def test_landmarks_place_every_row(spark, batches):
-    rng = np.random.default_rng(10)
-    label = np.arange(150) % 3
-    x = rng.normal(size=(150, 5)) + 12 * np.eye(3, 5)[label]
-    got = found(ml.umap_by_landmarks(matrix(spark, x, label=label), landmarks=60, batches=batches), "xy")
-    centre = np.array([got[label == k].mean(0) for k in range(3)])
-    near = ((got[:, None] - centre[None]) ** 2).sum(2).argmin(1)
-    assert len(got) == 150 and np.isfinite(got).all() and (near == label).mean() > 0.95
-
-
 def test_smoothing_is_the_local_polynomial(spark):
     y = np.sin(np.arange(70) / 7) + np.random.default_rng(1).normal(size=70) * 0.1
     got = {r.k: r.smooth for r in ml.smooth(spark.createDataFrame([(3 * i, float(v)) for i, v in enumerate(y)], "k long, v double"), "k", "v").collect()}
@@ -217,14 +206,6 @@ def test_all_sql_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_communities_raise_modularity(spark):
-    """Two cliques and one link between them."""
-    edges = [(i, j, 1.0) for c in (0, 10) for i in range(c, c + 6) for j in range(i + 1, c + 6)] + [(0, 10, 1.0)]
-    df = spark.createDataFrame(edges, "src long, dst long, weight double")
-    found = graph.communities(df)
-    assert graph.modularity(df, found).first()["modularity"] > 0.3
-
-
 def test_chunks_and_windows_keep_all_tokens(spark):
     from heddle.operators import sequences
 
