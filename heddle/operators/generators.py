@@ -11,7 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from heddle.workspace import ship_package
 
 
-def mechanisms(spark: SparkSession, samples: int, genes: int, spec: list[dict], seed: int = 42, dropout: float = 0.3) -> DataFrame:
+def _ids(spark: SparkSession, rows: int | DataFrame) -> DataFrame:
+    """``id`` of each row to draw: a table's own, or so many numbers."""
+    return spark.range(rows) if isinstance(rows, int) else rows.select("id")
+
+
+def mechanisms(spark: SparkSession, samples: int | DataFrame, genes: int, spec: list[dict], seed: int = 42, dropout: float = 0.3) -> DataFrame:
     """sample_id, y, active array<int>, values array<double>: counts of ``genes`` genes a sample.
 
     Base counts are negative binomial (5, 5/7). Each mechanism {type, drivers, redundant, effects}
@@ -42,10 +47,10 @@ def mechanisms(spark: SparkSession, samples: int, genes: int, spec: list[dict],
                 out.append((int(i), y, active, np.maximum(0, np.round(x + rng.gamma(1, 0.5, genes))).tolist()))
             yield pd.DataFrame(out, columns=["sample_id", "y", "active", "values"])
 
-    return spark.range(samples).mapInPandas(draw, "sample_id long, y int, active array<int>, values array<double>")
+    return _ids(spark, samples).mapInPandas(draw, "sample_id long, y int, active array<int>, values array<double>")
 
 
-def redundant_families(spark: SparkSession, samples: int, noise: int = 10, seed: int = 42) -> DataFrame:
+def redundant_families(spark: SparkSession, samples: int | DataFrame, noise: int = 10, seed: int = 42) -> DataFrame:
     """Six negative binomial families, genes that follow from them, uniform noise, and a label: 1 with
     0.95 if the third is above 25 and the fifth above 30, else with 0.05."""
     ship_package(spark)
@@ -60,10 +65,10 @@ def redundant_families(spark: SparkSession, samples: int, noise: int = 10, seed:
                 rows.append((int(i), int(rng.random() < p), [*g.tolist(), 7 * g[0] + g[1], *rng.uniform(0, 50, noise).tolist()]))
             yield pd.DataFrame(rows, columns=["sample_id", "y", "values"])
 
-    return spark.range(samples).mapInPandas(draw, "sample_id long, y int, values array<double>")
+    return _ids(spark, samples).mapInPandas(draw, "sample_id long, y int, values array<double>")
 
 
-def classification_set(spark: SparkSession, rows: int = 1200, features: int = 200, classes: int = 3, informative: float = 0.75, seed: int = 42) -> DataFrame:
+def classification_set(spark: SparkSession, rows: int | DataFrame = 1200, features: int = 200, classes: int = 3, informative: float = 0.75, seed: int = 42) -> DataFrame:
     """Gaussian classes around random corners; features beyond the informative ones are noise."""
     ship_package(spark)
     corners = np.random.default_rng(seed).choice([-1.0, 1.0], (classes, int(features * informative)))
@@ -79,4 +84,4 @@ def classification_set(spark: SparkSession, rows: int = 1200, features: int = 20
                 out.append((int(i), y, x.tolist()))
             yield pd.DataFrame(out, columns=["row_id", "y", "values"])
 
-    return spark.range(rows).mapInPandas(draw, "row_id long, y int, values array<double>")
+    return _ids(spark, rows).mapInPandas(draw, "row_id long, y int, values array<double>")

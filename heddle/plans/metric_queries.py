@@ -311,9 +311,15 @@ def recursive_feature_cut(spark, sf):
     return k.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(6)))).where("rk > 10 * round").select("round", "feature")
 
 
-@query("parameter_grid", "SELECT n_estimators, max_depth FROM range(100, 401, 100) a(n_estimators), (VALUES (3), (5), (7)) b(max_depth)")
+@query("parameter_grid", """WITH f AS (SELECT doc_id % 5 AS fold, count(*) AS validated FROM labels GROUP BY 1)
+  SELECT n_estimators, max_depth, fold, (SELECT count(*) FROM labels) - validated AS trained, validated FROM range(100, 401, 100) a(n_estimators), (VALUES (3), (5), (7)) b(max_depth), f""")
 def parameter_grid(spark, sf):
-    return spark.range(100, 401, 100).select(F.col("id").alias("n_estimators"), F.explode(F.array(F.lit(3), F.lit(5), F.lit(7))).alias("max_depth"))
+    """Each setting with each fold of the labelled rows, and the rows it trains and validates on."""
+    labels = table(spark, sf, "labels")
+    folds = labels.groupBy((F.col("doc_id") % 5).alias("fold")).agg(F.count("*").alias("validated"))
+    every = one_row(folds, labels.agg(F.count("*").alias("_n")))
+    settings = F.array(*[F.struct(F.lit(n).cast("long").alias("n_estimators"), F.lit(d).alias("max_depth")) for n in range(100, 401, 100) for d in (3, 5, 7)])
+    return every.select("*", F.inline(settings)).select("n_estimators", "max_depth", "fold", (F.col("_n") - F.col("validated")).alias("trained"), "validated")
 
 
 @query("training_history", "SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 500)::INT AS step, round(exp(value / 100), 6) AS perplexity FROM events WHERE event_type = 'view'")

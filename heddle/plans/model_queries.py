@@ -94,10 +94,17 @@ def cell_dataset_bundle(spark, sf):
     return got.counts.join(got.obs.select("cell_id", "y"), "cell_id").select("cell_id", "gene_id", "value", "y")
 
 
-@query("compressed_columns", "SELECT col::INT AS col, row::BIGINT AS row, value FROM (VALUES (0, 1, 5.0::DOUBLE), (0, 3, 7.0), (2, 0, 1.0)) t(col, row, value)")
+#: Cells of a compressed block.
+COLUMNS = 64
+
+
+@query("compressed_columns", A.sql(f"SELECT cell_id // {COLUMNS} AS block, (cell_id % {COLUMNS})::INT AS col, gene_id AS row, value FROM counts", "counts"))
 def compressed_columns(spark, sf):
-    triple = spark.createDataFrame([([5.0, 7.0, 1.0], [1, 3, 0], [0, 2, 2, 3])], "data array<double>, indices array<long>, indptr array<long>")
-    return readers.expand_columns(triple)
+    """Counts packed as compressed columns, a triple for each block of cells, and expanded again."""
+    entry = F.struct((F.col("cell_id") % COLUMNS).cast("int").alias("col"), F.col("gene_id").alias("row"), "value")
+    packed = A.counts(spark, sf).groupBy(F.expr(f"cell_id div {COLUMNS}").alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    ends = F.transform(F.sequence(F.lit(0), F.lit(COLUMNS)), lambda c: F.size(F.filter("e", lambda x: x["col"] < c)).cast("long"))
+    return readers.expand_columns(packed.select("block", F.col("e.value").alias("data"), F.col("e.row").alias("indices"), ends.alias("indptr")))
 
 
 SPEC = [
@@ -106,19 +113,24 @@ SPEC = [
 ]
 
 
+def customers(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+
+
 @query("synthetic_mechanisms")
 def synthetic_mechanisms(spark, sf):
-    return generators.mechanisms(spark, 200, 50, SPEC)
+    """A drawn sample for each customer."""
+    return generators.mechanisms(spark, customers(spark, sf), 50, SPEC)
 
 
 @query("synthetic_families")
 def synthetic_families(spark, sf):
-    return generators.redundant_families(spark, 300)
+    return generators.redundant_families(spark, customers(spark, sf))
 
 
 @query("synthetic_classes")
 def synthetic_classes(spark, sf):
-    return generators.classification_set(spark, 240, 40)
+    return generators.classification_set(spark, customers(spark, sf), 40)
 
 
 def vector_rows(spark, sf):

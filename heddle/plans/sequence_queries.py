@@ -130,12 +130,20 @@ def step_kmers(spark, sf):
     return dna(spark, sf).where(F.char_length("seq") + 1 > 6).select("conv_id", "turn", F.array_join(T.steps(F.col("seq"), 6), " ").alias("kmers"))
 
 
-@query("kmer_vocabulary", "SELECT a.c || b.c || d.c || e.c AS kmer FROM (VALUES ('A'), ('C'), ('G'), ('T')) a(c), (VALUES ('A'), ('C'), ('G'), ('T')) b(c), (VALUES ('A'), ('C'), ('G'), ('T')) d(c), (VALUES ('A'), ('C'), ('G'), ('T')) e(c)")
+_LETTERS, _BASES = "abcdefghijklmnopqrstuvwxyz ", "ACGTACGTACGTACGTACGTACGTACG"
+
+
+@query("kmer_vocabulary", f"""WITH s AS (SELECT translate(lower(p_name), '{_LETTERS}', '{_BASES}') AS s FROM part),
+  w AS (SELECT substr(s, i, 4) AS kmer FROM (SELECT s, unnest(range(1, length(s) - 2)) AS i FROM s)), n AS (SELECT kmer, count(*) AS n FROM w GROUP BY 1), b(c) AS (VALUES ('A'), ('C'), ('G'), ('T'))
+  SELECT a.c || b.c || d.c || e.c AS kmer, coalesce(n, 0) AS n FROM b a, b, b d, b e LEFT JOIN n ON n.kmer = a.c || b.c || d.c || e.c""")
 def kmer_vocabulary(spark, sf):
+    """All k-mers of four bases, and how often the table's sequences (part names in bases) have each."""
     v = spark.createDataFrame([("",)], "kmer string")
     for _ in range(4):
         v = v.select(F.explode(F.array(*[F.concat("kmer", F.lit(c)) for c in "ACGT"])).alias("kmer"))
-    return v
+    s = table(spark, sf, "part").select(F.translate(F.lower("p_name"), _LETTERS, _BASES).alias("s")).where(F.char_length("s") >= 4)
+    found = s.select(F.explode(F.transform(F.sequence(F.lit(1), F.char_length("s") - 3), lambda i: F.substring(F.col("s"), i, F.lit(4)))).alias("kmer"))
+    return v.join(found.groupBy("kmer").agg(F.count("*").alias("n")), "kmer", "left").select("kmer", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("next_kmer_target", f"WITH {TOK} SELECT doc, array_to_string(list(token ORDER BY index)[1:5], ' ') AS x, substr(array_to_string(list(token ORDER BY index)[6:], ''), 1, 3) AS y FROM tok GROUP BY doc")

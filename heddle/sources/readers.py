@@ -34,11 +34,14 @@ def matrix_market(spark: SparkSession, matrix: str, features: str, barcodes: str
     return entries.join(genes, "g").join(cells, "c").select("cell_id", "gene_id", "value")
 
 
-def expand_columns(triple: DataFrame) -> DataFrame:
-    """col, row, value of a compressed-column triple (data, indices, indptr as arrays)."""
-    spans = triple.select("data", "indices", F.posexplode(F.arrays_zip(F.slice("indptr", F.lit(1), F.size("indptr") - 1).alias("a"), F.slice("indptr", F.lit(2), F.size("indptr") - 1).alias("b"))).alias("col", "s"))
-    cells = spans.where("s.a < s.b").select("col", "data", "indices", F.explode(F.sequence(F.col("s.a"), F.col("s.b") - 1)).alias("i"))
-    return cells.select("col", F.get("indices", F.col("i").cast("int")).alias("row"), F.get("data", F.col("i").cast("int")).alias("value"))
+def expand_columns(triples: DataFrame) -> DataFrame:
+    """col, row, value of compressed-column triples (data, indices, indptr as arrays), after the columns
+    that say which triple is meant."""
+    keys = [c for c in triples.columns if c not in ("data", "indices", "indptr")]
+    spans = triples.select(*keys, "data", "indices", F.posexplode(F.arrays_zip(F.slice("indptr", F.lit(1), F.size("indptr") - 1).alias("a"), F.slice("indptr", F.lit(2), F.size("indptr") - 1).alias("b"))).alias("col", "s"))
+    part = lambda c: F.slice(c, (F.col("s.a") + 1).cast("int"), (F.col("s.b") - F.col("s.a")).cast("int"))
+    cells = spans.where("s.a < s.b").select(*keys, "col", F.explode(F.arrays_zip(part("indices").alias("row"), part("data").alias("value"))).alias("e"))
+    return cells.select(*keys, "col", "e.row", "e.value")
 
 
 def hdf5_counts(spark: SparkSession, path: str, group: str = "matrix") -> DataFrame:
@@ -62,12 +65,20 @@ def fragments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """name, sequence of each record."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    """name, sequence of each record. Records begin with ``>`` at the start of a line; one within a
+    header line is part of it."""
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("value")).where(F.trim("value") != "")
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     return records.select(F.split_part(head, F.lit(" "), F.lit(1)).alias("name"), F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "").alias("sequence"))
 
 
+def sequence_pieces(records: DataFrame, size: int = 1 << 20) -> DataFrame:
+    """name, start (0-based), piece: sequences cut into pieces of ``size``, so that what follows can deal
+    out a chromosome; an empty sequence is one empty piece."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.char_length("sequence") - 1), F.lit(size))
+    return records.select("name", "sequence", F.explode(starts).alias("start")).select("name", F.col("start").cast("long").alias("start"), F.substring("sequence", F.col("start") + 1, F.lit(size)).alias("piece"))
+
+
 def token_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.split("value", " ").alias("tokens"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -17,6 +18,8 @@ REPO_DIR = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 #: Folders of local sessions without the setting, one a process; and the scopes that are open.
 _OWN: list[str] = []
 _SCOPES: list[str] = []
+#: Applications whose executors have this package.
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -78,11 +81,21 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is not installed."""
-    env = spark.sparkContext.environment
-    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if REPO_DIR not in parts:
-        env["PYTHONPATH"] = os.pathsep.join([REPO_DIR, *parts])
+    """Let Python workers import this package where it is not installed: once an application, a zip
+    of its modules goes to every executor, as files of ``addPyFile`` do."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.join(REPO_DIR, "heddle")
+    name = os.path.join(tempfile.mkdtemp(prefix="heddle-"), "heddle_package.zip")
+    with zipfile.ZipFile(name, "w") as packed:
+        for folder, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    packed.write(path, os.path.relpath(path, REPO_DIR))
+    context.addPyFile(name)
+    _SHIPPED.add(context.applicationId)
 
 
 def bind(value: Column, body) -> Column:
