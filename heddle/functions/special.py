@@ -94,3 +94,23 @@ def t_two_sided(t: Column, df: Column) -> Column:
         return F.when(t.isNull() | df.isNull(), None).when(df > 1e6, normal_two_sided(z)).otherwise(exact)
 
     return bind(F.struct(t.alias("t"), df.alias("df")), lambda v: tail(v["t"], v["df"]))
+
+
+def real_digamma(x: Column) -> Column:
+    """Digamma of x > 0: its expansion eight places on, less the terms skipped."""
+    y = x + 8
+    skipped = 1 / x
+    for k in range(1, 8):
+        skipped = skipped + 1 / (x + k)
+    z = y * y
+    return F.log(y) - 1 / (2 * y) - (1 / 12.0 - (1 / 120.0 - (1 / 252.0 - (1 / 240.0 - 1 / 132.0 / z) / z) / z) / z) / z - skipped
+
+
+def real_trigamma(x: Column) -> Column:
+    """The derivative of digamma at x > 0, likewise."""
+    y = x + 8
+    skipped = 1 / (x * x)
+    for k in range(1, 8):
+        skipped = skipped + 1 / ((x + k) * (x + k))
+    z = y * y
+    return 1 / y + 1 / (2 * z) + (1 / 6.0 - (1 / 30.0 - (1 / 42.0 - 1 / 30.0 / z) / z) / z) / (z * y) + skipped

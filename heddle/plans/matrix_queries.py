@@ -412,6 +412,24 @@ def nb_moments(spark, sf):
     return s.select("gene_id", R(F.try_divide(m, v)).alias("p"), F.when(v > m, F.round(m * m / (v - m), 5)).alias("r"))
 
 
+@query("nb_likelihood", A.sql(f"""WITH {STATS}, sz AS (SELECT count(DISTINCT sample_id)::DOUBLE AS n FROM expr), top AS (SELECT gene_id, max(value)::INT AS top FROM expr GROUP BY 1),
+  tail AS (SELECT t.gene_id, j, count(*) AS m FROM (SELECT gene_id, unnest(range(0, top)) AS j FROM top) t JOIN expr e ON e.gene_id = t.gene_id AND e.value > j GROUP BY 1, 2),
+  b(gene_id, step, low, high) AS (SELECT gene_id, 0, -15.0::DOUBLE, 15.0::DOUBLE FROM stats WHERE var_pop > mean UNION ALL
+    SELECT gene_id, step + 1, CASE WHEN rises THEN x ELSE low END, CASE WHEN rises THEN high ELSE x END FROM (
+      SELECT b.gene_id, step, low, high, (low + high) / 2 AS x, sum(m / (exp((low + high) / 2) + j)) + any_value(sz.n) * ln(exp((low + high) / 2) / (exp((low + high) / 2) + any_value(mean))) > 0 AS rises
+      FROM b JOIN tail USING (gene_id) JOIN stats USING (gene_id), sz WHERE step < 50 GROUP BY b.gene_id, step, low, high)),
+  r AS (SELECT gene_id, (low + high) / 2 AS x FROM b WHERE step = 50)
+  SELECT gene_id, round(x, 6) AS log_r, round(exp(x) / (exp(x) + mean), 6) AS p FROM stats LEFT JOIN r USING (gene_id)""", "expr").replace("WITH ", "WITH RECURSIVE ", 1))
+def nb_likelihood(spark, sf):
+    """The likeliest negative binomial of each gene; the SQL bisects what Newton steps solve."""
+    from heddle.operators.dispersion import likeliest_dispersion
+
+    e = A.expr(spark, sf)
+    stats = M.one_row(M.gene_stats(e, "gene_id", n_samples(spark, sf)), n_samples(spark, sf).withColumnRenamed("rows", "samples"))
+    got = likeliest_dispersion(e, stats.select("gene_id", F.col("samples").cast("double").alias("n"), "mean", "var_pop"))
+    return got.select("gene_id", R(F.log("r")).alias("log_r"), R("p").alias("p"))
+
+
 @query("scale_not_center", A.sql("""WITH n AS (SELECT count(DISTINCT sample_id) AS rows FROM expr), s AS (SELECT gene_id, sqrt(sum(value * value) / (any_value(rows) - 1)) AS rms FROM expr, n GROUP BY 1)
   SELECT sample_id, gene_id, round(value / rms, 6) AS value FROM expr JOIN s USING (gene_id)""", "expr"))
 def scale_not_center(spark, sf):
