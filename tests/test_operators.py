@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from heddle.functions import text as T
+from heddle.functions.special import t_two_sided
 from heddle.operators import clusters, genomics, graph, metrics, ml, order, sweeps
 from heddle.streaming import weekly
 
@@ -279,7 +280,7 @@ def test_characterisation(spark):
     got = {(r.component, r.feature): (r.effect, r.n_rows) for r in metrics.characterise(matrix(spark, x), active).collect()}
     assert got[0, 1] == (pytest.approx(x[:20, 1].mean() - x[20:, 1].mean()), 20) and all(c == 0 for c, _ in got)
     for df, want in ((4, 2.776445), (10, 2.228139), (60, 2.000298)):
-        assert value(spark, metrics.critical_t(F.col("n")), n=df) == pytest.approx(want, abs=1e-3)
+        assert value(spark, t_two_sided(F.col("t"), F.col("n")), t=want, n=float(df)) == pytest.approx(0.05, abs=1e-7)
 
 
 def test_small_readers(spark, tmp_path):
