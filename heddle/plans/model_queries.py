@@ -171,6 +171,20 @@ def classifier_scores(spark, sf):
     return spark.createDataFrame(out, "model string, accuracy double")
 
 
+@query("kernel_classifier_scores")
+def kernel_classifier_scores(spark, sf):
+    """Held-out scores over all classes of the radial machine; tests hold it against the exact kernel."""
+    from heddle.operators import metrics
+    from heddle.operators.kernel_machine import kernel_classifier
+    from heddle.operators.splits import unit_hash
+
+    rows = vectors(spark, sf).withColumn("h", unit_hash(F.col("id"), 1))
+    test = rows.where("h >= 0.8")
+    found = kernel_classifier(rows.where("h < 0.8"), test).join(test.select("id", "label"), "id")
+    per = metrics.per_class(metrics.confusion(found, "label", "prediction"))
+    return per.select("label", R("precision").alias("precision"), R("recall").alias("recall"), R("f1").alias("f1"))
+
+
 @query("word_vectors")
 def word_vectors(spark, sf):
     from heddle.functions.text import tokens

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heddle.functions import special
-from heddle.operators import communities, graph, information, layout, mutual, neighbours, spectral
+from heddle.operators import communities, graph, information, kernel_machine, layout, mutual, neighbours, spectral
 
 EDGES = "src long, dst long, weight double"
 
@@ -194,3 +194,20 @@ def test_recall_of_the_index_at_its_defaults(spark):
         d[i] = np.inf
         hits += sum((i, j) in found for j in np.argpartition(d, 5)[:5])
     assert hits / (5 * len(ask)) >= 0.9
+
+
+def test_kernel_machine(spark):
+    """Three rings, which no plane parts: the map is the kernel on its landmarks, and few landmarks agree
+    with the exact machine of all rows."""
+    rng = np.random.default_rng(12)
+    label = np.arange(240) % 3
+    angle = rng.uniform(0, 2 * np.pi, 240)
+    x = (1 + 2 * label)[:, None] * np.stack([np.cos(angle), np.sin(angle)], 1) + rng.normal(size=(240, 2)) * 0.2
+    rows = spark.createDataFrame([(i, x[i].tolist(), int(label[i])) for i in range(240)], "id long, vector array<double>, label int")
+    lift = kernel_machine.kernel_map(rows, 240, 0.3)
+    assert lift(x) @ lift(x).T == pytest.approx(np.exp(-0.3 * ((x[:, None] - x[None]) ** 2).sum(2)), abs=1e-6)
+    train, test = rows.where("id < 180"), rows.where("id >= 180")
+    answer = lambda n: {r.id: r.prediction for r in kernel_machine.kernel_classifier(train, test, landmarks=n, gamma=0.3).collect()}
+    exact, few = answer(180), answer(40)
+    assert np.mean([exact[i] == label[i] for i in exact]) > 0.95 and np.mean([exact[i] == few[i] for i in exact]) > 0.95
+    assert {r.prediction for r in kernel_machine.kernel_classifier(train.where("id < 0"), test).collect()} == {None}
