@@ -114,3 +114,19 @@ def real_trigamma(x: Column) -> Column:
         skipped = skipped + 1 / ((x + k) * (x + k))
     z = y * y
     return 1 / y + 1 / (2 * z) + (1 / 6.0 - (1 / 30.0 - (1 / 42.0 - 1 / 30.0 / z) / z) / z) / (z * y) + skipped
+
+
+def hypergeometric_tail(hits: Column, drawn: Column, marked: Column, every: Column) -> Column:
+    """The probability of ``hits`` marked rows or more among ``drawn`` of ``every``, of which ``marked`` are.
+    A sum of as many terms as there are numbers of hits at or above."""
+    choose = lambda n, k: log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0)
+
+    def tail(v: Column) -> Column:
+        most, least = F.least(v["n"], v["m"]), F.greatest(v["k"], v["n"] + v["m"] - v["a"], F.lit(0.0))
+        term = lambda i: F.exp(choose(v["m"], i) + choose(v["a"] - v["m"], v["n"] - i) - choose(v["a"], v["n"]))
+        steps = F.sequence(least.cast("long"), F.greatest(least, most).cast("long"))
+        total = F.aggregate(steps, F.lit(0.0), lambda s, i: s + term(i.cast("double")))
+        return F.when(v["k"] > most, 0.0).otherwise(F.least(F.lit(1.0), total))
+
+    values = [c.cast("double").alias(n) for n, c in zip("knma", (hits, drawn, marked, every), strict=True)]
+    return bind(F.struct(*values), tail)

@@ -218,25 +218,34 @@ def correct_batches(rows: DataFrame, batches: int, clusters: int = 5, rounds: in
     return mapped(rows, lambda x, frame: moved(x, frame["batch"].to_numpy(), moves), "vector")
 
 
-def doublet_scores(rows: DataFrame, k: int = 10) -> DataFrame:
-    """id, score of rows (id, vector) of counts: share of simulated sums of two cells among each
-    cell's nearest neighbours. Cell number i is added to the cell a fixed pseudorandom step on."""
-    from heddle.operators.graph import nearest
+def with_sums(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(cells: id, at; logarithms of cells and of as many sums of two, by id; number of cells) of counts
+    (id, vector). A cell's id is its place, its sum's that and the number of cells. Cell number i is
+    added to the cell a fixed pseudorandom step on."""
     from heddle.operators.order import with_position
 
     placed = materialise(with_position(rows.select("id", "vector"), "id", "at"), "cells")
     n = placed.count()
-    if not n:
-        return rows.sparkSession.createDataFrame([], "id long, score double")
     other = placed.select(F.col("at").alias("_at"), F.col("vector").alias("_v"))
     step = 1 + F.pmod(F.xxhash64("at"), F.lit(max(1, n - 1)))
-    pairs = placed.withColumn("_at", F.pmod(F.col("at") - 1 + step, F.lit(n)) + 1).join(other, "_at")
+    pairs = placed.withColumn("_at", F.pmod(F.col("at") - 1 + step, F.lit(max(1, n))) + 1).join(other, "_at")
     log = lambda v: F.transform(v, lambda x: F.log1p(F.greatest(F.lit(0.0), x.cast("double"))))
     cells = placed.select(F.col("at").alias("id"), log("vector").alias("vector"), F.lit("cell").alias("kind"))
     sums = pairs.select((F.col("at") + n).alias("id"), log(F.zip_with("vector", "_v", lambda a, b: a + b)).alias("vector"), F.lit("sum").alias("kind"))
-    near = nearest(materialise(cells.unionByName(sums), "every"), k, "euclidean").where(F.col("src") <= n)
+    return placed.select("id", "at"), materialise(cells.unionByName(sums), "every"), n
+
+
+def doublet_scores(rows: DataFrame, k: int = 10) -> DataFrame:
+    """id, score of rows (id, vector) of counts: share of simulated sums of two cells among each
+    cell's nearest neighbours."""
+    from heddle.operators.graph import nearest
+
+    cells, every, n = with_sums(rows)
+    if not n:
+        return rows.sparkSession.createDataFrame([], "id long, score double")
+    near = nearest(every, k, "euclidean").where(F.col("src") <= n)
     share = near.groupBy("src").agg(F.avg((F.col("dst") > n).cast("double")).alias("score"))
-    return placed.select("id", F.col("at").alias("src")).join(share, "src", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return cells.select("id", F.col("at").alias("src")).join(share, "src", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def grouped_ridge(x: np.ndarray, y: np.ndarray, n: np.ndarray, alpha: float, gamma: float):

@@ -405,3 +405,14 @@ def neighbour_widths(spark, sf):
     from heddle.operators.layout import widths
 
     return widths(knn(spark, sf, AROUND, "euclidean"), AROUND, HALVINGS).select("src", F.round("rho", 5).alias("rho"), F.round("sigma", 5).alias("sigma"))
+
+
+@query("label_enrichment", """WITH t AS (SELECT count(*)::DOUBLE AS a, count(*) FILTER (WHERE vec_id % 4 = 0)::DOUBLE AS m FROM embeddings), g AS (SELECT label, count(*)::DOUBLE AS n, count(*) FILTER (WHERE vec_id % 4 = 0)::DOUBLE AS k FROM embeddings GROUP BY 1),
+  i AS (SELECT label, n, m, a, unnest(range(k::BIGINT, least(n, m)::BIGINT + 1))::DOUBLE AS i FROM g, t)
+  SELECT label, round(sum(exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) + lgamma(a - m + 1) - lgamma(n - i + 1) - lgamma(a - m - n + i + 1) - lgamma(a + 1) + lgamma(n + 1) + lgamma(a - n + 1))), 7) AS p FROM i WHERE a - m - n + i >= 0 GROUP BY label""")
+def label_enrichment(spark, sf):
+    """How surely each label has more of every fourth row than its share: hypergeometric tails."""
+    from heddle.operators.doublets import enrichment
+
+    rows = vectors(spark, sf).select(F.col("label").alias("community"), (F.col("id") % 4 == 0).alias("marked"))
+    return enrichment(rows).select(F.col("community").alias("label"), F.round("p", 7).alias("p"))

@@ -245,6 +245,14 @@ def doublet_scores(spark, sf):
     return ml.doublet_scores(vectors(spark, sf).select("id", F.transform("vector", lambda x: 10 * F.abs(x)).alias("vector")))
 
 
+@query("doublet_calls")
+def doublet_calls(spark, sf):
+    """Rows only: scores and calls above the valley of the simulated sums' scores; tests plant doublets."""
+    from heddle.operators.doublets import doublet_calls as calls
+
+    return calls(vectors(spark, sf).select("id", F.transform("vector", lambda x: 10 * F.abs(x)).alias("vector")))
+
+
 #: Rows of a smoothing window; the weights of all its cuts are in the SQL.
 WINDOW = 11
 _STENCIL = ", ".join(f"({b}, {a}, {o}, {x!r}::DOUBLE)" for b, a, o, x in ml.stencil(WINDOW))

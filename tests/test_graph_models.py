@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heddle.functions import special
-from heddle.operators import communities, graph, information, kernel_machine, layout, mutual, neighbours, spectral
+from heddle.operators import communities, doublets, graph, information, kernel_machine, layout, mutual, neighbours, spectral
 
 EDGES = "src long, dst long, weight double"
 
@@ -211,3 +211,26 @@ def test_kernel_machine(spark):
     exact, few = answer(180), answer(40)
     assert np.mean([exact[i] == label[i] for i in exact]) > 0.95 and np.mean([exact[i] == few[i] for i in exact]) > 0.95
     assert {r.prediction for r in kernel_machine.kernel_classifier(train.where("id < 0"), test).collect()} == {None}
+
+
+def test_enrichment_tails(spark):
+    for k, n, m, a in ((3, 10, 12, 50), (0, 5, 4, 9), (5, 5, 7, 9), (6, 5, 7, 9), (2, 4, 8, 9)):
+        want = sum(math.comb(m, i) * math.comb(a - m, n - i) for i in range(k, min(n, m) + 1)) / math.comb(a, n)
+        assert one(spark, special.hypergeometric_tail(*map(F.lit, (k, n, m, a)))) == pytest.approx(want, abs=1e-10)
+
+
+def test_valley():
+    assert doublets.valley([9, 12, 7, 3, 1, 2, 6, 8, 4]) == 4
+    assert doublets.valley([9, 7, 5, 3, 1]) is None and doublets.valley([]) is None
+
+
+def test_planted_doublets(spark):
+    """Six sums of unlike cells among 90 cells of two kinds: by threshold and by enrichment."""
+    rng = np.random.default_rng(8)
+    x = rng.poisson(np.where(np.arange(90)[:, None] % 2 == np.arange(10) % 2, 20, 1))
+    x[:6] = x[10:16] + x[11:17]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.astype(float).tolist())], "id long, vector array<double>")
+    called = {r.id: r.doublet for r in doublets.doublet_calls(rows).collect()}
+    found = {r.id: r.doublet for r in doublets.enriched_doublets(rows).collect()}
+    for got in (called, found):
+        assert len(got) == 90 and sum(got[i] for i in range(6)) >= 5 and sum(got[i] for i in range(6, 90)) <= 9
