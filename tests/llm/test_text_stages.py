@@ -19,7 +19,7 @@ def sql(name, docs=None):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     if docs is not None:
         frame = docs.toPandas()
