@@ -275,6 +275,27 @@ def grid_search_forest(spark, sf):
     return spark.createDataFrame([(m["numTrees"], m["maxDepth"], x) for m, x in tried], "trees int, depth int, auc double")
 
 
+@query("classifier_on_mcc")
+def classifier_on_mcc(spark, sf):
+    """Rows only: forests and boosted trees over all classes, chosen on MCC of validation rows, with MCC of
+    test rows; tests hold the trees against brute force."""
+    from heddle.operators import trees
+    from heddle.operators.splits import unit_hash
+
+    def forest(n, depth):
+        def model(train, rows):
+            fitted = ml.classifier("RF", numTrees=n, maxDepth=depth).fit(ml.features(train, "vector"))
+            return fitted.transform(ml.features(rows, "vector")).select("id", F.col("prediction").cast("int").alias("prediction"))
+
+        return model
+
+    boosted = lambda train, rows: trees.predict_boosted(trees.fit_boosted(train, rounds=4, depth=2, bins=16), rows)
+    models = {f"forest_{n}_{d}": forest(n, d) for n, d in ((10, 3), (20, 5))} | {"boosted": boosted}
+    rows = vectors(spark, sf).where("label IS NOT NULL").withColumn("h", unit_hash(F.col("id"), 1))
+    found = trees.chosen_on_mcc(models, rows.where("h < 0.6"), rows.where("h >= 0.6 AND h < 0.8"), rows.where("h >= 0.8"))
+    return spark.createDataFrame(found, "model string, validation_mcc double, test_mcc double, chosen boolean")
+
+
 @query("shuffled_chunks")
 def shuffled_chunks(spark, sf):
     from heddle.operators.sequences import shuffled_chunks as shuffle
