@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.operators.order import with_position
 from heddle.schemas import FRAGMENTS, INTERVALS
+from heddle.sources.partitioned import archive_lines, array_entries
 
 
 def sidecar(spark: SparkSession, path: str, column: int, name: str) -> DataFrame:
@@ -100,17 +101,19 @@ def pivot_samples(rows: DataFrame, probe: str, sample: str, value: str, samples:
     return rows.groupBy(probe).pivot(sample, samples).agg(F.first(value))
 
 
-
-
 def numpy_matrix(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
     """sample_id, gene_id, value of the non-zero entries of a dense array file (npy, or one array of
-    an npz). The driver opens the file."""
-    import numpy as np
+    an npz), read by ranges."""
+    return array_entries(spark, path, name).select(F.col("row").alias("sample_id"), F.col("col").alias("gene_id"), "value")
+
 
-    loaded = np.load(path)
-    x = loaded[name] if name else loaded
-    i, j = np.nonzero(x)
-    return spark.createDataFrame([(int(a), int(b), float(x[a, b])) for a, b in zip(i, j, strict=True)], "sample_id long, gene_id long, value double")
+def archived_fragments(spark: SparkSession, path: str) -> DataFrame:
+    """The fragments of all members of an archive, with their member; comments begin with #. What is missing or
+    isn't a number where one belongs is null."""
+    rows = archive_lines(spark, path).where(~F.col("line").startswith("#") & (F.trim("line") != ""))
+    part = F.split("line", "\t")
+    columns = [F.get(part, F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(FRAGMENTS)]
+    return rows.select("member", *columns)
 
 
 def hdf5_structure(path: str) -> list[tuple[int, str, str]]:
