@@ -94,6 +94,29 @@ def cell_dataset_bundle(spark, sf):
     return got.counts.join(got.obs.select("cell_id", "y"), "cell_id").select("cell_id", "gene_id", "value", "y")
 
 
+@query("array_file_scan", "SELECT * FROM (SELECT vec_id, unnest(range(len(embedding))) AS col, unnest(embedding)::DOUBLE AS value FROM embeddings WHERE embedding IS NOT NULL) WHERE value <> 0")
+def array_file_scan(spark, sf):
+    """Embeddings written as NPY files, one a partition, and read back by ranges of them."""
+    from heddle.sources.partitioned import array_entries
+
+    at = scratch_path(spark, "arrays")
+    sinks.write_numpy(vectors(spark, sf).where("vector IS NOT NULL"), at)
+    cells = array_entries(spark, at)
+    ids = cells.where("col = 0").select("array", "row", F.col("value").cast("long").alias("vec_id"))
+    # The entry of id 0 is a zero, which isn't stored.
+    return cells.where("col > 0").join(ids, ["array", "row"], "left").select(F.coalesce("vec_id", F.lit(0).cast("long")).alias("vec_id"), (F.col("col") - 1).alias("col"), "value")
+
+
+@query("archive_scan", A.sql("SELECT chrom, start, \"end\", 'cell' || motif_id AS barcode, (motif_id % 7)::INT AS count FROM motifs", "motifs"))
+def archive_scan(spark, sf):
+    """Fragments written as archives of compressed members, and read back."""
+    at = scratch_path(spark, "archives")
+    a = A.intervals(spark, sf)[0]
+    fields = ["chrom", "start", "end", F.concat(F.lit("cell"), F.col("motif_id").cast("string")), F.col("motif_id") % 7]
+    sinks.write_archives(a.select(F.concat_ws("\t", *fields).alias("line")), at)
+    return readers.archived_fragments(spark, at).drop("member")
+
+
 #: Cells of a compressed block.
 COLUMNS = 64
 

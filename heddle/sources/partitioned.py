@@ -31,17 +31,31 @@ ENTRIES = "array string, row long, col long, value double"
 LINES = "member string, at long, line string"
 
 
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+
+
 def opened(path: str) -> pa.NativeFile:
-    system, name = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+    system, name = located(path)
     return system.open_input_file(name)
 
 
+def files(path: str, endings: tuple) -> list[str]:
+    """The file, or those of a folder that have one of the ``endings``, by name."""
+    system, name = located(path)
+    if system.get_file_info(name).type != fs.FileType.Directory:
+        return [path]
+    inside = system.get_file_info(fs.FileSelector(name))
+    return sorted(f"{path.rstrip('/')}/{i.base_name}" for i in inside if i.is_file and i.base_name.endswith(endings))
+
+
 @dataclass
 class Piece(InputPartition):
     """Elements ``start`` to ``end`` of an array whose elements lie from ``offset`` on, column by column if
     ``turned``; or, with a ``packed`` kind, the whole array, from a stream."""
 
     name: str
+    file: str = ""
     dtype: str = ""
     shape: tuple = ()
     turned: bool = False
@@ -71,7 +85,7 @@ def ranges(piece: Piece, size: int) -> list[Piece]:
     """The array of ``piece`` cut into ranges of at most ``size`` bytes."""
     rows, cols = plane(piece.name, piece.shape)
     step = max(1, size // np.dtype(piece.dtype).itemsize)
-    return [Piece(piece.name, piece.dtype, piece.shape, piece.turned, piece.offset, a, min(a + step, rows * cols)) for a in range(0, rows * cols, step)]
+    return [Piece(piece.name, piece.file, piece.dtype, piece.shape, piece.turned, piece.offset, a, min(a + step, rows * cols)) for a in range(0, rows * cols, step)]
 
 
 def entries(piece: Piece, read) -> Iterator[pa.RecordBatch]:
@@ -161,7 +175,7 @@ def mat_order(f) -> str:
     return "<" if f.read(2) == b"IM" else ">"
 
 
-def mat_pieces(f, size: int) -> Iterator[Piece]:
+def mat_pieces(f, file: str, size: int) -> Iterator[Piece]:
     """Full real arrays; others (sparse, text, cells) are passed over unless asked for by name."""
     order, at, total = mat_order(f), 128, f.size()
     while at < total:
@@ -170,13 +184,13 @@ def mat_pieces(f, size: int) -> Iterator[Piece]:
         after = at + 8 + length
         if kind == MAT_COMPRESSED:
             name, shape, c, dtype, _ = mat_header(_skip_tag(Inflated(f, length).read), order)
-            yield Piece(name, dtype, shape, True, at, packed="mat" if c >= 0 else "other")
+            yield Piece(name, file, dtype, shape, True, at, packed="mat" if c >= 0 else "other")
         elif kind == MAT_MATRIX:
             name, shape, c, dtype, data = mat_header(f.read, order)
             if c < 0:
                 yield Piece(name, packed="other")
             else:
-                yield from ranges(Piece(name, dtype, shape, True, f.tell() - (4 if data is not None else 0)), size)
+                yield from ranges(Piece(name, file, dtype, shape, True, f.tell() - (4 if data is not None else 0)), size)
         at = after
 
 
@@ -190,15 +204,14 @@ class ArrayReader(DataSourceReader):
         self.path, self.wanted = options["path"], options.get("array")
         self.size = int(options.get("pieceBytes", PIECE_BYTES))
 
-    def planned(self) -> Iterator[Piece]:
-        with opened(self.path) as f:
-            if self.path.endswith(".mat"):
-                yield from mat_pieces(f, self.size)
-            elif self.path.endswith(".npz"):
+    def planned(self, file: str) -> Iterator[Piece]:
+        with opened(file) as f:
+            if file.endswith(".mat"):
+                yield from mat_pieces(f, file, self.size)
+            elif file.endswith(".npz"):
                 with zipfile.ZipFile(f) as z:
-                    members = z.infolist()
                     headers = []
-                    for m in members:
+                    for m in z.infolist():
                         with z.open(m) as inside:
                             name = m.filename.removesuffix(".npy")
                             if self.wanted in (None, name):
@@ -207,21 +220,23 @@ class ArrayReader(DataSourceReader):
                     if m.compress_type == zipfile.ZIP_STORED:
                         f.seek(m.header_offset + 26)
                         lengths = struct.unpack("<HH", f.read(4))
-                        yield from ranges(Piece(name, dtype, shape, turned, m.header_offset + 30 + sum(lengths) + head), self.size)
+                        yield from ranges(Piece(name, file, dtype, shape, turned, m.header_offset + 30 + sum(lengths) + head), self.size)
                     else:
-                        yield Piece(name, dtype, shape, turned, packed=m.filename)
+                        yield Piece(name, file, dtype, shape, turned, packed=m.filename)
             else:
                 dtype, shape, turned = npy_header(f)
-                yield from ranges(Piece("", dtype, shape, turned, f.tell()), self.size)
+                yield from ranges(Piece(file.split("/")[-1].removesuffix(".npy"), file, dtype, shape, turned, f.tell()), self.size)
 
     def partitions(self) -> list[Piece]:
-        found = [p for p in self.planned() if self.path.endswith(".npy") or self.wanted in (None, p.name)]
+        found = [p for file in files(self.path, (".npy", ".npz", ".mat")) for p in self.planned(file) if self.wanted in (None, p.name)]
         if self.wanted is not None and any(p.packed == "other" for p in found):
             raise ValueError(f"{self.wanted} is not a full array of real numbers")
-        return [p for p in found if p.packed != "other"] or [Piece("", "<f8", (0,))]
+        return [p for p in found if p.packed != "other"] or [Piece("")]
 
     def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
-        with opened(self.path) as f:
+        if not piece.file:
+            return
+        with opened(piece.file) as f:
             rows, cols = plane(piece.name, piece.shape)
             if piece.packed == "mat":
                 order = mat_order(f)
@@ -241,7 +256,7 @@ class ArrayReader(DataSourceReader):
 
 
 class ArrayFile(DataSource):
-    """Options: path (npy, npz, mat), array (one by name), pieceBytes."""
+    """Options: path (npy, npz, mat, or a folder), array (one by name), pieceBytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -260,6 +275,7 @@ class Member(InputPartition):
     Without a name, the whole archive as a stream."""
 
     name: str
+    file: str = ""
     offset: int = 0
     size: int = 0
     start: int = 0
@@ -306,25 +322,28 @@ class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.size = options["path"], int(options.get("pieceBytes", PIECE_BYTES))
 
-    def partitions(self) -> list[Member]:
-        if not self.path.endswith(".tar"):
-            return [Member("")]
-        out = []
-        with opened(self.path) as f, tarfile.open(fileobj=f, mode="r:") as archive:
+    def planned(self, file: str) -> Iterator[Member]:
+        if not file.endswith(".tar"):
+            yield Member("", file)
+            return
+        with opened(file) as f, tarfile.open(fileobj=f, mode="r:") as archive:
             for m in archive:
                 if m.isreg():
                     step = m.size if m.name.endswith(".gz") else self.size
-                    out += [Member(m.name, m.offset_data, m.size, a, min(a + step, m.size)) for a in range(0, m.size, max(1, step))]
-        return out or [Member("", size=-1)]
+                    for a in range(0, m.size, max(1, step)):
+                        yield Member(m.name, file, m.offset_data, m.size, a, min(a + step, m.size))
+
+    def partitions(self) -> list[Member]:
+        return [m for file in files(self.path, (".tar", ".tar.gz", ".tgz")) for m in self.planned(file)] or [Member("")]
 
     def read(self, part: Member) -> Iterator[pa.RecordBatch]:
         yield from batches(self.found(part))
 
     def found(self, part: Member) -> Iterator[tuple[str, int, bytes]]:
-        if part.size < 0:
+        if not part.file:
             return
         far = 1 << 62
-        with opened(self.path) as f:
+        with opened(part.file) as f:
             if not part.name:
                 with tarfile.open(fileobj=f, mode="r|*") as archive:
                     for m in archive:
@@ -358,7 +377,7 @@ class Reading:
 
 
 class ArchiveLines(DataSource):
-    """Options: path (tar, or a compressed tar), pieceBytes."""
+    """Options: path (tar, a compressed tar, or a folder), pieceBytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -374,7 +393,7 @@ class ArchiveLines(DataSource):
 def array_entries(spark: SparkSession, path: str, array: str | None = None, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """array, row, col, value of the entries other than 0 of a file's arrays of up to two dimensions.
 
-    NPY files, stored members of NPZ files and plain arrays of MAT files (level 5) are read by ranges of
+    Of a folder, the arrays of all its files; an NPY file's array has the file's name. NPY files, stored members of NPZ files and plain arrays of MAT files (level 5) are read by ranges of
     ``piece_bytes``; compressed members and arrays by one task each, in pieces. A vector is one column.
     Values that are no numbers stay; empty arrays have no entries; text, cells, complex and sparse arrays of
     MAT files are passed over, and raise if asked for. Arrays of objects raise.
@@ -388,7 +407,7 @@ def array_entries(spark: SparkSession, path: str, array: str | None = None, piec
 def archive_lines(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """member, at (offset of the line in the unpacked member), line of all files of an archive.
 
-    Plain members of a plain archive are read by ranges of ``piece_bytes``, members with gzip by one task
+    Of a folder, those of all its archives. Plain members of a plain archive are read by ranges of ``piece_bytes``, members with gzip by one task
     each, and an archive that is compressed as a whole by one task. A line ends with a newline, with or
     without a carriage return; empty members have no lines.
     """
