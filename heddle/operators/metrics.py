@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions.special import t_two_sided
 from heddle.operators.matrix import one_row, ratio
+from heddle.workspace import materialise
 
 
 def confusion(p: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
@@ -90,25 +91,23 @@ def global_score(discovery: Column, assignment: Column, eff: Column) -> Column:
 
 
 def greedy_match(similar: DataFrame, least: float = 0.1) -> DataFrame:
-    """gt, disc, score: truths in order take the best unused discovery, if above ``least``.
+    """gt, disc, score: truths in ascending order each take the best discovery that is still free (ties: the
+    lesser one), if its score is above ``least``. ``similar``: gt, disc, score, a row a pair.
 
-    The choice of one truth depends on all before it. Pairs of two short lists of mechanisms (the
-    caller bounds them) are gathered for it.
+    In rounds: each truth asks for its best discovery that no lesser truth holds, and each discovery is held
+    by the least truth that asks. Holders only become less, and when none changes, no truth could have done
+    better: the matching in order. Rounds are as many as the longest chain of refusals, never one group.
     """
-
-    def match(pdf):
-        used, rows = set(), []
-        for gt, group in pdf.sort_values(["gt", "disc"]).groupby("gt", sort=True):
-            best = None
-            for d, s in zip(group["disc"], group["score"], strict=True):
-                if d not in used and (best is None or s > best[1]):
-                    best = (d, s)
-            if best and best[1] > least:
-                used.add(best[0])
-                rows.append((gt, *best))
-        return type(pdf)(rows, columns=["gt", "disc", "score"])
-
-    return similar.groupBy().applyInPandas(match, similar.select("gt", "disc", "score").schema)
+    pairs = materialise(similar.where(F.col("score") > least).select("gt", "disc", "score"), "pairs")
+    held = materialise(pairs.limit(0), "held")
+    while True:
+        free = pairs.join(held.select("disc", F.col("gt").alias("_holder")), "disc", "left").where("_holder IS NULL OR _holder >= gt")
+        asked = free.groupBy("gt").agg(F.min_by(F.struct("disc", "score"), F.struct(-F.col("score"), "disc")).alias("b")).select("gt", "b.*")
+        new = asked.groupBy("disc").agg(F.min(F.struct("gt", "score")).alias("b"))
+        new = materialise(new.select("b.gt", "disc", "b.score"), "held")
+        if new.join(held, ["gt", "disc"], "left_anti").isEmpty():
+            return new
+        held = new
 
 
 def characterise(rows: DataFrame, active: DataFrame, least_rows: int = 3, effect: float = 0.1) -> DataFrame:

@@ -317,3 +317,19 @@ def test_index_of_neighbours(spark):
     few = nearest_by_index(df, 5, queries=df.where("id % 50 = 0")).collect()
     assert {r.src for r in few} == set(range(0, 900, 50))
     assert nearest_by_index(df.where("id < 0"), 5).count() == 0
+
+
+def test_greedy_match_in_rounds(spark):
+    """Against truths taken one after another; scores tie, and all want the same."""
+    from heddle.operators.metrics import greedy_match
+
+    rng = np.random.default_rng(8)
+    for pairs in ([(g, d, float(rng.integers(0, 6)) / 5) for g in range(25) for d in range(20) if rng.random() < 0.5], [(g, d, 1 - d / 20) for g in range(8) for d in range(6)], []):
+        want, used = [], set()
+        for g in range(25):
+            free = sorted((-s, d) for g2, d, s in pairs if g2 == g and d not in used and s > 0.1)
+            if free:
+                used.add(free[0][1])
+                want.append((g, free[0][1], -free[0][0]))
+        got = greedy_match(spark.createDataFrame(pairs, "gt long, disc long, score double"))
+        assert sorted(tuple(r) for r in got.collect()) == want
