@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from heddle.functions import text as T
 from heddle.plans import adapters as A
 from heddle.plans.registry import query
-from heddle.workspace import table
+from heddle.workspace import materialise, table
 
 ID = ("conv_id", "turn")
 STOP = ["a", "and", "de", "die", "in", "la", "le", "of", "the", "to"]
@@ -193,6 +193,20 @@ def blood_pressure_kernel_impute(spark, sf):
     return full.select("patient_id", F.round(F.coalesce("high", "_high"), 4).alias("high"), F.round(F.coalesce("low", "_low"), 4).alias("low"), (F.col("high").isNull() != F.col("low").isNull()).alias("imputed"))
 
 
+@query("blood_pressure_ridge")
+def blood_pressure_ridge(spark, sf):
+    """Rows only: the missing side by kernel ridge on sex, age and the other side, one model a side, kernel
+    and parameters by tenfold cross-validation; a test holds the fits against dense ones."""
+    from heddle.operators.ridge import ridge_grid
+
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("patient_id"), (F.col("c_custkey") % 2).alias("male"), (F.col("c_nationkey") + 40).alias("age"))
+    r = materialise(readings(spark, sf).join(c, "patient_id"), "readings")
+    filled = [ridge_grid(r, ["male", "age", other], side, "patient_id", [1.0, 10.0], [0.01, 0.1])[1].withColumnRenamed("predicted", f"_{side}") for side, other in (("low", "high"), ("high", "low"))]
+    full = r.join(filled[0], "patient_id", "left").join(filled[1], "patient_id", "left")
+    sides = [F.round(F.coalesce(side, f"_{side}"), 4).alias(side) for side in ("high", "low")]
+    return full.select("patient_id", *sides, (F.col("high").isNull() != F.col("low").isNull()).alias("imputed"))
+
+
 def customer_fields():
     return {"balance": F.format_string("%.2f", "c_acctbal"), "nation": F.col("c_nationkey").cast("string"), "segment": F.lower("c_mktsegment")}
 
