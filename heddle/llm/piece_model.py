@@ -142,6 +142,10 @@ class PieceModel:
         return normalizers.Precompiled(self.charsmap) if self.charsmap else None
 
 
+#: A single space stays as it is, so it needn't be met.
+SPACES = re.compile(" {2,}")
+
+
 class Codec:
     """Encodes and decodes texts with the rebuilt model.
 
@@ -224,7 +228,7 @@ class Codec:
         if self.normalise_chars:
             text = self.normalise_chars.normalize_str(text)
         if self.model.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
+            text = SPACES.sub(" ", text).strip(" ")
         return text.replace(MARK, " ") if self.model.escape else text
 
     def _marked(self, text: str) -> str:
@@ -233,11 +237,13 @@ class Codec:
         text = (" " if self.model.dummy_prefix else "") + text
         return text.replace(" ", MARK) if self.model.escape else text
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def encode(self, texts: list[str], normal: list[str] | None = None) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; ``normal``: the texts, normalised,
+        where the caller has them."""
         out: list[bytes] = []
         for run in groups(texts):
-            marked = [self._marked(self.normalise(t)) for t in run]
+            plain = map(self.normalise, run) if normal is None else normal[len(out) : len(out) + len(run)]
+            marked = [self._marked(t) for t in plain]
             if self.cut is None:
                 rows = self._ids(marked)
             else:
