@@ -333,3 +333,12 @@ def test_greedy_match_in_rounds(spark):
                 want.append((g, free[0][1], -free[0][0]))
         got = greedy_match(spark.createDataFrame(pairs, "gt long, disc long, score double"))
         assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_cells_are_not_broadcast(spark, sf):
+    """Files of ascending ids look small to the planner."""
+    from heddle.plans import catalogue
+
+    got = catalogue.QUERIES["cell_dataset_bundle"](spark, sf)
+    got.collect()
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
