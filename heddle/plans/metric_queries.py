@@ -107,17 +107,28 @@ def frequency_table(spark, sf):
     return one_row(n, n.agg(F.sum("n").alias("t"))).select("event_type", "n", R(F.col("n") / F.col("t")).alias("share"))
 
 
-RUNS = "runs AS (SELECT user_id AS run, (epoch(ts)::BIGINT // 86400) % 7 AS iter, avg(value) AS score, count(*) AS n FROM events GROUP BY 1, 2)"
+#: A day ends at midnight, not half a second before. Means have nine decimals, so that the order in which
+#: values are summed decides neither what ties nor the remainder of a whole number.
+RUNS = "runs AS (SELECT user_id AS run, floor(epoch_us(ts) / 86400000000.0)::BIGINT % 7 AS iter, avg(value)::DECIMAL(38, 9)::DOUBLE AS score, count(*) AS n FROM events GROUP BY 1, 2)"
+
+
+def nine(c):
+    return c.cast("decimal(38,9)").cast("double")
+
+
+def half_up(c, digits=6):
+    """Rounded, ties away from zero, from a decimal of three digits more, in SQL too."""
+    return F.round(c.cast(f"decimal(38,{digits + 3})"), digits).cast("double")
 
 
 def runs(spark, sf):
     it = F.floor(F.unix_timestamp("ts") / 86400) % 7
-    return table(spark, sf, "events").groupBy(F.col("user_id").alias("run"), it.alias("iter")).agg(F.avg("value").alias("score"), F.count("*").alias("n"))
+    return table(spark, sf, "events").groupBy(F.col("user_id").alias("run"), it.alias("iter")).agg(nine(F.avg("value")).alias("score"), F.count("*").alias("n"))
 
 
-@query("iteration_statistics", f"WITH {RUNS} SELECT run, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS sd, count(*) AS iterations FROM runs GROUP BY run")
+@query("iteration_statistics", f"WITH {RUNS} SELECT run, round(avg(score)::DECIMAL(38, 9), 6)::DOUBLE AS mean, round(stddev_pop(score)::DECIMAL(38, 9), 6)::DOUBLE AS sd, count(*) AS iterations FROM runs GROUP BY run")
 def iteration_statistics(spark, sf):
-    return runs(spark, sf).groupBy("run").agg(R(F.avg("score")).alias("mean"), R(F.stddev_pop("score")).alias("sd"), F.count("*").alias("iterations"))
+    return runs(spark, sf).groupBy("run").agg(half_up(F.avg("score")).alias("mean"), half_up(F.stddev_pop("score")).alias("sd"), F.count("*").alias("iterations"))
 
 
 @query("average_confusion", A.sql("WITH c AS (SELECT row_id % 4 AS iter, y, yhat, count(*) AS n FROM multi GROUP BY 1, 2, 3), s AS (SELECT count(*) AS rows FROM multi) SELECT y, yhat, round(sum(n) / any_value(rows)::DOUBLE, 6) AS share FROM c, s GROUP BY y, yhat", "multi"))
@@ -229,21 +240,21 @@ def edge_coverage(spark, sf):
 
 
 @query("global_scores", f"""WITH {RUNS}, e AS (SELECT run, iter, score, n, greatest(0, 100 - score / 300 * 50) AS t, greatest(0, 100 - n * 10 / 1000.0 * 30) AS m FROM runs)
-  SELECT run, iter, round((t + m) / 2, 9) AS efficiency, round(least(100, greatest(0, 0.4 * (score % 100) + 0.2 * (n % 100) + 0.2 * 70 + 0.2 * (70 + ((t + m) / 2 - 50) * 0.1))), 9) AS score FROM e""")
+  SELECT run, iter, round(((t + m) / 2)::DECIMAL(38, 12), 9)::DOUBLE AS efficiency, round(least(100, greatest(0, 0.4 * (score % 100) + 0.2 * (n % 100) + 0.2 * 70 + 0.2 * (70 + ((t + m) / 2 - 50) * 0.1)))::DECIMAL(38, 12), 9)::DOUBLE AS score FROM e""")
 def global_scores(spark, sf):
     eff = E.efficiency(F.col("score"), F.col("n") * 10)
     g = E.global_score(F.col("score") % 100, F.col("n") % 100, eff)
-    return runs(spark, sf).select("run", "iter", F.round(eff, 9).alias("efficiency"), F.round(g, 9).alias("score"))
+    return runs(spark, sf).select("run", "iter", half_up(eff, 9).alias("efficiency"), half_up(g, 9).alias("score"))
 
 
-@query("best_per_algorithm", f"WITH {RUNS} SELECT run, arg_max(iter, (round(score, 9), iter)) AS iter, round(max(score), 6) AS score FROM runs GROUP BY run")
+@query("best_per_algorithm", f"WITH {RUNS} SELECT run, arg_max(iter, (score, iter)) AS iter, round(max(score)::DECIMAL(38, 9), 6)::DOUBLE AS score FROM runs GROUP BY run")
 def best_per_algorithm(spark, sf):
-    return runs(spark, sf).groupBy("run").agg(F.max_by("iter", F.struct(F.round("score", 9), "iter")).alias("iter"), R(F.max("score")).alias("score"))
+    return runs(spark, sf).groupBy("run").agg(F.max_by("iter", F.struct("score", "iter")).alias("iter"), half_up(F.max("score")).alias("score"))
 
 
-@query("argmin_over_k", f"WITH {RUNS} SELECT run, arg_min(iter, (round(score, 9), iter)) AS k FROM runs GROUP BY run")
+@query("argmin_over_k", f"WITH {RUNS} SELECT run, arg_min(iter, (score, iter)) AS k FROM runs GROUP BY run")
 def argmin_over_k(spark, sf):
-    return runs(spark, sf).groupBy("run").agg(F.min_by("iter", F.struct(F.round("score", 9), "iter")).alias("k"))
+    return runs(spark, sf).groupBy("run").agg(F.min_by("iter", F.struct("score", "iter")).alias("k"))
 
 
 @query("average_coefficients", "WITH c AS (SELECT i - 1 AS feature, avg(embedding[i]::DOUBLE) AS coef FROM embeddings, range(1, 65) r(i) GROUP BY 1) SELECT feature, round(coef, 6) AS coef, coef = 0 AS zero, coef > 0.01 AS large FROM c")

@@ -45,3 +45,20 @@ def test_matches_sql(spark, duck, name):
 def test_gives_rows(spark, name):
     df = catalogue.QUERIES[name](spark, SF)
     assert df.columns and df.limit(1).count() == 1
+
+
+@pytest.mark.parametrize("name", ["argmin_over_k", "best_per_algorithm", "global_scores", "iteration_statistics"])
+def test_runs_at_midnight_and_at_ties(spark, tmp_path, name):
+    """Events of a day's last half second are of that day; means that tie at the last decimal agree to it."""
+    import duckdb
+
+    at = str(tmp_path / "events.parquet")
+    late = "SELECT u AS user_id, TIMESTAMP '2024-01-07 23:59:59.7' AS ts, CASE WHEN u % 2 = 0 THEN -1.0 ELSE 100.0 * u END AS value FROM range(1, 40) r(u)"
+    early = "SELECT u, TIMESTAMP '2024-01-02 03:00:00' + to_days(d::INT), 1.0 + u * d FROM range(1, 40) r(u), range(3) s(d)"
+    ties = "SELECT u, TIMESTAMP '2024-01-03 03:00:00', ((u * 37 * i) % 1009) / 100.0 FROM range(100, 400) r(u), range(1, 33) s(i)"
+    c = duckdb.connect()
+    c.sql(f"COPY ({late} UNION ALL {early} UNION ALL {ties}) TO '{at}' (FORMAT parquet)")
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{at}'")
+    df, want = catalogue.QUERIES[name](spark, str(tmp_path)), c.sql(catalogue.SQL[name])
+    names = sorted(df.columns)
+    assert sorted(tuple(r[n] for n in names) for r in df.collect()) == sorted(want.select(*names).fetchall())
