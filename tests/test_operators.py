@@ -353,3 +353,15 @@ def test_repeated_words_are_linear(spark):
     got = df.select(T.drop_repeated_words(F.col("t")).alias("t")).first()["t"]
     assert got.split(" ") == [f"w{i}" for i in range(n // 2)]
     assert time() - began < 30
+
+
+def test_word_vectors_of_several_tasks(spark):
+    """Words of one topic stay nearer than those of two, with the rows dealt to four tasks."""
+    rng = np.random.default_rng(3)
+    rows = [([f"{'ab'[i % 2]}{j}" for j in rng.integers(0, 6, 12)],) for i in range(2000)]
+    got = ml.word_vectors(spark.createDataFrame(rows, "t array<string>"), "t", 8, rows_per_task=500).collect()
+    unit = {r.word: np.array(r.vector) / np.linalg.norm(r.vector) for r in got}
+    assert sorted(unit) == [f"{g}{j}" for g in "ab" for j in range(6)]
+    inside = np.mean([unit[f"{g}{i}"] @ unit[f"{g}{j}"] for g in "ab" for i in range(6) for j in range(i)])
+    across = np.mean([unit[f"a{i}"] @ unit[f"b{j}"] for i in range(6) for j in range(6)])
+    assert inside > across + 0.2
