@@ -365,3 +365,25 @@ def test_word_vectors_of_several_tasks(spark):
     inside = np.mean([unit[f"{g}{i}"] @ unit[f"{g}{j}"] for g in "ab" for i in range(6) for j in range(i)])
     across = np.mean([unit[f"a{i}"] @ unit[f"b{j}"] for i in range(6) for j in range(6)])
     assert inside > across + 0.2
+
+
+def test_nearest_by_tiles(spark, monkeypatch):
+    """Copies, ties, batches, some rows asked for, and tiles smaller than blocks; copies of rows by blocks are few."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(120, 3)), 1)
+    x[40:90] = x[7]
+    monkeypatch.setattr(graph, "TILE", 7)
+    monkeypatch.setattr(graph, "WIDE", 16)
+    for metric in ("euclidean", "cosine"):
+        norm = np.linalg.norm(x, axis=1)
+        far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) if metric == "euclidean" else -np.divide(x @ x.T, np.outer(norm, norm), out=np.zeros((120, 120)), where=np.outer(norm, norm) > 0)
+        i, dst, score = graph._closest(x, np.arange(120), x, np.arange(120), 4, metric == "cosine")
+        assert not np.isnan(score).any()
+        for r in range(120):
+            want = sorted((round(far[r, j], 9) + 0.0, j) for j in range(120) if j != r)[:4]
+            assert dst[i == r].tolist() == [j for _, j in want], (metric, r)
+    df = matrix(spark, x)
+    every = {(r.src, r.dst) for r in graph.nearest(df, 4, "euclidean", size=50).collect()}
+    some = {(r.src, r.dst) for r in graph.nearest(df, 4, "euclidean", size=50, asking=F.col("id") < 9).collect()}
+    assert some == {p for p in every if p[0] < 9} and len(every) == 480
+    assert graph._blocks(spark.range(40_000)).count() == 8 * 40_000
