@@ -12,8 +12,11 @@ from heddle.workspace import ship_package
 
 
 def _ids(spark: SparkSession, rows: int | DataFrame) -> DataFrame:
-    """``id`` of each row to draw: a table's own, or so many numbers."""
-    return spark.range(rows) if isinstance(rows, int) else rows.select("id")
+    """``id`` of each row to draw: a table's own, or so many numbers. Ids are few bytes and draws long, so
+    they are dealt to all cores, however few files or row groups they come from."""
+    if isinstance(rows, int):
+        return spark.range(rows)
+    return rows.select("id").repartition(4 * spark.sparkContext.defaultParallelism, "id")
 
 
 def mechanisms(spark: SparkSession, samples: int | DataFrame, genes: int, spec: list[dict], seed: int = 42, dropout: float = 0.3) -> DataFrame:
