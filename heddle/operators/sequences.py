@@ -7,60 +7,63 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.workspace import ship_package
 
 
-def _drawn(df: DataFrame, key: str, column: str) -> DataFrame:
-    """key as text, ``column``, and a seed of the key; null keys share a seed."""
-    return df.select(F.col(key).cast("string").alias(key), F.col(column).alias(column), F.pmod(F.xxhash64(key), F.lit(2**62)).alias("_seed"))
+def _seed(key: str) -> Column:
+    """A number of the key; null keys share one."""
+    return F.pmod(F.xxhash64(key), F.lit(2**62))
+
+
+def _draws(df: DataFrame, key: str, length: Column, draw: Callable[[int, int], list[int]]) -> DataFrame:
+    """``df`` with ``_length`` and ``_drawn``: what ``draw`` makes of the key's seed and the length. Python
+    gets these two numbers, not the rows' texts."""
+    ship_package(df.sparkSession)
+
+    @F.pandas_udf("array<int>")
+    def drawn(seeds: pd.Series, lengths: pd.Series) -> pd.Series:
+        return pd.Series([draw(int(own), int(n)) for own, n in zip(seeds, lengths, strict=True)], dtype=object)
+
+    counted = df.withColumn("_length", F.coalesce(length, F.lit(0)))
+    return counted.withColumn("_drawn", drawn(_seed(key), F.col("_length")))
 
 
 def shuffled_chunks(df: DataFrame, key: str, column: str, chunks: int, moved: int, seed: int = 42) -> DataFrame:
     """``column`` cut into chunks of a k-th of its length (a rest makes one more); ``moved`` of them,
     drawn by the row's key, change places among themselves. Null texts stay null."""
-    ship_package(df.sparkSession)
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for own, s in zip(f["_seed"], f[column], strict=True):
-                if s is None:
-                    out.append(None)
-                    continue
-                size = max(1, len(s) // chunks)
-                parts = [s[i : i + size] for i in range(0, len(s), size)]
-                rng = np.random.default_rng([seed, int(own)])
-                at = rng.choice(len(parts), min(moved, len(parts)), replace=False)
-                for to, part in zip(at, [parts[i] for i in rng.permutation(at)], strict=True):
-                    parts[to] = part
-                out.append("".join(parts))
-            yield pd.DataFrame({key: f[key], column: out})
-
-    made = _drawn(df, key, column).mapInPandas(work, f"`{key}` string, `{column}` string")
-    return made.withColumn(key, F.col(key).cast(df.schema[key].dataType))
+    def order(own: int, n: int) -> list[int]:
+        parts = list(range(-(-n // max(1, n // chunks))))
+        rng = np.random.default_rng([seed, own])
+        at = rng.choice(len(parts), min(moved, len(parts)), replace=False)
+        for to, part in zip(at, [parts[i] for i in rng.permutation(at)], strict=True):
+            parts[to] = part
+        return parts
+
+    made = _draws(df.select(key, column), key, F.char_length(column), order)
+    size = F.greatest(F.lit(1), F.floor(F.col("_length") / chunks)).cast("int")
+    text = F.array_join(F.transform("_drawn", lambda p: F.substring(F.col(column), p * size + 1, size)), "")
+    return made.select(key, F.when(F.col(column).isNotNull(), text).alias(column))
 
 
 def random_windows(df: DataFrame, key: str, column: str, longest: int = 510, shortest: int = 20, seed: int = 42) -> DataFrame:
     """key, start, window of a token array: half of the windows have ``longest`` tokens, the others a
     random number; the rest of ``longest`` or fewer is the last. Null and empty arrays have none."""
-    ship_package(df.sparkSession)
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for k, own, tokens in zip(f[key], f["_seed"], f[column], strict=True):
-                rng, at = np.random.default_rng([seed, int(own), 1]), 0
-                while tokens is not None and at < len(tokens):
-                    n = longest if len(tokens) - at <= longest or rng.random() < 0.5 else int(rng.integers(shortest, longest + 1))
-                    rows.append((k, at, list(tokens[at : at + n])))
-                    at += n
-            yield pd.DataFrame(rows, columns=[key, "start", "window"])
-
-    made = _drawn(df, key, column).mapInPandas(work, f"`{key}` string, start long, window array<string>")
-    return made.withColumn(key, F.col(key).cast(df.schema[key].dataType))
+    def starts(own: int, many: int) -> list[int]:
+        rng, at, found = np.random.default_rng([seed, own, 1]), 0, []
+        while at < many:
+            found.append(at)
+            at += longest if many - at <= longest or rng.random() < 0.5 else int(rng.integers(shortest, longest + 1))
+        return found
+
+    made = _draws(df.select(key, column), key, F.when(F.col(column).isNotNull(), F.size(column)), starts)
+    end = lambda i: F.coalesce(F.get("_drawn", i + 1), F.col("_length"))
+    window = lambda at, i: F.struct(at.cast("long").alias("start"), F.slice(column, at + 1, end(i) - at).alias("window"))
+    return made.select(key, F.explode(F.transform("_drawn", window)).alias("w")).select(key, "w.start", "w.window")
 
 
 def predict(df: DataFrame, key: str, column: str, model: Callable[[list[str]], list[str]]) -> DataFrame:

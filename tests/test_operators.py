@@ -419,3 +419,19 @@ def test_draws_are_dealt_to_all_cores(spark):
     made = generators.mechanisms(spark, spark.range(64).coalesce(1), 3, [])
     assert made.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
     assert sorted(map(str, made.collect())) == sorted(map(str, generators.mechanisms(spark, 64, 3, []).collect()))
+
+
+def test_draws_get_numbers_not_texts(spark):
+    """Windows and chunks send Python seeds and lengths only."""
+    from heddle.operators import sequences
+
+    df = spark.createDataFrame([(i, "word " * (40 * i)) for i in range(5)] + [(9, None)], "id long, s string").repartition(2)
+    split = df.select("id", F.split("s", " ").alias("t"))
+    for made in (sequences.shuffled_chunks(df, "id", "s", 4, 3), sequences.random_windows(split, "id", "t", 30, 5)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "MapInPandas" not in plan
+    whole = {}
+    for r in sorted(sequences.random_windows(split, "id", "t", 30, 5).collect(), key=lambda r: (r.id, r.start)):
+        assert r.start == len(whole.setdefault(r.id, [])) and 1 <= len(r.window) <= 30
+        whole[r.id] += r.window
+    assert whole == {r.id: r.t for r in split.collect() if r.t}
