@@ -12,15 +12,18 @@ very many links is summed up in the tasks of its links.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.operators.graph import label_components
-from heddle.workspace import materialise
+from heddle.workspace import materialise, ship_package
 
 #: Rounds in a row that bring less than the least gain before moves end; most nodes have had their turn
 #: in them, and the next level goes on.
 PATIENCE, LEAST_GAIN = 2, 1e-5
+#: Nodes of a part of a round, and links for each of them, on the average.
+PART, LINKS = 4_096, 16
 
 
 def shared_neighbours(neighbours: DataFrame) -> DataFrame:
@@ -49,45 +52,112 @@ def _graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, links.where("src <> dst")
 
 
-def local_moves(nodes: DataFrame, links: DataFrame, start: DataFrame) -> tuple[DataFrame, float]:
+def _moved(table: pa.Table) -> pa.Table:
+    """One part's turn: its nodes, one after another, go to the community of the largest gain until none wants to.
+
+    Rows of kind 0 are its nodes, those of kind 1 links between them; what its nodes have outside comes summed
+    up, of kind 2 into their own community, of kind 3 into the best other one, whose total stays as it was.
+    """
+    kind = table.column("kind").to_numpy()
+    rows = lambda k, *names: [table.column(n).filter(pa.array(kind == k)).to_pylist() for n in names]
+    ids, home, k, inner, total, may, twice = rows(0, "src", "community", "k", "inner", "total", "may", "twice")
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    at, totals, around, out = {v: i for i, v in enumerate(ids)}, dict(zip(home, total, strict=True)), [[] for _ in ids], [{} for _ in ids]
+    for v, d, w in zip(*rows(1, "src", "dst", "weight"), strict=True):
+        around[at[v]].append((at[d], w))
+    for v, w in zip(*rows(2, "src", "weight"), strict=True):
+        out[at[v]][home[at[v]]] = w
+    others = set()
+    for v, c, t, w in zip(*rows(3, "src", "community", "total", "weight"), strict=True):
+        out[at[v]][c] = w
+        if c not in totals:
+            others.add(c)
+            totals[c] = t
+    into = lambda i, own: sum(w for j, w in around[i] if own[j] == own[i]) + out[i].get(own[i], 0.0) + inner[i]
+    held, own, going = [into(i, home) for i in range(len(ids))], list(home), True
+    while going:
+        going = False
+        for i in order:
+            links = dict(out[i])
+            for j, w in around[i]:
+                links[own[j]] = links.get(own[j], 0.0) + w
+            links.setdefault(own[i], 0.0)
+            totals[own[i]] -= k[i]
+            # A half of the nodes leave the part in a round, so that neighbours in two parts seldom swap.
+            open_to = [c for c in links if may[i] or c == own[i] or c not in others]
+            gain = {c: links[c] - k[i] * totals[c] / twice[i] for c in open_to}
+            best = max(open_to, key=lambda c: (round(gain[c], 9), c == own[i], -c))
+            # Less than rounding is no gain: moves of none could go round for ever.
+            best = best if gain[best] > gain[own[i]] + 1e-9 else own[i]
+            going |= best != own[i]
+            own[i] = best
+            totals[best] += k[i]
+    left = [len(out[i]) for i in range(len(ids))]
+    after = [into(i, own) for i in range(len(ids))]
+    return pa.table({"node": pa.array(ids, "int64"), "community": pa.array(own, "int64"), "home": pa.array(home, "int64"), "held": held, "after": after, "k": k, "inner": inner, "outside": pa.array(left, "int64")}, MOVED)
+
+
+MOVED = pa.schema([("node", "int64"), ("community", "int64"), ("home", "int64"), ("held", "float64"), ("after", "float64"), ("k", "float64"), ("inner", "float64"), ("outside", "int64")])
+
+
+def local_moves(nodes: DataFrame, links: DataFrame, start: DataFrame, within: DataFrame | None = None) -> tuple[DataFrame, float]:
     """(node, community) after moves from ``start``, and its modularity.
 
-    In a round half of the nodes, by a digest of node and round, go to the community of the largest
-    gain around them, so two neighbours seldom swap. Rounds go on while they bring modularity. Of all rounds the labels of most modularity stay.
-    A round's one pass over links gives both its choices and the modularity it began with.
+    In a round nodes are dealt to parts of bounded size, whole communities (or, where ``within`` is given,
+    whole groups of it) together where they fit. A part's nodes move one after another until none gains, by
+    their links and by what is summed up of those outside. Rounds go on while they bring modularity; where
+    no part has links outside, one is enough. Of all rounds the labels of most modularity stay.
     """
-    twice = nodes.agg(F.sum("k").alias("m")).first()["m"] or 0.0
+    ship_package(nodes.sparkSession)
+    sizes = nodes.agg(F.sum("k").alias("m"), F.count("*").alias("n")).first()
+    twice = sizes["m"] or 0.0
     best, top, idle, r = start.select("node", "community"), float("-inf"), 0, 0
     if not twice:
         return best, 0.0
-    state = materialise(start.select("node", "community").join(nodes, "node"), "state")
-    links = materialise(links.join(nodes.select(F.col("node").alias("src"), "k"), "src"), "weighed")
+    parts = max(1, -(-sizes["n"] // PART), -(-links.count() // (LINKS * PART)))
+    keep = ["node", "community", "k", "inner", *(["group"] if within is not None else [])]
+    state = start.select("node", "community").join(nodes, "node")
+    state = state if within is None else state.join(within.select("node", F.col("community").alias("group")), "node")
+    state = materialise(state.select(*keep), "state")
     while True:
         totals = state.groupBy("community").agg(F.sum("k").alias("total"))
-        placed = state.join(totals, "community")
-        there = links.join(placed.select(F.col("node").alias("dst"), "community", "total"), "dst")
-        # A node's own community is a choice even without links into it, and the only one with ``inner``.
-        choice = there.select(F.col("src").alias("node"), "community", "total", "k", "weight", F.lit(None).cast("double").alias("inner")).union(
-            placed.select("node", "community", "total", "k", F.lit(0.0), "inner")
-        )
-        scored = choice.groupBy("node", "community").agg(F.sum("weight").alias("w"), F.max("total").alias("total"), F.max("k").alias("k"), F.max("inner").alias("inner"))
-        stays = F.col("inner").isNotNull()
-        gain = F.col("w") - F.col("k") * (F.col("total") - F.when(stays, F.col("k")).otherwise(0.0)) / F.lit(twice)
-        pick = F.max(F.struct(F.round(gain, 9).alias("g"), stays.alias("s"), (-F.col("community")).alias("c")))
-        home, held = F.max(F.when(stays, F.col("community"))), F.max(F.when(stays, F.col("w") + F.col("inner")))
-        picked = scored.groupBy("node").agg(pick.alias("p"), held.alias("held"), home.alias("home"), F.max("k").alias("k"), F.max("inner").alias("inner"))
-        moves = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-        step = picked.select("node", F.when(moves, -F.col("p.c")).otherwise(F.col("home")).alias("community"), "home", "held", "k", "inner", (-F.col("p.c") != F.col("home")).alias("wants"))
+        placed = state.join(totals, "community").withColumn("part", F.lit(0).cast("long"))
+        if parts > 1:
+            near = keep[-1] if within is not None else "community"
+            blocks = state.groupBy(near).agg(F.ceil(F.count("*") / PART).alias("blocks"))
+            block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+            placed = placed.join(blocks, near).withColumn("part", F.pmod(F.xxhash64(near, block, F.lit(r)), F.lit(parts)))
+        may = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
+        own = placed.select("part", F.lit(0).alias("kind"), F.col("node").alias("src"), "community", "k", "inner", "total", may.alias("may"), F.lit(float(twice)).alias("twice"))
+        if parts == 1:
+            met = links.select(F.lit(0).cast("long").alias("part"), F.lit(1).alias("kind"), "src", "dst", "weight")
+        else:
+            a = placed.select(F.col("node").alias("src"), "part", F.col("community").alias("_home"), "k")
+            b = placed.select(F.col("node").alias("dst"), F.col("part").alias("_part"), "community", "total")
+            there = links.join(b, "dst").join(a, "src")
+            outside = there.where("part <> _part").groupBy("src", "part", "community").agg(F.sum("weight").alias("weight"), F.max("total").alias("total"), F.max("k").alias("k"), F.max("_home").alias("_home"))
+            gain = F.round(F.col("weight") - F.col("k") * F.col("total") / F.lit(twice), 9)
+            other = F.max(F.when(F.col("community") != F.col("_home"), F.struct(gain.alias("gain"), (-F.col("community")).alias("c"), "weight", "total")))
+            one = outside.groupBy("src", "part").agg(F.sum(F.when(F.col("community") == F.col("_home"), F.col("weight"))).alias("w"), other.alias("o"))
+            none = F.lit(None).cast("double")
+            kinds = F.array(F.struct(F.lit(2).alias("kind"), F.lit(None).cast("long").alias("community"), F.col("w").alias("weight"), none.alias("total")), F.struct(F.lit(3).alias("kind"), (-F.col("o.c")).alias("community"), F.col("o.weight").alias("weight"), F.col("o.total").alias("total")))
+            summed = one.select("src", "part", F.inline(kinds)).where("weight IS NOT NULL")
+            met = there.where("part = _part").select("part", F.lit(1).alias("kind"), "src", "dst", "weight").unionByName(summed, allowMissingColumns=True)
+        step = own.unionByName(met, allowMissingColumns=True).groupBy("part").applyInArrow(_moved, "node long, community long, home long, held double, after double, k double, inner double, outside long")
         step = materialise(step, f"moves_{r}")
-        per = step.groupBy("home").agg(F.sum("held").alias("held"), F.sum("k").alias("k"), F.max("wants").alias("wants"))
-        found = per.agg(F.sum(F.col("held") / twice - F.pow(F.col("k") / twice, F.lit(2))).alias("q"), F.max("wants").alias("wants")).first()
-        if found["q"] > top + LEAST_GAIN:
-            best, top, idle = step.select("node", F.col("home").alias("community")), found["q"], 0
+        q = F.sum(F.col("held") / twice - F.pow(F.col("k") / twice, F.lit(2)))
+        quality = lambda by, held, step=step, q=q: step.groupBy(by).agg(F.sum(held).alias("held"), F.sum("k").alias("k")).agg(q.alias("q")).first()["q"]
+        if not step.agg(F.sum("outside").alias("outside")).first()["outside"]:
+            return step.select("node", "community"), quality("community", "after")
+        before = quality("home", "held")
+        if before > top + LEAST_GAIN:
+            best, top, idle = step.select("node", F.col("home").alias("community")), before, 0
         else:
             idle += 1
-        if idle == PATIENCE or not found["wants"]:
+        if idle == PATIENCE:
             return best, top
-        state, r = step.select("node", "community", "k", "inner"), r + 1
+        step = step if within is None else step.join(state.select("node", "group"), "node")
+        state, r = step.select(*keep), r + 1
 
 
 def connected_parts(links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -125,7 +195,7 @@ def communities(edges: DataFrame) -> DataFrame:
         a = labels.select(F.col("node").alias("src"), F.col("community").alias("_a"))
         b = labels.select(F.col("node").alias("dst"), F.col("community").alias("_b"))
         inside = materialise(links.join(a, "src").join(b, "dst").where("_a = _b").select("src", "dst", "weight"), "inside")
-        parts, _ = local_moves(nodes, inside, nodes.select("node", F.col("node").alias("community")))
+        parts, _ = local_moves(nodes, inside, nodes.select("node", F.col("node").alias("community")), labels)
         parts = materialise(parts, "parts")
         if parts.where("node <> community").isEmpty():
             break

@@ -234,3 +234,19 @@ def test_planted_doublets(spark):
     found = {r.id: r.doublet for r in doublets.enriched_doublets(rows).collect()}
     for got in (called, found):
         assert len(got) == 90 and sum(got[i] for i in range(6)) >= 5 and sum(got[i] for i in range(6, 90)) <= 9
+
+
+def test_moves_take_few_rounds(spark, monkeypatch):
+    """A graph that fits a part is done in one round of moves; cut into parts it has no less than its truth's
+    modularity, but for a hundredth."""
+    edges, label = planted(11, 120, 4, 0.4, 0.02)
+    df = spark.createDataFrame(edges, EDGES)
+    truth = graph.modularity(df, spark.createDataFrame([(i, int(g)) for i, g in enumerate(label)], "node long, community long")).first()["modularity"]
+    names, plain = [], communities.materialise
+    monkeypatch.setattr(communities, "materialise", lambda frame, name, **o: (names.append(name), plain(frame, name, **o))[1])
+    found = communities.communities(df)
+    assert graph.modularity(df, found).first()["modularity"] >= truth - 0.01
+    assert names.count("moves_0") == names.count("state") and "moves_1" not in names
+    monkeypatch.setattr(communities, "PART", 30)
+    found = communities.communities(df)
+    assert "moves_1" in names and graph.modularity(df, found).first()["modularity"] >= truth - 0.01
