@@ -10,28 +10,43 @@ from heddle.schemas import FRAGMENTS, INTERVALS
 from heddle.sources.partitioned import archive_lines, array_entries
 
 
-def sidecar(spark: SparkSession, path: str, column: int, name: str) -> DataFrame:
-    """position (1-based, by line) and one column of a tab file.
+#: Where a line stands: lines of one file, split or not, are in the order of the file, files in that of their names.
+PLACE = lambda: F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
 
-    Lines are numbered by file offset order: one file, split or not, keeps its order.
-    """
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("_at"), F.get(F.split("value", "\t"), F.lit(column)).alias(name))
+
+#: Entries of a task that joins them.
+ENTRIES = 1 << 20
+
+
+def tasks(entries: int) -> int:
+    return max(1, -(-entries // ENTRIES))
+
+
+def sidecar(spark: SparkSession, path: str, column: int, name: str) -> DataFrame:
+    """position (1-based, by line) and one column of a tab file, or of a folder of its parts."""
+    rows = spark.read.text(path).select(PLACE().alias("_at"), F.get(F.split("value", "\t"), F.lit(column)).alias(name))
     return with_position(rows, "_at", "position").select("position", name)
 
 
 def matrix_market(spark: SparkSession, matrix: str, features: str, barcodes: str, name_column: int = 0) -> DataFrame:
     """cell_id, gene_id (as text), value of a coordinate file, genes by cells, and its sidecars.
 
-    Comments begin with %. The first other line holds the sizes: the only one whose numbers are
-    those of all rows, columns and entries; it comes first in the file, at the least offset.
+    Each may be a folder of parts. Comments begin with %. The first other line holds the sizes; of parts, it is
+    the first of the one that begins with the banner, or of the first by name where none does.
     """
-    lines = spark.read.text(matrix).select(F.monotonically_increasing_id().alias("at"), F.split(F.trim("value"), r"\s+").alias("p"), "value").where(~F.col("value").startswith("%"))
-    first = lines.agg(F.min("at").alias("first"))
-    entries = lines.join(F.broadcast(first), how="cross").where("at > first").select(
+    lines = spark.read.text(matrix).select(PLACE().alias("at"), F.split(F.trim("value"), r"\s+").alias("p"), "value")
+    headed = lines.agg(F.min(F.when(F.col("value").startswith("%%MatrixMarket"), F.col("at.file"))).alias("file")).first()["file"]
+    plain = lines.where(~F.col("value").startswith("%"))
+    sizes = plain.where(F.lit(True) if headed is None else F.col("at.file") == headed)
+    found = sizes.agg(F.min("at").alias("first"), F.min_by("p", "at").alias("p"))
+    said = found.select(F.get("p", F.lit(2)).try_cast("long").alias("n")).first()["n"] or 0
+    entries = plain.join(F.broadcast(found.select("first")), how="cross").where("at <> first").select(
         F.get("p", F.lit(0)).try_cast("long").alias("g"), F.get("p", F.lit(1)).try_cast("long").alias("c"), F.get("p", F.lit(2)).try_cast("double").alias("value")
     )
     genes = sidecar(spark, features, name_column, "gene_id").withColumnRenamed("position", "g")
     cells = sidecar(spark, barcodes, 0, "cell_id").withColumnRenamed("position", "c")
+    if tasks(said) > 1:
+        entries, cells = entries.repartition(tasks(said), "c"), cells.repartition(tasks(said), "c")
     return entries.join(genes, "g").join(cells, "c").select("cell_id", "gene_id", "value")
 
 

@@ -8,6 +8,7 @@ import __spark_entry__
 from heddle.functions import text as T
 from heddle.functions.special import t_two_sided
 from heddle.operators import clusters, genomics, graph, metrics, ml, order, sweeps
+from heddle.sources import readers
 from heddle.streaming import weekly
 
 
@@ -435,3 +436,17 @@ def test_draws_get_numbers_not_texts(spark):
         assert r.start == len(whole.setdefault(r.id, [])) and 1 <= len(r.window) <= 30
         whole[r.id] += r.window
     assert whole == {r.id: r.t for r in split.collect() if r.t}
+
+
+def test_coordinate_file_in_parts(spark, tmp_path):
+    """The sizes are those of the part with the banner, however small; lines of sidecars go on from part to part."""
+    for name, text in {
+        "matrix/a": "1 1 5\n2 3 7\n" + "1 2 4\n" * 40, "matrix/b": "%%MatrixMarket matrix coordinate real general\n% made\n2 3 43\n", "matrix/c": "2 1 9\n",
+        "genes/a": "g1\tx\ng2\ty\n", "cells/a": "c1\n", "cells/b": "c2\nc3-with-a-longer-name\n",
+    }.items():
+        at = tmp_path / name
+        at.parent.mkdir(exist_ok=True)
+        at.write_text(text)
+    rows = readers.matrix_market(spark, *[str(tmp_path / n) for n in ("matrix", "genes", "cells")]).collect()
+    want = [("c1", "g1", 5.0), ("c3-with-a-longer-name", "g2", 7.0), ("c1", "g2", 9.0)] + [("c2", "g1", 4.0)] * 40
+    assert sorted(tuple(r) for r in rows) == sorted(want)
