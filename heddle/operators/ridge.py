@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from heddle.operators.graph import ROWS_PER_BLOCK
 from heddle.workspace import materialise, ship_package
 
+#: Points that the preconditioner sees all others through.
+LANDMARKS = 256
+
 
 def kernel_product(targets: DataFrame, sources: DataFrame, kernels: list[tuple[str, float]], size: int = ROWS_PER_BLOCK, counts: tuple[int, int] | None = None) -> DataFrame:
     """id, total of ``targets`` (id, vector): for each column c the sum over ``sources`` (id, vector, weight
@@ -75,13 +78,22 @@ def _sums(rows: DataFrame, f) -> np.ndarray:
     return np.array([r["x"] for r in found])
 
 
+def _kernel(x: np.ndarray, y: np.ndarray, kernel: tuple[str, float]) -> np.ndarray:
+    dots = x @ y.T
+    if kernel[0] == "linear":
+        return dots
+    return np.exp(-kernel[1] * np.maximum(0, (x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * dots))
+
+
 def solved(points: DataFrame, kernels: list[tuple[str, float]], alphas: np.ndarray, held: list[int | None], tolerance: float, size: int) -> DataFrame:
     """id, vector, n, s, q and weight array: for each column the dual weights of the fit with its kernel and
     alpha to all rows but those of the held fold.
 
     ``points``: distinct vectors with the numbers n, sums s and squares q of their rows by fold. Rows of one
     vector share a kernel row, so with d the root of their number the fit solves (d K d + alpha) u = d mean.
-    All columns share each pass, which is one product and one sum of three numbers a column.
+    All columns share each pass, which is one product and some sums of a few numbers a column. Gradients are
+    preconditioned: kernels seen through ``LANDMARKS`` points, of which smooth ones lose little, are solved
+    exactly, so passes are few however many rows a point has; what is lost only costs further passes.
     """
     folds = [f is not None for f in held]
     pick = np.array([f or 0 for f in held])
@@ -93,31 +105,77 @@ def solved(points: DataFrame, kernels: list[tuple[str, float]], alphas: np.ndarr
         n = left_out(rows, "n")
         d = np.sqrt(n)
         b = np.divide(left_out(rows, "s"), d, out=np.zeros_like(d), where=n > 0)
-        return d, np.zeros_like(b), b, b
+        return d, np.zeros_like(b), b, np.zeros_like(b)
+
+    marks = np.array([r["vector"] for r in points.orderBy(F.xxhash64("vector"), "vector").limit(LANDMARKS).select("vector").collect()], float)
+    kinds = sorted(set(kernels))
+    axes = {}
+    for kind in kinds:
+        power, turn = np.linalg.eigh(_kernel(marks, marks, kind))
+        use = power > 1e-10 * power.max(initial=0)
+        axes[kind] = turn[:, use] / np.sqrt(power[use])
+    columns = {k: np.array([c for c, other in enumerate(kernels) if other == k]) for k in kinds}
+    seen = {k: (lambda x, k=k: _kernel(x["vector"], marks, k) @ axes[k]) for k in kinds}
+    outs = sorted({f for f in held if f is not None}) + [None]
+
+    def grams(x: dict) -> np.ndarray:
+        count = [x["n"].sum(1) - (0 if f is None else x["n"][:, f]) for f in outs]
+        return np.concatenate([(v.T @ (c[:, None] * v)).ravel() for k in kinds for v in [seen[k](x)] for c in count])
+
+    got, at, inverse = _sums(points, grams), 0, {}
+    for k in kinds:
+        m = axes[k].shape[1]
+        for f in outs:
+            power, turn = np.linalg.eigh(got[at : at + m * m].reshape(m, m))
+            inverse[k, f] = (np.maximum(power, 0), turn)
+            at += m * m
+
+    def through(x: dict, r: np.ndarray) -> np.ndarray:
+        """Of residuals, what the landmarks see, all kernels' columns side by side."""
+        return np.concatenate([(seen[k](x).T @ (x["d"] * r)[:, columns[k]]).ravel() for k in kinds])
+
+    def weighed(total: np.ndarray) -> dict:
+        found, at = {}, 0
+        for k in kinds:
+            t = total[at : (at := at + axes[k].shape[1] * len(columns[k]))].reshape(-1, len(columns[k]))
+            each = [(*inverse[k, held[c]], t[:, i], alphas[c]) for i, c in enumerate(columns[k])]
+            found[k] = np.stack([turn @ ((turn.T @ v) / (power + alpha)) for power, turn, v, alpha in each], 1)
+        return found
+
+    def solution(x: dict, r: np.ndarray, found: dict) -> np.ndarray:
+        z = np.empty_like(r)
+        for k in kinds:
+            use = columns[k]
+            z[:, use] = (r[:, use] - x["d"][:, use] * (seen[k](x) @ found[k])) / alphas[use]
+        return z
 
     table = ["d", "u", "r", "p"]
     kept = ["id", "vector", "n", "s", "q"]
     state = materialise(_columns(points, begin, table, kept), "state")
     n = points.count()
     first = np.maximum(_sums(state, lambda x: (x["r"] ** 2).sum(0)), 1e-300)
+    found = weighed(_sums(state, lambda x: through(x, x["r"])))
+    state = materialise(_columns(state, lambda x, found=found: (x["d"], x["u"], x["r"], solution(x, x["r"], found)), table, kept), "state")
+    rz = _sums(state, lambda x: (x["r"] * x["p"]).sum(0))
     while True:
         weighted = _columns(state, lambda x: (x["d"] * x["p"],), ["weight"], ["id", "vector"])
         joined = state.join(kernel_product(points.select("id", "vector"), weighted, kernels, size, (n, n)), "id")
         with_product = materialise(_columns(joined, lambda x: (x["d"] * x["total"] + alphas * x["p"],), ["ap"], kept + table), "product")
-        dots = _sums(with_product, lambda x: np.stack([(x["r"] ** 2).sum(0), (x["p"] * x["ap"]).sum(0), (x["r"] * x["ap"]).sum(0), (x["ap"] ** 2).sum(0)])).reshape(4, -1)
-        rr, pap, rap, apap = dots
+        rr, pap = _sums(with_product, lambda x: np.stack([(x["r"] ** 2).sum(0), (x["p"] * x["ap"]).sum(0)])).reshape(2, -1)
         going = rr > tolerance**2 * first
         if not going.any():
             return _columns(state, lambda x: (x["d"] * x["u"],), ["weight"], kept)
-        step = np.where(going & (pap > 0), rr / np.where(pap > 0, pap, 1.0), 0.0)
-        after = np.maximum(rr - 2 * step * rap + step**2 * apap, 0.0)
-        turn = np.where(step > 0, after / np.where(rr > 0, rr, 1.0), 0.0)
+        step = np.where(going & (pap > 0), rz / np.where(pap > 0, pap, 1.0), 0.0)
+        after = lambda x, step=step: x["r"] - step * x["ap"]
+        found = weighed(_sums(with_product, lambda x, after=after: through(x, after(x))))
+        next_rz = _sums(with_product, lambda x, after=after, found=found: (after(x) * solution(x, after(x), found)).sum(0))
+        turn = np.where(step > 0, next_rz / np.where(rz > 0, rz, 1.0), 0.0)
 
-        def move(x: dict, step: np.ndarray = step, turn: np.ndarray = turn) -> tuple:
-            r = x["r"] - step * x["ap"]
-            return x["d"], x["u"] + step * x["p"], r, r + turn * x["p"]
+        def move(x: dict, step: np.ndarray = step, turn: np.ndarray = turn, found: dict = found, after=after) -> tuple:
+            r = after(x)
+            return x["d"], x["u"] + step * x["p"], r, np.where(step > 0, solution(x, r, found) + turn * x["p"], x["p"])
 
-        state = materialise(_columns(with_product, move, table, kept), "state")
+        state, rz = materialise(_columns(with_product, move, table, kept), "state"), np.where(step > 0, next_rz, rz)
 
 
 def ridge_grid(df: DataFrame, features: list[str], y: str, key: str, alphas: list[float], gammas: list[float], folds: int = 10, tolerance: float = 1e-8, size: int = ROWS_PER_BLOCK) -> tuple[tuple[str, float, float, float] | None, DataFrame]:

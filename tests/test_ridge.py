@@ -40,3 +40,22 @@ def test_grid_equals_dense_solutions(spark):
     want = sorted(zip(keys, map(float, p), strict=True))
     assert [k for k, _ in found] == [k for k, _ in want] and np.allclose([v for _, v in found], [v for _, v in want], rtol=0, atol=1e-6)
     assert ridge.ridge_grid(df.where("high IS NULL"), ["age"], "high", "k", alphas, gammas)[0] is None
+
+
+def test_many_rows_a_point_take_few_passes(spark, monkeypatch):
+    """Passes don't grow with the rows of a point: gradients are preconditioned."""
+    rng = np.random.default_rng(8)
+    rows = [(i, float(a), float(b), float(60 + 3 * np.sin(a) + b + rng.normal())) for i, (a, b) in enumerate(rng.integers(0, 20, (8000, 2)))]
+    df = spark.createDataFrame([*rows, (9000, 3.0, 4.0, None)], "k long, a double, b double, y double").cache()
+    names, plain = [], ridge.materialise
+    monkeypatch.setattr(ridge, "materialise", lambda frame, name, **o: (names.append(name), plain(frame, name, **o))[1])
+    best, got = ridge.ridge_grid(df, ["a", "b"], "y", "k", [1.0], [0.1], 3)
+    x, y = np.array([r[1:3] for r in rows]), np.array([r[3] for r in rows])
+    mean, scale = x.mean(0), x.std(0)
+    points, back = np.unique(x, axis=0, return_inverse=True)
+    n, s = np.bincount(back), np.bincount(back, y)
+    z, new = (points - mean) / scale, (np.array([[3.0, 4.0]]) - mean) / scale
+    d = np.sqrt(n)
+    kernel = (lambda a, b: a @ b.T) if best[0] == "linear" else (lambda a, b: np.exp(-best[2] * ((a[:, None] - b[None]) ** 2).sum(2)))
+    want = kernel(new, z) @ (d * np.linalg.solve(d[:, None] * kernel(z, z) * d + best[1] * np.eye(len(z)), s / d))
+    assert abs(got.first()["predicted"] - want[0]) < 1e-5 and names.count("product") <= 15
