@@ -78,6 +78,27 @@ def test_eigenvalues_are_those_of_a_dense_solver(spark):
     assert np.abs(a @ v - v * values).max() < 1e-4 and v.T @ v == pytest.approx(np.eye(5), abs=1e-6)
 
 
+def test_rounds_of_the_spectrum_hold_three_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    edges = [(i, i + 1, float(rng.uniform(0.5, 1.5))) for i in range(63)]
+    widest, write = [0], spectral.materialise
+
+    def noted(df, name, **options):
+        out = write(df, name, **options)
+        if "vector" in out.columns:
+            widest[0] = max(widest[0], out.agg(F.max(F.size("vector"))).first()[0])
+        return out
+
+    monkeypatch.setattr(spectral, "materialise", noted)
+    links, nodes = spectral.normalised_links(spark.createDataFrame(edges, EDGES))
+    values, _ = spectral.top_eigen(links, nodes, 3, tolerance=1e-4)
+    assert values == pytest.approx(np.sort(np.linalg.eigvalsh(dense(edges, 64)))[::-1][:3], abs=1e-6)
+    # Three blocks of five columns, and what the graph makes of them, however many rounds it takes.
+    assert widest[0] <= 30
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1, 1.0) for i in range(30)], EDGES)
+    assert spectral.top_eigen(*spectral.normalised_links(pairs), 3)[0] == pytest.approx(np.ones(3), abs=1e-9)
+
+
 def test_modules_of_a_graph(spark):
     edges = [(10 * c + i, 10 * c + j, 1.0) for c in range(3) for i in range(10) for j in range(i + 1, 10)] + [(0, 10, 0.1), (10, 20, 0.1)]
     got = {r.node: r.module for r in spectral.spectral_modules(spark.createDataFrame(edges, EDGES)).collect()}
