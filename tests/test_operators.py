@@ -1,6 +1,7 @@
 """Small cases with values worked out by hand, and properties."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -368,6 +369,50 @@ def test_word_vectors_of_several_tasks(spark):
     assert inside > across + 0.2
 
 
+def test_word_vectors_stay_in_tasks(spark, monkeypatch):
+    """The number of words doesn't reach the driver: what comes to it is one row of counts. Copies of a row, of a word
+    in a row, nulls and empty lists don't matter."""
+    rng = np.random.default_rng(3)
+    rows = [([f"{'ab'[i % 2]}{j}" for j in rng.integers(0, 6, 12)],) for i in range(1000)] + [(["c"] * 3000,), ([],), (None,), (["d", None],)]
+    rows += [([f"once{i}", f"twice{i // 2}"],) for i in range(3000)]
+    df = spark.createDataFrame(rows, "t array<string>").repartition(3)
+    seen = []
+    for name in ("collect", "toArrow", "toPandas"):
+        plain = getattr(type(df), name)
+        monkeypatch.setattr(type(df), name, lambda self, *a, plain=plain: (seen.append(1), plain(self, *a))[1])
+    monkeypatch.setattr("pyspark.ml.wrapper.JavaEstimator.fit", lambda *a: pytest.fail("fits on the driver"), raising=False)
+    found = ml.word_vectors(df, "t", 8, rows_per_task=2000)
+    assert len(seen) <= 1
+    monkeypatch.undo()
+    got = {r.word: np.array(r.vector) for r in found.collect()}
+    assert set(got) == {w for r in rows for w in r[0] or [] if w is not None} and all(np.isfinite(v).all() and len(v) == 8 for v in got.values())
+    assert max(np.linalg.norm(v) for v in got.values()) < 20
+    again = {r.word: np.array(r.vector) for r in ml.word_vectors(df, "t", 8, rows_per_task=2000).collect()}
+    assert all(again[w] == pytest.approx(got[w], abs=1e-9) for w in got)
+    assert ml.word_vectors(df.where("size(t) < 0"), "t", 8).count() == 0
+
+
+def test_word_vectors_are_those_of_single_steps():
+    """Pieces learn what steps of one pair after another do: the cosines of all words agree."""
+    rng = np.random.default_rng(3)
+    rows = [[f"{'ab'[i % 2]}{j}" for j in rng.integers(0, 6, 12)] for i in range(500)]
+    words, got = ml._learnt(pa.chunked_array([pa.array(rows)]), 8, 42, 5, 0.025)
+    at = {w: i for i, w in enumerate(words)}
+    mine = ml._first_vectors(words, 8, 42).astype(float)
+    out, noise = np.zeros_like(mine), np.cumsum(np.bincount([at[w] for r in rows for w in r]) ** 0.75)
+    for n, row in enumerate(rows):
+        for i, w in enumerate(row):
+            b = rng.integers(1, 6)
+            for j in [j for j in range(max(0, i - b), min(12, i + b + 1)) if j != i]:
+                o = np.r_[at[row[j]], np.searchsorted(noise, rng.random(5) * noise[-1], side="right")]
+                slope = (np.r_[1, 0, 0, 0, 0, 0] - 1 / (1 + np.exp(-out[o] @ mine[at[w]]))) * 0.025 * (1 - n / 500)
+                turn = slope @ out[o]
+                np.add.at(out, o, slope[:, None] * mine[at[w]])
+                mine[at[w]] += turn
+    cosines = lambda v: (lambda u: (u @ u.T).ravel())(v / np.linalg.norm(v, axis=1, keepdims=True))
+    assert np.corrcoef(cosines(got), cosines(mine))[0, 1] > 0.95
+
+
 def test_nearest_by_tiles(spark, monkeypatch):
     """Copies, ties, batches, some rows asked for, and tiles smaller than blocks; copies of rows by blocks are few."""
     rng = np.random.default_rng(5)
