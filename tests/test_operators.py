@@ -435,6 +435,38 @@ def test_nearest_by_tiles(spark, monkeypatch):
     assert graph._blocks(spark.range(40_000)).count() == 8 * 40_000
 
 
+def test_nearest_takes_each_pair_of_blocks_once(spark, monkeypatch):
+    """Both sides of a pair of blocks, copies, rows far off, and the other batches only: as by brute force, from half the copies."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 4)) + 5
+    x[40:60], x[100:160], x[200:210] = x[7], np.round(x[100:160]), x[200:210] * 1e6
+    monkeypatch.setattr(graph, "TILE", 16)
+    monkeypatch.setattr(graph, "WIDE", 64)
+    monkeypatch.setattr(graph, "FIRST", 64)
+    label = np.arange(300) % 3
+    every = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = lambda r, ok: [j for _, j in sorted((round(every[r, j], 9), j) for j in range(300) if j != r and ok(j))[:4]]
+    one, two = np.arange(0, 300, 2), np.arange(1, 300, 2)
+    a, b = (graph._Distinct(x[i], i, np.ones(150, bool)) for i in (one, two))
+    there, back = graph._each_other(a, b, 5, False)
+    for found, mine, (p, q) in ((there, one, (a, b)), (back, two, (b, a))):
+        row, dst, _ = graph._expanded(found, p, q, 4, False)
+        for r in range(150):
+            assert dst[row == r].tolist() == want(mine[r], lambda j, r=r, mine=mine: j % 2 != mine[r] % 2)
+    df = matrix(spark, x).withColumn("batch", F.pmod("id", F.lit(3)))
+    for across in (False, True):
+        got = {}
+        for r in graph.nearest(df, 4, "euclidean", batch="batch", size=100, across=across).orderBy("src", "batch", "rank").collect():
+            got.setdefault((r.src, int(r.batch)), []).append(r.dst)
+        assert got == {(r, g): want(r, lambda j, g=g: label[j] == g) for r in range(300) for g in range(3) if not (across and label[r] == g)}
+    sent = []
+    plain = type(df.groupBy("id")).applyInArrow
+    monkeypatch.setattr(type(df.groupBy("id")), "applyInArrow", lambda self, f, schema: (sent.append(self._df.count()), plain(self, f, schema))[1])
+    assert graph.nearest(df, 4, "euclidean", size=100).count() == 1200
+    blocks = graph._blocks(df, 100).agg(F.max("own")).first()[0] + 1
+    assert sent == [300 * blocks]
+
+
 def test_dbscan_names_are_joined_by_few_links(spark, monkeypatch):
     """Random rows in many blocks against one; a dense cluster's blocks are joined by a link a pair of them,
     not by one for each row."""
