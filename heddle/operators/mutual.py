@@ -13,9 +13,9 @@ from heddle.workspace import materialise
 def mutual_pairs(rows: DataFrame, k: int = 20) -> DataFrame:
     """src, dst, src_batch, dst_batch: of rows (id, vector, batch), pairs across batches (the lesser batch
     first) of which each is among the other's k nearest in its batch."""
-    near = nearest(rows, k, "euclidean", batch="batch").select("src", "dst", F.col("batch").alias("dst_batch"))
+    near = nearest(rows, k, "euclidean", batch="batch", across=True).select("src", "dst", F.col("batch").alias("dst_batch"))
     own = rows.select(F.col("id").cast("long").alias("src"), F.col("batch").cast("string").alias("src_batch"))
-    across = materialise(near.join(own, "src").where("src_batch <> dst_batch"), "across")
+    across = materialise(near.join(own, "src"), "across")
     back = across.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return across.where("src_batch < dst_batch").join(back, ["src", "dst"]).select("src", "dst", "src_batch", "dst_batch")
 

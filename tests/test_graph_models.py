@@ -125,6 +125,20 @@ def test_shifts_by_brute_force(spark):
         assert got[100 + i] == pytest.approx((w[:, None] * np.array([ways[anchors[k]] for k in near])).sum(0) / w.sum(), abs=1e-6)
 
 
+def test_mutual_pairs_search_other_batches_only(spark, monkeypatch):
+    """Pairs as by brute force; no row is searched for in its own batch."""
+    rng = np.random.default_rng(15)
+    x, batch = rng.normal(size=(90, 3)), np.arange(90) % 3
+    rows = spark.createDataFrame([(i, x[i].tolist(), int(batch[i])) for i in range(90)], "id long, vector array<double>, batch int")
+    searched, plain = [], mutual.nearest
+    monkeypatch.setattr(mutual, "nearest", lambda *a, **o: (searched.append(plain(*a, **o)), searched[-1])[1])
+    got = {(r.src, r.dst) for r in mutual.mutual_pairs(rows, 4).collect()}
+    far = ((x[:, None] - x[None]) ** 2).sum(2)
+    near = {(i, j) for i in range(90) for b in range(3) if b != batch[i] for j in np.where(batch == b, far[i], np.inf).argsort()[:4]}
+    assert got == {(i, j) for i, j in near if (j, i) in near and batch[i] < batch[j]}
+    assert searched[0].count() == 90 * 2 * 4
+
+
 def test_merging_takes_batches_together(spark):
     rng = np.random.default_rng(6)
     kind, batch = rng.integers(0, 2, 180), np.arange(180) % 3
