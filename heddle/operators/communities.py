@@ -12,6 +12,9 @@ very many links is summed up in the tasks of its links.
 
 from __future__ import annotations
 
+from collections import deque
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +25,8 @@ from heddle.workspace import materialise, ship_package
 #: Rounds in a row that bring less than the least gain before moves end; most nodes have had their turn
 #: in them, and the next level goes on.
 PATIENCE, LEAST_GAIN = 2, 1e-5
-#: Nodes of a part of a round, and links for each of them, on the average.
-PART, LINKS = 4_096, 16
+#: Nodes of a part of a round, and links for each of them, on the average: a part's links are some 100 MB.
+PART, LINKS = 65_536, 16
 
 
 def shared_neighbours(neighbours: DataFrame) -> DataFrame:
@@ -53,48 +56,78 @@ def _graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _moved(table: pa.Table) -> pa.Table:
-    """One part's turn: its nodes, one after another, go to the community of the largest gain until none wants to.
+    """One part's turn: its nodes, one after another, go to the community of the largest gain.
 
     Rows of kind 0 are its nodes, those of kind 1 links between them; what its nodes have outside comes summed
-    up, of kind 2 into their own community, of kind 3 into the best other one, whose total stays as it was.
+    up, of kind 2 into their own community, of kind 3 into the best other one, whose total stays as it was. A node
+    looks again when a neighbour has moved, and all look again until that brings less than the least gain, by the
+    part's share of the weight.
     """
     kind = table.column("kind").to_numpy()
-    rows = lambda k, *names: [table.column(n).filter(pa.array(kind == k)).to_pylist() for n in names]
+    rows = lambda k, *names: [table.column(n).filter(pa.array(kind == k)).to_numpy() for n in names]
     ids, home, k, inner, total, may, twice = rows(0, "src", "community", "k", "inner", "total", "may", "twice")
-    order = sorted(range(len(ids)), key=ids.__getitem__)
-    at, totals, around, out = {v: i for i, v in enumerate(ids)}, dict(zip(home, total, strict=True)), [[] for _ in ids], [{} for _ in ids]
-    for v, d, w in zip(*rows(1, "src", "dst", "weight"), strict=True):
-        around[at[v]].append((at[d], w))
-    for v, w in zip(*rows(2, "src", "weight"), strict=True):
-        out[at[v]][home[at[v]]] = w
-    others = set()
-    for v, c, t, w in zip(*rows(3, "src", "community", "total", "weight"), strict=True):
-        out[at[v]][c] = w
+    order = np.argsort(ids, kind="stable")
+    ids, home, k, inner, total, may, twice = (v[order] for v in (ids, home, k, inner, total, may, twice))
+    n = len(ids)
+    src, dst, weight = rows(1, "src", "dst", "weight")
+    src, dst = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+    order = np.lexsort((dst, src))
+    src, dst, weight = src[order], dst[order], weight[order]
+    ends = np.cumsum(np.bincount(src, minlength=n)).tolist()
+    ends, near, heavy = [0, *ends], dst.tolist(), weight.tolist()
+    first, own, totals, out, others = home.tolist(), home.tolist(), dict(zip(home.tolist(), total.tolist(), strict=True)), {}, set()
+    for v, w in zip(*(c.tolist() for c in rows(2, "src", "weight")), strict=True):
+        i = int(np.searchsorted(ids, v))
+        out.setdefault(i, {})[first[i]] = w
+    for v, c, t, w in zip(*(c.tolist() for c in rows(3, "src", "community", "total", "weight")), strict=True):
+        out.setdefault(int(np.searchsorted(ids, v)), {})[c] = w
         if c not in totals:
             others.add(c)
             totals[c] = t
-    into = lambda i, own: sum(w for j, w in around[i] if own[j] == own[i]) + out[i].get(own[i], 0.0) + inner[i]
-    held, own, going = [into(i, home) for i in range(len(ids))], list(home), True
-    while going:
-        going = False
-        for i in order:
-            links = dict(out[i])
-            for j, w in around[i]:
-                links[own[j]] = links.get(own[j], 0.0) + w
-            links.setdefault(own[i], 0.0)
-            totals[own[i]] -= k[i]
+    wide, share, free = k.tolist(), (k / twice).tolist(), may.tolist()
+    waiting, queued, brought, least = deque(range(n)), [True] * n, 0.0, LEAST_GAIN * k.sum() / 2
+    while waiting:
+        i = waiting.popleft()
+        queued[i] = False
+        mine, links = own[i], dict(out.get(i, ()))
+        for e in range(ends[i], ends[i + 1]):
+            c = own[near[e]]
+            links[c] = links.get(c, 0.0) + heavy[e]
+        totals[mine] -= wide[i]
+        stay = gain = links.get(mine, 0.0) - share[i] * totals[mine]
+        best, top = mine, round(stay, 9)
+        for c, w in links.items():
             # A half of the nodes leave the part in a round, so that neighbours in two parts seldom swap.
-            open_to = [c for c in links if may[i] or c == own[i] or c not in others]
-            gain = {c: links[c] - k[i] * totals[c] / twice[i] for c in open_to}
-            best = max(open_to, key=lambda c: (round(gain[c], 9), c == own[i], -c))
-            # Less than rounding is no gain: moves of none could go round for ever.
-            best = best if gain[best] > gain[own[i]] + 1e-9 else own[i]
-            going |= best != own[i]
+            if c != mine and (free[i] or c not in others):
+                g = w - share[i] * totals[c]
+                r = round(g, 9)
+                if r > top or (r == top and best != mine and c < best):
+                    best, top, gain = c, r, g
+        # Less than rounding is no gain: moves of none could go round for ever.
+        if best != mine and gain > stay + 1e-9:
             own[i] = best
-            totals[best] += k[i]
-    left = [len(out[i]) for i in range(len(ids))]
-    after = [into(i, own) for i in range(len(ids))]
-    return pa.table({"node": pa.array(ids, "int64"), "community": pa.array(own, "int64"), "home": pa.array(home, "int64"), "held": held, "after": after, "k": k, "inner": inner, "outside": pa.array(left, "int64")}, MOVED)
+            brought += gain - stay
+            for e in range(ends[i], ends[i + 1]):
+                j = near[e]
+                if not queued[j] and own[j] != best:
+                    queued[j] = True
+                    waiting.append(j)
+        totals[own[i]] += wide[i]
+        if not waiting and brought > least:
+            waiting, queued, brought = deque(range(n)), [True] * n, 0.0
+
+    def into(own: np.ndarray) -> np.ndarray:
+        same = own[src] == own[dst]
+        found = np.bincount(src[same], weight[same], n) + inner
+        for i, links in out.items():
+            found[i] += links.get(int(own[i]), 0.0)
+        return found
+
+    left = np.zeros(n, "int64")
+    for i, links in out.items():
+        left[i] = len(links)
+    own = np.array(own, "int64")
+    return pa.table({"node": ids, "community": own, "home": home, "held": into(home), "after": into(own), "k": k, "inner": inner, "outside": left}, MOVED)
 
 
 MOVED = pa.schema([("node", "int64"), ("community", "int64"), ("home", "int64"), ("held", "float64"), ("after", "float64"), ("k", "float64"), ("inner", "float64"), ("outside", "int64")])
@@ -160,12 +193,33 @@ def local_moves(nodes: DataFrame, links: DataFrame, start: DataFrame, within: Da
         state, r = step.select(*keep), r + 1
 
 
+def _connected(table: pa.Table) -> pa.Table:
+    """node, component of the nodes of a part's links: each goes to the least node that it reaches."""
+    ids, ends = np.unique(np.concatenate([table.column(n).to_numpy() for n in ("src", "dst")]), return_inverse=True)
+    src, dst = ends[: len(table)], ends[len(table) :]
+    least = np.arange(len(ids))
+    while (np.minimum(least[src], least[dst]) < np.maximum(least[src], least[dst])).any():
+        low, high = np.minimum(least[src], least[dst]), np.maximum(least[src], least[dst])
+        np.minimum.at(least, high, low)
+        while (least[least] < least).any():
+            least = least[least]
+    return pa.table({"node": pa.array(ids, "int64"), "component": pa.array(ids[least], "int64")})
+
+
 def connected_parts(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """node, community: communities taken apart where links inside them don't connect them."""
+    """node, community: communities taken apart where links inside them don't connect them. Those of ``PART``
+    nodes at most are looked at whole, many a task; larger ones by rounds over their links."""
+    ship_package(links.sparkSession)
     a = labels.select(F.col("node").alias("src"), F.col("community").alias("_a"))
     b = labels.select(F.col("node").alias("dst"), F.col("community").alias("_b"))
-    inside = links.join(a, "src").join(b, "dst").where("_a = _b").select("src", "dst")
-    parts = label_components(inside)
+    sizes = labels.groupBy(F.col("community").alias("_a")).agg(F.count("*").alias("_n"))
+    inside = materialise(links.join(a, "src").join(b, "dst").where("_a = _b").join(sizes, "_a").select("src", "dst", "_a", "_n"), "within")
+    small, large = inside.where(F.col("_n") <= PART), inside.where(F.col("_n") > PART)
+    tasks = max(1, -(-labels.count() // PART))
+    by = F.pmod(F.xxhash64("_a"), F.lit(tasks)).alias("part")
+    parts = small.select("src", "dst", by).groupBy("part").applyInArrow(_connected, "node long, component long")
+    if not large.isEmpty():
+        parts = parts.unionByName(label_components(large.select("src", "dst")).select("node", "component"))
     return labels.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("community"))
 
 

@@ -285,3 +285,22 @@ def test_moves_take_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(communities, "PART", 30)
     found = communities.communities(df)
     assert "moves_1" in names and graph.modularity(df, found).first()["modularity"] >= truth - 0.01
+
+
+def test_a_graph_of_many_nodes_is_a_part(spark, monkeypatch):
+    """20,000 nodes in a ring of groups take one round of moves a level, one after another, and rounds of names none;
+    communities that their links don't connect are taken apart alike by parts and by rounds."""
+    n = 20_000
+    edges = spark.range(n).select(F.col("id").alias("src"), F.explode(F.array(*[F.pmod(F.col("id"), F.lit(10)) + i + 1 for i in range(4)])).alias("at"))
+    edges = edges.where("at < 10").select("src", (F.col("src") - F.pmod("src", F.lit(10)) + F.col("at")).alias("dst"), F.lit(1.0).alias("weight"))
+    edges = edges.union(spark.range(0, n, 10).select(F.col("id"), F.pmod(F.col("id") + 10, F.lit(n)), F.lit(0.1)))
+    names, plain = [], communities.materialise
+    monkeypatch.setattr(communities, "materialise", lambda frame, name, **o: (names.append(name), plain(frame, name, **o))[1])
+    found = communities.communities(edges)
+    assert graph.modularity(edges, found).first()["modularity"] > 0.98
+    assert "moves_1" not in names and "labels" not in names
+    links = communities._graph(spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (3, 4, 1.0), (4, 5, 1.0), (2, 6, 1.0), (7, 7, 1.0)], EDGES))[1]
+    labels = spark.createDataFrame([(i, 0 if i < 6 else 6) for i in range(8)], "node long, community long")
+    for part in (65_536, 3):
+        monkeypatch.setattr(communities, "PART", part)
+        assert {tuple(r) for r in communities.connected_parts(links, labels).collect()} == {(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 3), (6, 6), (7, 7)}
